@@ -30,14 +30,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def byte_blocks(batch, text_column: str, limit: int = 4 << 20):
-    """Yield (start, stop) row ranges of an Arrow batch whose texts hold about `limit` bytes each.
-
-    A row longer than the limit makes a range of its own, so memory is bounded by the longest text.
-    """
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
+def runs(sizes: list[int], limit: int = 4 << 20):
+    """Yield (start, stop) row ranges of about `limit` bytes each; a larger row makes a range of its own."""
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
@@ -46,3 +40,12 @@ def byte_blocks(batch, text_column: str, limit: int = 4 << 20):
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def text_runs(batch, column: int, limit: int = 4 << 20):
+    """Yield (start, list of texts, nulls as empty) over an Arrow batch, in runs of about `limit` bytes."""
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    for a, b in runs(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), limit):
+        yield a, [t or "" for t in texts.slice(a, b - a).to_pylist()]

@@ -1,10 +1,13 @@
 """Queries and SQL of the corpus operators, for __spark_entry__."""
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, secrets, telephony
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
+    "op5_packing": packing.query,
     "op8_mixing": mixing.query,
+    "op9_secrets": secrets.query,
+    "op10_telephony": telephony.query,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
