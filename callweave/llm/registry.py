@@ -1,8 +1,11 @@
 """Queries and SQL of the corpus operators, for __spark_entry__."""
 
-from . import exact_dedup, mixing, packing, secrets, telephony
+from . import exact_dedup, mixing, packing, quality, secrets, telephony, url_filter, warc
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op2_warc": warc.query,
+    "op3_url_filter": url_filter.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_packing": packing.query,
     "op8_mixing": mixing.query,
@@ -10,6 +13,7 @@ QUERIES = {
     "op10_telephony": telephony.query,
 }
 ORACLES = {
+    "op2_warc": warc.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
