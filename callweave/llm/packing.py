@@ -9,14 +9,14 @@ ceil(sum / capacity) and rises by one while any window exceeds the capacity.
 
 Only piece lengths and checksums are shuffled, never ids. Defined cases: a null or empty text is the end
 id alone; a null doc_id is kept; repeated rows are packed as documents of their own; an empty table gives
-an empty result; extra columns are not read. Texts are tokenised whole, word by word with a cache: the
-vocabulary splits at white space before anything else, so a text's ids are those of its words in order.
+an empty result; extra columns are not read. Texts are tokenised whole.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table, text_runs
 
 CAPACITY, PIECE, GROUP, END_ID = 2048, 512, 512, 1
-WORDS_KEPT = 200_000  # words in a task's cache before it starts anew
+WORDS_KEPT = 500_000  # words, and pieces, in a generation of a worker's cache
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
@@ -37,27 +37,100 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Characters that need no care: ASCII but the apostrophe, and the letters of Latin-1. Anything else, and
+# the opening of a special token, sends its word to the tokenizer as it stands.
+_CARE = re.compile("<\\||[^\t\n\x0b\x0c\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
+
+
+class Kept(dict):
+    """A cache of two generations: entries used again move to the new one, the old one goes when that is full."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def missing(self, keys) -> list:
+        """Those of the keys that neither generation holds."""
+        out = []
+        for k in keys:
+            if k in self.old:
+                self[k] = self.old[k]
+            elif k not in self:
+                out.append(k)
+        return out
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes.
+
+    The vocabulary cuts a text at white space and between letters, digits and other signs before it merges
+    anything. So ids are looked up by word, those of a new word by its pieces, and new pieces are encoded
+    together.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Kept(WORDS_KEPT), Kept(WORDS_KEPT)
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for a in range(0, len(new), 50_000):
+            part = new[a : a + 50_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw = np.asarray(found.ids, dtype="<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.asarray(found.word_ids, dtype=np.int64), minlength=len(part))) * 4
+            start = 0
+            for piece, end in zip(part, ends.tolist(), strict=True):
+                self.pieces[piece] = raw[start:end]
+                start = end
+
+    def _learn(self, new: list[str], plain: bool) -> None:
+        if plain:
+            parts = [_PIECE.findall(w) for w in map(str.lower, new)]
+            self._learn_pieces(self.pieces.missing(set().union(*parts)))
+            get = self.pieces.__getitem__
+            self.words.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
+        else:
+            careful = [w for w in new if _CARE.search(w)]
+            self._learn(list(set(new).difference(careful)), True)
+            self.words.update({w: self._ids(w) for w in careful})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known = {}
-        new = list({w for words in split for w in words if w not in self.known})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
+        self.words.age()
+        self.pieces.age()
+        plain = [not _CARE.search(t) for t in texts]  # without other white space either
+        split = [t.split() if p else _SPACE.split(t) for t, p in zip(texts, plain, strict=True)]
+        known = self.words
+        for kind in (True, False):
+            new: set[str] = set()
+            for words, p in zip(split, plain, strict=True):
+                if p == kind:
+                    new.update([w for w in set(words) if w not in known])
+            self._learn(self.words.missing(new), kind)
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for a Python worker, whose cache serves all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def cuts(tokens: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
     """(start, length): full windows, then a remainder in near-equal pieces of at most `piece`."""
     full = tokens // capacity * capacity
@@ -121,7 +194,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     path = path or vocabulary()
 
     def work(batches):
-        encode = Encoder(path)
+        encode = encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for a, texts in text_runs(batch, 1):
