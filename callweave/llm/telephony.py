@@ -6,7 +6,7 @@ bytes as 64-byte ADPCM blocks, and resamples the expanded signal to 16 kHz PCM.
 
 Defined cases: null text is an empty payload, padded to 64 zero bytes; equal payloads give equal values;
 repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
-Long texts are worked on in pieces of PIECE samples, so memory follows the longest text only.
+Short texts are decoded together, about PIECE bytes at a time; memory follows PIECE and the longest text.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import table, text_runs
+from .common import runs, table, text_runs
 
 RATE, RESAMPLED = 8000, 16000
 BLOCK = 64  # bytes of an ADPCM block: a 4-byte head and 120 nibbles
 TAGS = {"mulaw": 7, "alaw": 6}  # WAV format tags
-PIECE = 1 << 20
+PIECE = 2 << 20  # bytes decoded together
 
 # Fixed values of IMA ADPCM: how far each code moves the step index.
 INDEX_MOVE = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int64)
@@ -44,6 +45,16 @@ def adpcm_steps() -> np.ndarray:
 STEPS = adpcm_steps()
 
 
+def adpcm_moves() -> np.ndarray:
+    """Signed move of each (step index, code): an eighth, and a half, quarter and whole step by the code's bits."""
+    step, code = STEPS[:, None], np.arange(16)
+    size = (step >> 3) + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
+    return np.where(code & 8, -size, size).astype(np.int32).ravel()
+
+
+MOVES, INDEX_MOVES = adpcm_moves(), INDEX_MOVE[np.arange(16) & 7].astype(np.int32)
+
+
 def mulaw_table() -> np.ndarray:
     """int16 value of each mu-law byte (G.711): complemented sign, 3-bit exponent, 4-bit mantissa, bias 132."""
     code = ~np.arange(256) & 0xFF
@@ -91,18 +102,17 @@ def read_wav(media: bytes) -> tuple[str, bytes]:
 def decode_adpcm(data: bytes) -> np.ndarray:
     """IMA ADPCM, 64-byte mono blocks -> int16 of shape (blocks, 121); every step runs across all blocks."""
     raw = np.frombuffer(data, dtype=np.uint8)[: len(data) // BLOCK * BLOCK].reshape(-1, BLOCK)
-    value = np.ascontiguousarray(raw[:, :2]).view("<i2")[:, 0].astype(np.int64)
-    index = np.minimum(raw[:, 2].astype(np.int64), 88)
+    value = np.ascontiguousarray(raw[:, :2]).view("<i2")[:, 0].astype(np.int32)
+    index = np.minimum(raw[:, 2], 88).astype(np.int32)
     out = np.empty((121, len(raw)), dtype=np.int16)
     out[0] = value
     codes = np.ascontiguousarray(raw[:, 4:].T)
     for k in range(120):
-        code = (codes[k >> 1] >> (4 * (k & 1))) & 15
-        step = STEPS[index]
-        size = code & 7
-        move = (step >> 3) + np.where(size & 4, step, 0) + np.where(size & 2, step >> 1, 0) + np.where(size & 1, step >> 2, 0)
-        value = np.clip(np.where(code & 8, value - move, value + move), -32768, 32767)
-        index = np.clip(index + INDEX_MOVE[size], 0, 88)
+        code = codes[k >> 1] >> 4 if k & 1 else codes[k >> 1] & 15
+        value += MOVES[index * 16 + code]
+        np.clip(value, -32768, 32767, out=value)
+        index += INDEX_MOVES[code]
+        np.clip(index, 0, 88, out=index)
         out[k + 1] = value
     return out.T
 
@@ -123,35 +133,42 @@ def encode_adpcm(pcm: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def resample_double(pcm: np.ndarray) -> np.ndarray:
-    """8 -> 16 kHz: each sample, then the rounded mean of it and the next (the last repeats)."""
+def resample_double(pcm: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """8 -> 16 kHz: each sample, then the floored mean of it and the next; the last of a signal repeats.
+
+    `ends` are the ends of several signals in a row."""
     out = np.empty(2 * len(pcm), dtype=np.int16)
     out[::2] = pcm
-    wide = pcm.astype(np.int32)
-    out[1:-1:2] = (wide[:-1] + wide[1:]) >> 1
     if len(pcm):
-        out[-1] = pcm[-1]
+        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
+        last = np.array([len(pcm)]) if ends is None else ends
+        out[2 * last - 1] = pcm[last - 1]
     return out
 
 
-def features(media: bytes) -> tuple[bytes, str]:
-    """The stored samples and a digest of what they decode to: level, crossings, ADPCM and PCM checksums."""
-    law, data = read_wav(media)
-    energy = crossings = 0
-    peak, pcm_crc, adpcm_crc, last = 0, 0, 0, None
-    for at in range(0, len(data), PIECE):
-        piece = data[at : at + PIECE]
-        pcm = EXPAND[law][np.frombuffer(piece, dtype=np.uint8)]
-        wide = pcm.astype(np.int64)
-        energy += int(wide @ wide)
-        peak = max(peak, int(np.abs(wide).max()))
-        sign = pcm < 0
-        crossings += int(np.count_nonzero(sign[1:] != sign[:-1])) + int(last is not None and bool(last) != bool(sign[0]))
-        last = sign[-1]
-        pcm_crc = zlib.crc32(resample_double(pcm).astype("<i2").tobytes(), pcm_crc)
-        adpcm_crc = zlib.crc32(np.ascontiguousarray(decode_adpcm(piece)).astype("<i2").tobytes(), adpcm_crc)
-    rms = (energy / max(1, len(data))) ** 0.5
-    return data, f"{law};n={len(data)};rms={rms:.3f};peak={peak};zc={crossings};pcm16k={pcm_crc:08x};adpcm={adpcm_crc:08x}"
+def features(stored: list[bytes], law: str) -> list[str]:
+    """A digest of what each sample string decodes to: level, peak, crossings, and checksums of the 16 kHz PCM
+    and of the ADPCM reading. All are worked together; each has a positive multiple of 64 bytes."""
+    sizes = np.array([len(x) for x in stored])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    data = b"".join(stored)
+    pcm = EXPAND[law][np.frombuffer(data, dtype=np.uint8)]
+    wide = pcm.astype(np.float64)  # whole numbers below 2**53, so sums are exact
+    energy = np.add.reduceat(wide * wide, starts)
+    peak = np.maximum.reduceat(np.abs(wide), starts)
+    flips = np.zeros(len(pcm), dtype=np.int64)
+    flips[1:] = (pcm[1:] < 0) != (pcm[:-1] < 0)
+    flips[starts] = 0
+    crossings = np.add.reduceat(flips, starts)
+    fast = memoryview(resample_double(pcm, ends).astype("<i2", copy=False)).cast("B")
+    blocks = memoryview(np.ascontiguousarray(decode_adpcm(data)).astype("<i2", copy=False).reshape(-1)).cast("B")
+    out = []
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        pcm_crc, adpcm_crc = zlib.crc32(fast[4 * a : 4 * b]), zlib.crc32(blocks[a // BLOCK * 242 : b // BLOCK * 242])
+        rms = (energy[i] / (b - a)) ** 0.5
+        out.append(f"{law};n={b - a};rms={rms:.3f};peak={peak[i]:.0f};zc={crossings[i]};pcm16k={pcm_crc:08x};adpcm={adpcm_crc:08x}")
+    return out
 
 
 def payload_of(text: str) -> tuple[int, bytes]:
@@ -184,11 +201,10 @@ def decode(media: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                data, feature = features(m := batch.column(1)[i].as_py())
-                law, _ = read_wav(m)
+                law, data = read_wav(batch.column(1)[i].as_py())
                 pcm = resample_double(EXPAND[law][np.frombuffer(data, dtype=np.uint8)]).astype("<i2").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), pa.array([data], pa.binary()), pa.array([pcm], pa.binary()), pa.array([feature])],
+                    [batch.column(0).slice(i, 1), pa.array([data], pa.binary()), pa.array([pcm], pa.binary()), pa.array(features([data], law))],
                     ["doc_id", "payload", "pcm", "feature"],
                 )
 
@@ -200,17 +216,24 @@ def digest(media: DataFrame) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            rows = []
-            for i in range(batch.num_rows):
-                m = batch.column(2)[i].as_py()
-                data, feature = features(m)
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "n_bytes", *names]
-            )
+            for a, b in runs(pc.binary_length(batch.column(2)).to_pylist(), PIECE):
+                stored = batch.column(2).slice(a, b - a).to_pylist()
+                read = [read_wav(m) for m in stored]
+                feature: list[str | None] = [None] * len(read)
+                for law in EXPAND:
+                    at = [i for i, (kind, _) in enumerate(read) if kind == law]
+                    for i, f in zip(at, features([read[i][1] for i in at], law) if at else [], strict=True):
+                        feature[i] = f
+                data = [d for _, d in read]
+                columns = {
+                    "payload_bytes": pa.array(map(len, data), pa.int64()),
+                    "payload_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in data]),
+                    "tail_crc32": pa.array([zlib.crc32(d[-64:]) for d in data], pa.int64()),
+                    "media_bytes": pa.array(map(len, stored), pa.int64()),
+                    "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in stored]),
+                    "feature": pa.array(feature, pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), *columns.values()], ["doc_id", "n_bytes", *columns])
 
     return media.mapInArrow(work, DIGEST)
 
