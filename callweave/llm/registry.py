@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, for __spark_entry__."""
 
-from . import ctw, exact_dedup, mixing, packing, quality, secrets, telephony, url_filter, warc
+from . import ctw, exact_dedup, jaccard, mixing, packing, quality, secrets, telephony, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_url_filter": url_filter.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_packing": packing.query,
+    "op6_jaccard": jaccard.query,
     "op7_ctw": ctw.query,
     "op8_mixing": mixing.query,
     "op9_secrets": secrets.query,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op2_warc": warc.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_jaccard": jaccard.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
