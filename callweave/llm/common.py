@@ -18,15 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it back.
 
-    A lost executor then costs a reread, not a recomputation, and the planner sees real sizes. The
-    folder lives as long as the cluster keeps spark.checkpoint.dir.
+    A lost executor then costs a reread, not a recomputation, and the planner sees real sizes. Shuffle
+    files of the write go with it. The folder lives as long as the cluster keeps spark.checkpoint.dir.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/callweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 DEPTH, ROOT, FOLDS, HELD_OUT = 5, 2, 7, 2
-BLOCK_BYTES, BUCKET_GRAMS = 20 << 20, 100_000
+BLOCK_BYTES, BUCKET_GRAMS = 16 << 20, 100_000
 END = 10  # the end byte; no word holds it
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 ENTRY = "block long, gram long, word binary, n long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
@@ -262,18 +262,18 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     train_docs = own.filter(~F.col("held_out")).count()
     n_train, vocabulary = (sums[0] or 0) + train_docs, (sums[1] or 0) + (train_docs > 0)  # each training text ends once
     lp = materialise(gram_scores(counts, depth), "ctw-scores")
-    back = gram_part.select("block", "gram").join(lp, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"), "lp")
-    back_words = word_part.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", "n", F.lit(None).cast("double").alias("lp"))
+    back = gram_part.select("block", "gram").join(lp, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
+    back_words = word_part.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value"))
     below = math.log10(n_train + vocabulary + 1)
 
     def work(texts, model):
         is_gram = np.asarray(model.column("gram").is_valid())
         gram = model.column("gram").drop_null().to_numpy()
-        lps = model.column("lp").drop_null().to_numpy()
+        lps = model.column("value").to_numpy()[is_gram]
         order = np.argsort(gram)
         gram, lps = gram[order], lps[order]
         rest = model.filter(pa.array(~is_gram))
-        known = dict(zip(rest.column("word").to_pylist(), rest.column("n").to_pylist(), strict=True))
+        known = dict(zip(rest.column("word").to_pylist(), rest.column("value").to_pylist(), strict=True))
         out, column = [], texts.column("text")
         for a, b in _runs(column):
             split = [tokens(t or "") for t in column.slice(a, b - a).to_pylist()]
