@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table, text_runs
 
 CAPACITY, PIECE, GROUP, END_ID = 2048, 512, 512, 1
-WORDS_KEPT = 500_000  # words, and pieces, in a generation of a worker's cache
+WORDS_KEPT = 800_000  # words in a generation of a worker's cache
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
@@ -40,50 +40,39 @@ def vocabulary() -> str:
 # Characters that need no care: ASCII but the apostrophe, and the letters of Latin-1. Anything else, and
 # the opening of a special token, sends its word to the tokenizer as it stands.
 _CARE = re.compile("<\\||[^\t\n\x0b\x0c\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
-_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+_SIGN = "[!-/:-@\\[-`{-~]"
+_PIECE = re.compile(f"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|{_SIGN}+")
+_SIGNS_MEET = re.compile(f"[.,]{_SIGN}|{_SIGN}[.,]")
 _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
-class Kept(dict):
-    """A cache of two generations: entries used again move to the new one, the old one goes when that is full."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def missing(self, keys) -> list:
-        """Those of the keys that neither generation holds."""
-        out = []
-        for k in keys:
-            if k in self.old:
-                self[k] = self.old[k]
-            elif k not in self:
-                out.append(k)
-        return out
-
-    def age(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary cuts a text at white space and between letters, digits and other signs before it merges
-    anything. So ids are looked up by word, those of a new word by its pieces, and new pieces are encoded
-    together.
+    The vocabulary lowers a text and cuts it at white space and between letters, single digits and runs of
+    other signs before it merges anything. So ids are looked up by word, those of a new word by its pieces,
+    and new pieces are encoded together. The cache keeps two generations: words used again move to the new
+    one, the old one goes when that is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.pieces = Tokenizer.from_file(path), Kept(WORDS_KEPT), Kept(WORDS_KEPT)
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _words(self, text: str) -> list[str]:
+        if _CARE.search(text):
+            return [w if _CARE.search(w) else w.lower() for w in _SPACE.split(text)]
+        text = text.lower()
+        if not _SIGNS_MEET.search(text):  # stops and commas stand alone: cut them off, so that fewer words differ
+            text = text.replace(",", " , ").replace(".", " . ")
+        return text.split()
+
+    def _encode(self, new: list[str]) -> None:
+        """Encode pieces that the tokenizer takes for one word each."""
         for a in range(0, len(new), 50_000):
             part = new[a : a + 50_000]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -91,33 +80,42 @@ class Encoder:
             ends = np.cumsum(np.bincount(np.asarray(found.word_ids, dtype=np.int64), minlength=len(part))) * 4
             start = 0
             for piece, end in zip(part, ends.tolist(), strict=True):
-                self.pieces[piece] = raw[start:end]
+                self.known[piece] = raw[start:end]
                 start = end
 
-    def _learn(self, new: list[str], plain: bool) -> None:
-        if plain:
-            parts = [_PIECE.findall(w) for w in map(str.lower, new)]
-            self._learn_pieces(self.pieces.missing(set().union(*parts)))
-            get = self.pieces.__getitem__
-            self.words.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
-        else:
-            careful = [w for w in new if _CARE.search(w)]
-            self._learn(list(set(new).difference(careful)), True)
-            self.words.update({w: self._ids(w) for w in careful})
+    def _missing(self, keys) -> list[str]:
+        """Those of the keys that neither generation holds."""
+        out, known, old = [], self.known, self.old
+        for k in keys:
+            if k in old:
+                known[k] = old[k]
+            elif k not in known:
+                out.append(k)
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        pieces, composed = [], []
+        for w in self._missing(new):
+            (pieces if w.isascii() and w.isalpha() else composed).append(w)
+        parts = {w: _PIECE.findall(w) for w in composed if not _CARE.search(w)}
+        self._encode(list(set(pieces).union(self._missing(set().union(*parts.values()).difference(self.known)))))
+        known = self.known
+        for w, p in parts.items():
+            if w not in known:
+                known[w] = b"".join([known[x] for x in p])
+        for w in composed:
+            if w not in known:
+                known[w] = self._ids(w)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        self.words.age()
-        self.pieces.age()
-        plain = [not _CARE.search(t) for t in texts]  # without other white space either
-        split = [t.split() if p else _SPACE.split(t) for t, p in zip(texts, plain, strict=True)]
-        known = self.words
-        for kind in (True, False):
-            new: set[str] = set()
-            for words, p in zip(split, plain, strict=True):
-                if p == kind:
-                    new.update([w for w in set(words) if w not in known])
-            self._learn(self.words.missing(new), kind)
-        get = self.words.__getitem__
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.old = {}, self.known
+        split = [self._words(t) for t in texts]
+        new: set[str] = set()
+        for words in split:
+            new |= set(words).difference(self.known)
+        self._learn(new)
+        get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
