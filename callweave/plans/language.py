@@ -65,7 +65,7 @@ def money_fmt(t):
     return t.orders.select("o_orderkey", text.money(F.col("o_totalprice")).alias("money"))
 
 
-@query("parse_money", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 100000.0 WHEN o_orderkey % 3 = 1 THEN o_orderkey * 1000.0 ELSE o_orderkey * 1.0 END AS amount FROM orders")
+@query("parse_money", "SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey * 100000.0 WHEN o_orderkey % 3 = 1 THEN o_orderkey * 1000.0 ELSE o_orderkey * 1.0 END)::DOUBLE AS amount FROM orders")
 def parse_money(t):
     k = F.col("o_orderkey")
     written = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(" lakh"))).when(k % 3 == 1, F.concat(k.cast("string"), F.lit(" thousand"))).otherwise(F.concat(F.lit("INR "), k.cast("string")))
