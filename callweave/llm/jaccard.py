@@ -10,10 +10,11 @@ when they share at least T = ceil(80 * (|x| + |y|) / 180) shingles.
 * DivideSkip: the ceil(0.8 |x|) - 1 longest lists of x are set aside; whatever shares T shingles with x
   must appear at least once in the others. Those short lists are merged by Spark's sort; the members they
   bring forth are probed against the long lists by binary search, until T is reached or missed.
-* No list is expanded into pairs at once. Each list first offers its members to one pivot (long lists: one
-  pivot for each of SALTS parts, and these to one another). Links make components, and only members of
-  different components are then paired within a list. Counts and positions bound the possible overlap
-  before a pair is probed.
+* No list is expanded into pairs. Each list first offers its members to one pivot (long lists: one pivot for
+  each of SALTS parts, and these to one another), and links make components. Members that are still in
+  different components are then searched in blocks: lists that begin with the same member go together, the
+  members outside its largest component are the queries, and each block merges the short lists and probes
+  the long ones inside its task. A block gives out one link for two components at most.
 
 Defined cases: a null text, or one without words, is empty, links with nothing and is its own component; a
 text of fewer than 5 words is one shingle; a null doc_id ranks after all others and stays null where it is
@@ -86,7 +87,7 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), min(255, int(8 * np.log2(1 + long)))
 
 
-CLASSES = "doc_id long, digest binary, size long, short array<long>"
+CLASSES = "doc_id long, digest binary, size long, common double, short array<long>"
 
 
 def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
@@ -97,7 +98,7 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
 
         for batch in batches:
             for a, texts in text_runs(batch, 1, RUN_BYTES):
-                digests, sizes, shorts = [], [], []
+                digests, sizes, commons, shorts = [], [], [], []
                 for t in texts:
                     s = shingles(t)
                     one, two = _cells(s)
@@ -106,14 +107,15 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
                     kept = s[order].astype(np.int64)
                     digests.append(xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
+                    commons.append(float(q.mean()) if len(s) else 0.0)
                     shorts.append(np.where(q[order] >= long, -1 - kept, kept))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in shorts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                        batch.column(0).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(shorts))),
                     ],
-                    ["doc_id", "digest", "size", "short"],
+                    ["doc_id", "digest", "size", "common", "short"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(work, CLASSES)
@@ -132,46 +134,132 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _first(rows: DataFrame, *keys: str) -> DataFrame:
-    """Give every member of a list its pivot, the smallest set."""
+    """Give every member of a list its pivot: the set whose shingles lie in the longest lists on average.
+
+    Edits make rare shingles, so the original of a group of near copies comes first and links to most of them."""
     over = Window.partitionBy(*keys)
-    return rows.withColumns({"a": F.first("b").over(over.orderBy("b.size", "b.id")), "members": F.count(F.lit(1)).over(over)})
+    return rows.withColumns({"a": F.first("b").over(over.orderBy(F.col("b.common").desc(), "b.size", "b.id")), "members": F.count(F.lit(1)).over(over)})
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of classes whose sets share T shingles."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, items (the sorted set as bytes) of the given classes."""
     wanted = ids.join(classes.select("id", "doc"), "id")
     texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc)).select("id", "text")
 
-    def sets(batches):
+    def work(batches):
         for batch in batches:
             for a, found in text_runs(batch, 1, RUN_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, len(found)), pa.array([shingles(t).tobytes() for t in found], pa.binary())], ["id", "items"]
                 )
 
-    sets_of = materialise(texts.mapInArrow(sets, "id long, items binary"), "jaccard-sets")
+    return materialise(texts.mapInArrow(work, "id long, items binary"), "jaccard-sets")
+
+
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets link: the smaller one's items are probed in the other by binary search."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    shared = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+    return 100 * shared >= NEED * (len(p) + len(q) - shared)
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs of classes whose sets share T shingles."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+    items = sets_of(ids, classes, docs)
 
     def probe(batches):
         for batch in batches:
             xs, ys, one, two = batch.columns
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(two[i].as_buffer(), np.uint64)
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.searchsorted(large, small)
-                shared = int(np.count_nonzero(large[np.minimum(at, len(large) - 1)] == small))
-                if 100 * shared >= NEED * (len(p) + len(q) - shared):
-                    keep.append(i)
+            keep = [i for i in range(batch.num_rows) if similar(np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(two[i].as_buffer(), np.uint64))]
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([xs.take(rows), ys.take(rows)], ["x", "y"])
 
-    left = sets_of.select(F.col("id").alias("x"), F.col("items").alias("p"))
-    right = sets_of.select(F.col("id").alias("y"), F.col("items").alias("q"))
+    left = items.select(F.col("id").alias("x"), F.col("items").alias("p"))
+    right = items.select(F.col("id").alias("y"), F.col("items").alias("q"))
     found = pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(probe, "x long, y long")
     return materialise(found.distinct(), "jaccard-links")
 
 
+class Lists:
+    """Inverted lists of a block of sets, for T-occurrence search by DivideSkip."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
+        items = np.concatenate(sets)
+        order = np.argsort(items, kind="stable")  # members ascend within a list
+        self.keys, starts = np.unique(items[order], return_index=True)
+        self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.starts = np.append(starts, len(items))
+
+    def search(self, query: np.ndarray, open_members: np.ndarray) -> list[int]:
+        """Members among the open ones (a mask) that share T items with the query."""
+        at = np.searchsorted(self.keys, query)
+        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == query)]
+        least = -(-NEED * len(query) // 100)  # T of any partner is at least this
+        if len(at) < least:
+            return []
+        lengths = self.starts[at + 1] - self.starts[at]
+        at = at[np.argsort(lengths, kind="stable")]
+        short = at[: len(at) - (least - 1)]  # the T - 1 longest lists are set aside
+        merged = np.concatenate([self.members[self.starts[k] : self.starts[k + 1]] for k in short])
+        seen = np.bincount(merged, minlength=len(self.sets))
+        need = -(-NEED * (len(query) + self.sizes) // (100 + NEED))
+        maybe = np.flatnonzero((seen > 0) & open_members & (seen + least - 1 >= need) & (np.minimum(self.sizes, len(query)) >= need))
+        return [i for i in maybe.tolist() if similar(query, self.sets[i])]
+
+
+BLOCK = 512
+
+
+def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links between members of one list that lie in different components so far; None if no list has such.
+
+    Lists with the same first member are searched together, in blocks of about BLOCK queries by BLOCK
+    indexed sets. Queries are the members outside a list's largest component; all members are indexed.
+    """
+    rest = offered.filter((F.col("salt") > 0) | ((F.col("members") > 2) & (F.col("a.id") != F.col("b.id"))))
+    rest = rest.select("shingle", F.col("b.id").alias("id")).join(labels, "id", "left").select("shingle", "id", F.coalesce("label", "id").alias("label"))
+    rest = materialise(rest, "jaccard-rest")
+    lists = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).filter("low < high")
+    lists = materialise(lists.select("shingle", "group"), "jaccard-open")
+    member = materialise(rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label")), "jaccard-members")
+    if member.isEmpty():
+        return None
+    by_label = member.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_label.groupBy("group").agg(F.sum("n").alias("all"), F.max_by("label", "n").alias("main"), F.max("n").alias("settled"))
+    blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK).cast("int")
+    groups = materialise(groups.select("group", "main", blocks(F.col("all")).alias("rows"), blocks(F.col("all") - F.col("settled")).alias("columns")), "jaccard-groups")
+    placed = member.join(groups, "group").withColumn("asks", F.col("label") != F.col("main"))
+    hashed = F.xxhash64("id")
+    row, column = F.pmod(hashed, F.col("rows")).cast("int"), F.pmod(hashed, F.col("columns")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    indexed = placed.select("group", "id", "label", row.alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
+    asking = placed.filter("asks").select("group", "id", "label", every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
+    items = sets_of(member.select("id").distinct(), classes, docs)
+
+    def search(key, part):
+        asks = np.array(part.column("asks").to_pylist(), dtype=bool)
+        ids, marks = part.column("id").to_numpy(), part.column("label").to_numpy().copy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("items")]
+        stored = np.flatnonzero(~asks)
+        xs, ys = [], []
+        if len(stored):
+            index, of = Lists([sets[i] for i in stored]), marks[stored].copy()
+            for i in np.flatnonzero(asks):
+                for hit in index.search(sets[i], of != marks[i]):
+                    if of[hit] != marks[i]:  # one link to a component is enough
+                        xs.append(ids[i])
+                        ys.append(ids[stored[hit]])
+                        old = of[hit]
+                        of[of == old] = marks[i]
+                        marks[marks == old] = marks[i]
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+    work = indexed.unionByName(asking).join(items, "id").groupBy("group", "row", "column")
+    return materialise(work.applyInArrow(search, "x long, y long").distinct(), "jaccard-links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id -> least id reachable, for the ids that have links: labels travel along links, then along labels."""
     both = materialise(links.select(F.col("x").alias("id"), F.col("y").alias("to")).union(links.select(F.col("y"), F.col("x"))).distinct(), "links")
@@ -194,13 +282,13 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lengths, long = sketch(docs)
     rows = materialise(class_rows(docs, lengths, long), "jaccard-rows")
     filled = rows.filter("size > 0")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("short").alias("short"))
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("short").alias("short"))
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
-    lists = classes.select(F.struct("id", "size").alias("c"), F.posexplode("short").alias("pos", "key")).select(
+    lists = classes.select(F.struct("id", "size", "common").alias("c"), F.posexplode("short").alias("pos", "key")).select(
         F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("shingle"),
         F.when(F.col("key") < 0, F.pmod(F.xxhash64("c.id"), F.lit(SALTS)) + 1).otherwise(0).alias("salt"),
-        F.struct("c.id", "c.size", "pos").alias("b"),
+        F.struct("c.id", "c.size", "c.common", "pos").alias("b"),
     )
     offered = materialise(_first(lists, "shingle", "salt").filter((F.col("members") > 1) | (F.col("salt") > 0)), "jaccard-lists")
     pivots = offered.filter((F.col("salt") > 0) & (F.col("a.id") == F.col("b.id"))).select("shingle", "b")
@@ -209,16 +297,9 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     labels = components(links)
 
     # members that no pivot has settled: lists of three or more, seen in different components
-    rest = offered.filter((F.col("salt") > 0) | ((F.col("members") > 2) & (F.col("a.id") != F.col("b.id"))))
-    rest = rest.select("shingle", "b", F.col("b.id").alias("id")).join(labels, "id", "left").select("shingle", "b", F.coalesce("label", "id").alias("label"))
-    rest = materialise(rest, "jaccard-rest")
-    open_lists = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    rest = materialise(rest.join(open_lists, "shingle", "left_semi"), "jaccard-open")
-    one, two = rest.select("shingle", F.col("b").alias("a"), F.col("label").alias("other")), rest
-    across = _pairs(one.join(two, "shingle").filter((F.col("other") < F.col("label")))).distinct()
-    more = materialise(across, "jaccard-across")
-    if not more.isEmpty():
-        labels = components(links.union(verified(more, classes, docs)))
+    more = across(offered, labels, classes, docs)
+    if more is not None:
+        labels = components(links.union(more))
 
     member = classes.select("id", "digest", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = member.groupBy("label").agg(F.min("doc").alias("component_id"))
