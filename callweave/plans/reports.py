@@ -88,10 +88,10 @@ def join_published(t):
     return t.documents.join(t.labels.filter("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("join_left_count", "SELECT o_orderkey, n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+@query("join_left_count", "SELECT o_orderkey, n::DOUBLE AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
 def join_left_count(t):
     counts = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return t.orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "n")
+    return t.orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("n").cast("double").alias("n"))
 
 
 @query("join_anti_orphans", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")

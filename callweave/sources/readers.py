@@ -40,13 +40,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def records_of(name: str, content: bytes) -> list[dict]:
+def records_of(name: str, content: bytes, kind: str | None = None) -> list[dict]:
     import csv
     import io
     import json
 
     text = content.decode("utf-8-sig")
-    kind = sniff(name, text[:200])
+    kind = kind or sniff(name, text[:200])
     if kind == "csv":
         out = []
         for row in csv.DictReader(io.StringIO(text)):
@@ -67,8 +67,8 @@ def records_of(name: str, content: bytes) -> list[dict]:
     return [r for r in loaded or [] if isinstance(r, dict)]
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below a folder, sorted: source (`seed:` and name), position, record as JSON.
+def read_folder(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Every file below a folder, sorted: source (`seed:` and name), position, record as JSON. `kind` names a format.
 
     A file that can't be read gives one row with position -1 and its error, and does not stop the rest.
     """
@@ -80,7 +80,7 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
             for full, content in zip(batch.path, batch.content, strict=True):
                 name = full.rsplit("/", 1)[-1]
                 try:
-                    found = records_of(name, bytes(content))
+                    found = records_of(name, bytes(content), kind)
                     rows += [(f"seed:{name}", i, json.dumps(r, sort_keys=True, default=str, ensure_ascii=False)) for i, r in enumerate(found)]
                 except (ValueError, RuntimeError) as bad:
                     rows.append((f"seed:{name}", -1, json.dumps({"error": str(bad)[:200]})))
