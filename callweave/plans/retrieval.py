@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from callweave.functions.text import STOPWORDS
@@ -190,3 +190,31 @@ def vec_ann(t):
     from callweave.operators.ann import neighbours
 
     return neighbours(t.embeddings, t.embeddings.filter(VECTOR_QUERIES), 10)
+
+
+@query("answer", None)
+def answer(t):
+    """Questions answered in bulk: topic and intent, best documents, the sentence that says most, amounts checked.
+
+    A question without a document at or above the gate, or on a sensitive topic, goes to a person.
+    """
+    from callweave.functions import classify, udfs
+
+    best = _reranked(t).filter("rank = 1").select("item_id", "doc_id", "score")
+    asked = t.benchmark.select("item_id", "text", classify.topic(F.col("text"))["label"].alias("topic"), classify.intent(F.col("text"))["label"].alias("intent"))
+    found = asked.join(best, "item_id", "left").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id", "left")
+    parts = found.withColumns({"words": search.tokenize(F.col("text")), "parts": F.filter(F.split(F.coalesce("body", F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.length(s) <= 240)})
+    scored = F.transform("parts", lambda s, i: F.struct(F.size(F.array_intersect("words", search.tokenize(s))).alias("n"), (-i).alias("i"), s.alias("s")))
+    said = parts.withColumn("said", F.coalesce(F.array_max(scored)["s"], F.lit("")))
+    bad = udfs.numeric_grounding("said", F.coalesce("body", F.lit("")))
+    checked = said.withColumn("ungrounded", F.size(bad))
+    way = F.when(F.col("topic") == "sensitive", "person").when(F.coalesce("score", F.lit(0.0)) < 0.22, "person").when(F.col("ungrounded") > 0, "clarify").otherwise("answer")
+    return checked.select("item_id", "topic", "intent", "doc_id", "score", "said", way.alias("decision"))
+
+
+@query("lookup_facts", RERANK_SQL + " SELECT item_id, string_agg(source || '/' || lang, ',' ORDER BY place) AS facts FROM k JOIN documents USING (doc_id) WHERE place <= 3 GROUP BY 1")
+def lookup_facts(t):
+    """Facts of a question's three best records, in order."""
+    best = _reranked(t).filter("rank <= 3").select("item_id", "doc_id", "rank").join(t.documents.select("doc_id", "source", "lang"), "doc_id")
+    facts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("/", "source", "lang").alias("f")))), lambda x: x["f"])
+    return best.groupBy("item_id").agg(F.array_join(facts, ",").alias("facts"))
