@@ -13,8 +13,8 @@ when they share at least T = ceil(80 * (|x| + |y|) / 180) shingles.
 * No list is expanded into pairs. Each list first offers its members to one pivot (long lists: one pivot for
   each of SALTS parts, and these to one another), and links make components. Members that are still in
   different components are then searched in blocks: lists that begin with the same member go together, the
-  members outside its largest component are the queries, and each block merges the short lists and probes
-  the long ones inside its task. A block gives out one link for two components at most.
+  members outside its largest component are the queries, and a block compares parity maps inside its task.
+  A map bounds the overlap exactly from above, so what it rules out cannot link; the rest is probed.
 
 Defined cases: a null text, or one without words, is empty, links with nothing and is its own component; a
 text of fewer than 5 words is one shingle; a null doc_id ranks after all others and stays null where it is
@@ -87,7 +87,30 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), min(255, int(8 * np.log2(1 + long)))
 
 
-CLASSES = "doc_id long, digest binary, size long, common double, short array<long>"
+def parity(s: np.ndarray) -> np.ndarray:
+    """One bit for each of about 4 cells a shingle, set where an odd number of the set's shingles falls.
+
+    Two sets whose maps differ in d bits differ in d shingles at least, so they share (|x| + |y| - d) / 2 at most."""
+    width = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Maps (one a row) narrowed to fewer words: cells that fall together add their parities."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def can_link(size_x, size_y, differ):
+    """Whether sets whose maps differ in so many bits can share T shingles."""
+    most = np.minimum((size_x + size_y - differ) // 2, np.minimum(size_x, size_y))
+    return most * (100 + NEED) >= NEED * (size_x + size_y)
+
+
+CLASSES = "doc_id long, digest binary, size long, common double, bits binary, short array<long>"
 
 
 def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
@@ -98,7 +121,7 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
 
         for batch in batches:
             for a, texts in text_runs(batch, 1, RUN_BYTES):
-                digests, sizes, commons, shorts = [], [], [], []
+                digests, sizes, commons, maps, shorts = [], [], [], [], []
                 for t in texts:
                     s = shingles(t)
                     one, two = _cells(s)
@@ -108,14 +131,15 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
                     digests.append(xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     commons.append(float(q.mean()) if len(s) else 0.0)
+                    maps.append(parity(s).tobytes())
                     shorts.append(np.where(q[order] >= long, -1 - kept, kept))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in shorts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()),
+                        batch.column(0).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()), pa.array(maps, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(shorts))),
                     ],
-                    ["doc_id", "digest", "size", "common", "short"],
+                    ["doc_id", "digest", "size", "common", "bits", "short"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(work, CLASSES)
@@ -163,6 +187,26 @@ def similar(p: np.ndarray, q: np.ndarray) -> bool:
     return 100 * shared >= NEED * (len(p) + len(q) - shared)
 
 
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Drop pairs that their parity maps rule out, before any set is sent."""
+
+    def work(batches):
+        for batch in batches:
+            xs, ys, size_x, size_y, one, two = batch.columns
+            keep = []
+            for i in range(batch.num_rows):
+                p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (one, two))
+                words = min(len(p), len(q))
+                if can_link(size_x[i].as_py(), size_y[i].as_py(), int(np.bitwise_count(fold(p, words) ^ fold(q, words)).sum())):
+                    keep.append(i)
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([xs.take(rows), ys.take(rows)], ["x", "y"])
+
+    left = classes.select(F.col("id").alias("x"), F.col("size").alias("m"), F.col("bits").alias("p"))
+    right = classes.select(F.col("id").alias("y"), F.col("size").alias("n"), F.col("bits").alias("q"))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "m", "n", "p", "q").mapInArrow(work, "x long, y long")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs of classes whose sets share T shingles."""
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
@@ -181,49 +225,22 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return materialise(found.distinct(), "jaccard-links")
 
 
-class Lists:
-    """Inverted lists of a block of sets, for T-occurrence search by DivideSkip."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
-        items = np.concatenate(sets)
-        order = np.argsort(items, kind="stable")  # members ascend within a list
-        self.keys, starts = np.unique(items[order], return_index=True)
-        self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]
-        self.starts = np.append(starts, len(items))
-
-    def search(self, query: np.ndarray, open_members: np.ndarray) -> list[int]:
-        """Members among the open ones (a mask) that share T items with the query."""
-        at = np.searchsorted(self.keys, query)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == query)]
-        least = -(-NEED * len(query) // 100)  # T of any partner is at least this
-        if len(at) < least:
-            return []
-        lengths = self.starts[at + 1] - self.starts[at]
-        at = at[np.argsort(lengths, kind="stable")]
-        short = at[: len(at) - (least - 1)]  # the T - 1 longest lists are set aside
-        merged = np.concatenate([self.members[self.starts[k] : self.starts[k + 1]] for k in short])
-        seen = np.bincount(merged, minlength=len(self.sets))
-        need = -(-NEED * (len(query) + self.sizes) // (100 + NEED))
-        maybe = np.flatnonzero((seen > 0) & open_members & (seen + least - 1 >= need) & (np.minimum(self.sizes, len(query)) >= need))
-        return [i for i in maybe.tolist() if similar(query, self.sets[i])]
-
-
 BLOCK = 512
 
 
-def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Links between members of one list that lie in different components so far; None if no list has such.
+def across(offered: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Pairs in one list that lie in different components so far and that their maps allow; None if there are none.
 
     Lists with the same first member are searched together, in blocks of about BLOCK queries by BLOCK
-    indexed sets. Queries are the members outside a list's largest component; all members are indexed.
+    indexed members, inside a task. Queries are the members outside a list's largest component.
     """
     rest = offered.filter((F.col("salt") > 0) | ((F.col("members") > 2) & (F.col("a.id") != F.col("b.id"))))
     rest = rest.select("shingle", F.col("b.id").alias("id")).join(labels, "id", "left").select("shingle", "id", F.coalesce("label", "id").alias("label"))
     rest = materialise(rest, "jaccard-rest")
     lists = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).filter("low < high")
     lists = materialise(lists.select("shingle", "group"), "jaccard-open")
-    member = materialise(rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label")), "jaccard-members")
+    member = rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label"))
+    member = materialise(member.join(classes.select("id", "size", "bits"), "id"), "jaccard-members")
     if member.isEmpty():
         return None
     by_label = member.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -234,30 +251,32 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     hashed = F.xxhash64("id")
     row, column = F.pmod(hashed, F.col("rows")).cast("int"), F.pmod(hashed, F.col("columns")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    indexed = placed.select("group", "id", "label", row.alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
-    asking = placed.filter("asks").select("group", "id", "label", every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
-    items = sets_of(member.select("id").distinct(), classes, docs)
+    own = ["group", "id", "label", "size", "bits"]
+    indexed = placed.select(*own, row.alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
+    asking = placed.filter("asks").select(*own, every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
 
     def search(key, part):
         asks = np.array(part.column("asks").to_pylist(), dtype=bool)
-        ids, marks = part.column("id").to_numpy(), part.column("label").to_numpy().copy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("items")]
-        stored = np.flatnonzero(~asks)
+        ids, marks, sizes = (part.column(c).to_numpy() for c in ("id", "label", "size"))
+        maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("bits")]
+        width = np.array([len(m) for m in maps])
         xs, ys = [], []
-        if len(stored):
-            index, of = Lists([sets[i] for i in stored]), marks[stored].copy()
-            for i in np.flatnonzero(asks):
-                for hit in index.search(sets[i], of != marks[i]):
-                    if of[hit] != marks[i]:  # one link to a component is enough
-                        xs.append(ids[i])
-                        ys.append(ids[stored[hit]])
-                        old = of[hit]
-                        of[of == old] = marks[i]
-                        marks[marks == old] = marks[i]
-        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
-
-    work = indexed.unionByName(asking).join(items, "id").groupBy("group", "row", "column")
-    return materialise(work.applyInArrow(search, "x long, y long").distinct(), "jaccard-links")
+        for w in np.unique(width[~asks]):  # members that can link have maps of the same or the next width
+            at = np.flatnonzero(~asks & (width == w))
+            index = np.stack([maps[i] for i in at])
+            for v in (w // 2, w, 2 * w):
+                words = min(v, w)
+                narrow = fold(index, words)
+                for i in np.flatnonzero(asks & (width == v)):
+                    differ = np.bitwise_count(narrow ^ fold(maps[i], words)).sum(axis=1, dtype=np.int64)
+                    hit = at[can_link(sizes[i], sizes[at], differ) & (marks[at] != marks[i])]
+                    xs.append(np.minimum(ids[hit], ids[i]))
+                    ys.append(np.maximum(ids[hit], ids[i]))
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"x": np.concatenate([none, *xs]), "y": np.concatenate([none, *ys])})
+
+    work = indexed.unionByName(asking).groupBy("group", "row", "column")
+    return materialise(work.applyInArrow(search, "x long, y long").distinct(), "jaccard-across")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,7 +301,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lengths, long = sketch(docs)
     rows = materialise(class_rows(docs, lengths, long), "jaccard-rows")
     filled = rows.filter("size > 0")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("short").alias("short"))
+    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("bits").alias("bits"), F.first("short").alias("short"))
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
     lists = classes.select(F.struct("id", "size", "common").alias("c"), F.posexplode("short").alias("pos", "key")).select(
@@ -293,13 +312,13 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     offered = materialise(_first(lists, "shingle", "salt").filter((F.col("members") > 1) | (F.col("salt") > 0)), "jaccard-lists")
     pivots = offered.filter((F.col("salt") > 0) & (F.col("a.id") == F.col("b.id"))).select("shingle", "b")
     pairs = _pairs(offered).union(_pairs(_first(pivots, "shingle")))
-    links = verified(materialise(pairs.distinct(), "jaccard-pairs"), classes, docs)
+    links = verified(materialise(possible(pairs.distinct(), classes), "jaccard-pairs"), classes, docs)
     labels = components(links)
 
     # members that no pivot has settled: lists of three or more, seen in different components
-    more = across(offered, labels, classes, docs)
+    more = across(offered, labels, classes)
     if more is not None:
-        labels = components(links.union(more))
+        labels = components(links.union(verified(more, classes, docs)))
 
     member = classes.select("id", "digest", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = member.groupBy("label").agg(F.min("doc").alias("component_id"))
