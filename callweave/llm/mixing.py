@@ -134,7 +134,7 @@ def oracle(source: str = "documents", rounds: int = ROUNDS, powers: dict = POWER
     for a in axes:
         steps.append(f"t_{a} AS (SELECT {a}, pow(sum(tokens) / any_value(total), {float(powers[a])}) AS p FROM c0, tot GROUP BY {a})")
         steps.append(f"g_{a} AS (SELECT {a}, p / (SELECT sum(p) FROM t_{a}) AS target_{a} FROM t_{a})")
-    steps.append("w0 AS MATERIALIZED (SELECT c0.*, total, target_source, target_lang, target_topic, tokens AS weight FROM c0, tot JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic))".replace("FROM c0, tot JOIN", "FROM c0 CROSS JOIN tot JOIN"))
+    steps.append("w0 AS MATERIALIZED (SELECT c0.*, total, target_source, target_lang, target_topic, tokens AS weight FROM c0 CROSS JOIN tot JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic))")
     k = 0
     for _ in range(rounds):
         for a in axes:
