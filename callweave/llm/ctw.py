@@ -11,9 +11,10 @@ so a decision's probability is a chain of posterior-weighted mixtures from the r
 is a table: counts of (context, byte) are summed over the whole corpus, subtrees are worked in buckets of
 contexts, the levels above them by grouped sums and joins, and nothing of it is collected.
 
-Texts are dealt by id into blocks of about BLOCK_BYTES. A block ships the distinct (context, byte) pairs
-and words it holds, gets their scores back by join, and sums them per document; so a task needs the part
-of the model that its own block uses, and no broadcast grows with the corpus.
+Texts are dealt by id into blocks of about BLOCK_BYTES. A block packs its distinct (context, byte) pairs, by
+bucket of contexts, and its words, by bucket of words, into sorted and compressed runs; a bucket adds up the
+runs of all blocks, and sends each block the scores of its own run. So a task needs the part of the model
+that its own block uses, rows are runs and not single pairs, and no broadcast grows with the corpus.
 
 Defined cases: a null or empty text is the end alone; a null id is a training document (crc32 of the empty
 text mod FOLDS is 0); repeated rows are scored alike and trained on as often as they come; an empty table
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -34,10 +36,12 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 DEPTH, ROOT, FOLDS, HELD_OUT = 5, 2, 7, 2
-BLOCK_BYTES, BUCKET_GRAMS = 16 << 20, 100_000
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20  # text of a block; text of the corpus for each bucket of pairs
 END = 10  # the end byte; no word holds it
 RUN_BYTES = 1 << 20
-ENTRY = "block long, gram long, word binary, n long"
+RUN = "block long, size long, items binary, amounts binary"
+ENTRY = "bucket long, is_word boolean, " + RUN
+WORD_RUN = RUN + ", n_all long, n_known long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
@@ -109,10 +113,50 @@ def held_out_fold(column: str) -> Column:
     return F.pmod(crc, F.lit(FOLDS)) == HELD_OUT
 
 
-def block_counts(blocks: DataFrame, depth: int) -> DataFrame:
-    """The distinct grams and words of each block, with their training counts (0 if only others hold them)."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed planes of their bytes."""
+    from zstandard import ZstdCompressor
+
+    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+
+    planes = np.frombuffer(ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def turn(grams: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes of the context in the other order, so that sorting brings equal newest bytes together; its own inverse."""
+    if not depth:
+        return grams
+    context = (grams >> 8).astype(np.uint64).byteswap() >> np.uint64(64 - 8 * depth)
+    return context.astype(np.int64) << 8 | grams & 255
+
+
+def pack_grams(turned: np.ndarray) -> bytes:
+    return pack(np.diff(turned, prepend=0))
+
+
+def unpack_grams(raw: bytes, depth: int) -> np.ndarray:
+    return turn(np.cumsum(unpack(raw)), depth)
+
+
+def _edges(buckets: np.ndarray) -> list[tuple[int, int]]:
+    """(start, stop) of the runs of equal values."""
+    cuts = np.flatnonzero(np.diff(buckets)) + 1
+    edges = [0, *cuts.tolist(), len(buckets)]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+def block_counts(blocks: DataFrame, depth: int, root: int, buckets: int) -> DataFrame:
+    """The distinct grams and words of each block in runs by bucket, with training counts (0 if only others hold them)."""
 
     def work(key, part):
+        from zstandard import ZstdCompressor
+
         words, gram_parts = Counter(), []
         unseen: set[bytes] = set()
         held = part.column("held_out").to_pylist()
@@ -129,19 +173,59 @@ def block_counts(blocks: DataFrame, depth: int) -> DataFrame:
                 else:
                     words.update(w)
         codes, unique = pd.factorize(np.concatenate([u for u, _ in gram_parts]))
-        n = np.bincount(codes, weights=np.concatenate([c for _, c in gram_parts]), minlength=len(unique))
+        n = np.bincount(codes, weights=np.concatenate([c for _, c in gram_parts]), minlength=len(unique)).astype(np.int64)
         for w in unseen:
             words.setdefault(w, 0)
-        number = key[0].as_py()
-        size = len(unique) + len(words)
-        gram = pa.concat_arrays([pa.array(unique, pa.int64()), pa.nulls(len(words), pa.int64())])
-        word = pa.concat_arrays([pa.nulls(len(unique), pa.binary()), pa.array(list(words), pa.binary())])
-        count = pa.concat_arrays([pa.array(n.astype(np.int64)), pa.array(list(words.values()), pa.int64())])
-        return pa.table({"block": pa.array(np.full(size, number, dtype=np.int64)), "gram": gram, "word": word, "n": count})
+        rows = []
+        turned = turn(unique, depth)
+        # contexts of `root` bytes stay together: a subtree has one bucket
+        dealt = ((turned >> 8 * (depth + 1 - root)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.lexsort((turned, dealt))
+        turned, n, dealt = turned[order], n[order], dealt[order]
+        for a, b in _edges(dealt):
+            rows.append((int(dealt[a]), False, b - a, pack_grams(turned[a:b]), pack(n[a:b])))
+        named = sorted(words)
+        dealt = np.fromiter(map(crc32, named), np.int64, len(named)) % buckets
+        order = np.argsort(dealt, kind="stable")
+        dealt = dealt[order]
+        amounts = np.fromiter(map(words.__getitem__, named), np.int64, len(named))[order]
+        squeeze = ZstdCompressor(level=1).compress
+        for a, b in _edges(dealt):
+            rows.append((int(dealt[a]), True, b - a, squeeze(b" ".join([named[i] for i in order[a:b]])), pack(amounts[a:b])))
+        bucket, is_word, size, items, counts = zip(*rows, strict=True)
+        return pa.table({
+            "bucket": pa.array(bucket, pa.int64()), "is_word": pa.array(is_word, pa.bool_()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64()),
+            "size": pa.array(size, pa.int64()), "items": pa.array(items, pa.binary()), "amounts": pa.array(counts, pa.binary()),
+        })
 
     return blocks.groupBy("block").applyInArrow(work, ENTRY)
 
 
+def word_counts(runs: DataFrame) -> DataFrame:
+    """Runs of words with their counts over the corpus; n_all and n_known (of the bucket) stand in its first row."""
+
+    def work(part):
+        words = [split_words(x) for x in part.column("items").to_pylist()]
+        amounts = np.concatenate([unpack(x) for x in part.column("amounts").to_pylist()])
+        codes, unique = pd.factorize(np.array([w for run in words for w in run], dtype=object))
+        n = np.bincount(codes, weights=amounts, minlength=len(unique)).astype(np.int64)
+        sizes = part.column("size").to_numpy()
+        per_run = [pack(x) for x in np.split(n[codes], np.cumsum(sizes)[:-1])]
+        first = np.arange(len(sizes)) == 0
+        return pa.table({
+            "block": part.column("block"), "size": part.column("size"), "items": part.column("items"), "amounts": pa.array(per_run, pa.binary()),
+            "n_all": pa.array(first * int(n.sum())), "n_known": pa.array(first * int(np.count_nonzero(n))),
+        })
+
+    return runs.groupBy("bucket").applyInArrow(work, WORD_RUN)
+
+
+def split_words(raw: bytes) -> list[bytes]:
+    from zstandard import ZstdDecompressor
+
+    return ZstdDecompressor().decompress(raw).split(b" ")
+
+
 def _runs(texts):
     import pyarrow.compute as pc
 
@@ -191,19 +275,24 @@ def _leaves(gram: np.ndarray, n: np.ndarray):
     return nodes, zeros, ones, codes, bits
 
 
-def gram_scores(counts: DataFrame, depth: int = DEPTH, root: int = ROOT) -> DataFrame:
-    """(gram, n) over the corpus -> (gram, lp): log10 of the weighted probability of its byte in its context.
+def _summed(part, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's runs: distinct grams, their counts, and the place of every item among them."""
+    every = np.concatenate([unpack_grams(x, depth) for x in part.column("items").to_pylist()])
+    amounts = np.concatenate([unpack(x) for x in part.column("amounts").to_pylist()])
+    gram, codes = np.unique(every, return_inverse=True)
+    return gram, np.bincount(codes, weights=amounts, minlength=len(gram)), codes
+
+
+def gram_scores(bucketed: DataFrame, depth: int = DEPTH, root: int = ROOT) -> DataFrame:
+    """Runs of grams -> the same runs, with log10 of the weighted probability of each byte in its context (4-byte floats).
 
     Subtrees below contexts of `root` bytes are worked in numpy, many to a bucket; the few levels above
     are built and walked by grouped sums and joins.
     """
-    root = min(root, depth)
-    buckets = max(1, math.ceil(counts.count() / BUCKET_GRAMS))
-    context = (1 << (8 * (root + 1))) - 256  # the newest bytes of the context
-    bucketed = counts.select(F.pmod(F.xxhash64(F.col("gram").bitwiseAND(context)), F.lit(buckets)).alias("bucket"), "gram", "n")
 
     def roots(key, part):
-        nodes, zeros, ones, *_ = _leaves(part.column("gram").to_numpy(), part.column("n").to_numpy())
+        gram, n, _ = _summed(part, depth)
+        nodes, zeros, ones, *_ = _leaves(gram, n)
         nodes, zeros, ones, log_w, weight, _ = climb(nodes, zeros, ones, depth, root)[-1]
         bucket = np.full(len(nodes), key[0].as_py(), dtype=np.int64)
         return pa.table({"bucket": bucket, "node": nodes, "zeros": zeros.astype(np.int64), "ones": ones.astype(np.int64), "log_w": log_w})
@@ -236,44 +325,47 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH, root: int = ROOT) -> Data
         above = top.select("bucket", "node", F.lit(0.0).alias("total"), F.lit(1.0).alias("rest"))
 
     def work(part, above):
-        gram = part.column("gram").to_numpy()
-        nodes, zeros, ones, codes, bits = _leaves(gram, part.column("n").to_numpy())
+        gram, n, places = _summed(part, depth)
+        nodes, zeros, ones, codes, bits = _leaves(gram, n)
         levels = climb(nodes, zeros, ones, depth, root)
         order = np.argsort(above.column("node").to_numpy())  # the same root nodes, in the order of climb()
         one = descend(levels, above.column("total").to_numpy()[order], above.column("rest").to_numpy()[order])[codes]
         logs = np.log10(np.where(bits == 1, one, 1 - one)).reshape(8, -1).sum(axis=0)
-        return pa.table({"gram": gram, "lp": logs})
+        per_run = [x.tobytes() for x in np.split(logs[places].astype("<f4"), np.cumsum(part.column("size").to_numpy())[:-1])]
+        return pa.table({"block": part.column("block"), "size": part.column("size"), "items": part.column("items"), "amounts": pa.array(per_run, pa.binary())})
 
-    return bucketed.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(work, "gram long, lp double")
+    return bucketed.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(work, RUN)
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score and bits per byte."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    n_blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
+    root = min(ROOT, depth)
     own = own.withColumns({"held_out": held_out_fold("doc_id"), "block": F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))})
-    entries = materialise(block_counts(own, depth), "ctw-entries")
-    gram_part = entries.filter("gram is not null").select("block", "gram", "n")
-    word_part = entries.filter("word is not null").select("block", "word", "n")
-    counts = materialise(gram_part.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-grams")
-    words = materialise(word_part.groupBy("word").agg(F.sum("n").alias("n")), "ctw-words")
-    sums = words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    entries = materialise(block_counts(own, depth, root, buckets), "ctw-entries")
+    words = materialise(word_counts(entries.filter("is_word")), "ctw-words")
+    sums = words.agg(F.sum("n_all"), F.sum("n_known")).first()
     train_docs = own.filter(~F.col("held_out")).count()
     n_train, vocabulary = (sums[0] or 0) + train_docs, (sums[1] or 0) + (train_docs > 0)  # each training text ends once
-    lp = materialise(gram_scores(counts, depth), "ctw-scores")
-    back = gram_part.select("block", "gram").join(lp, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("lp").alias("value"))
-    back_words = word_part.select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value"))
+    lp = gram_scores(entries.filter("not is_word").drop("is_word"), depth, root)
+    columns = ["block", "size", "items", "amounts"]
+    back = lp.select(F.lit(False).alias("is_word"), *columns).unionByName(words.select(F.lit(True).alias("is_word"), *columns))
     below = math.log10(n_train + vocabulary + 1)
 
     def work(texts, model):
-        is_gram = np.asarray(model.column("gram").is_valid())
-        gram = model.column("gram").drop_null().to_numpy()
-        lps = model.column("value").to_numpy()[is_gram]
+        none = np.zeros(0, dtype=np.int64)
+        pair_runs, lps, known = [none], [none.astype(np.float64)], {}
+        for is_word, items, amounts in zip(*(model.column(c).to_pylist() for c in ("is_word", "items", "amounts")), strict=True):
+            if is_word:
+                known.update(zip(split_words(items), unpack(amounts).tolist(), strict=True))
+            else:
+                pair_runs.append(unpack_grams(items, depth))
+                lps.append(np.frombuffer(amounts, "<f4").astype(np.float64))
+        gram, lps = np.concatenate(pair_runs), np.concatenate(lps)
         order = np.argsort(gram)
         gram, lps = gram[order], lps[order]
-        rest = model.filter(pa.array(~is_gram))
-        known = dict(zip(rest.column("word").to_pylist(), rest.column("value").to_pylist(), strict=True))
         out, column = [], texts.column("text")
         for a, b in _runs(column):
             split = [tokens(t or "") for t in column.slice(a, b - a).to_pylist()]
@@ -294,7 +386,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def column_of(part, name):
         return part.column(name)
 
-    scored = own.groupBy("block").cogroup(back.unionByName(back_words).groupBy("block")).applyInArrow(work, SCORES)
+    scored = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(work, SCORES)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
