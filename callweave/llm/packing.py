@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table, text_runs
 
 CAPACITY, PIECE, GROUP, END_ID = 2048, 512, 512, 1
-WORDS_KEPT = 800_000  # words in a generation of a worker's cache
+WORDS_KEPT, RUN_BYTES = 200_000, 1 << 20  # words in a generation of a worker's cache; text encoded at once
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
@@ -195,7 +195,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         encode = encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for a, texts in text_runs(batch, 1):
+            for a, texts in text_runs(batch, 1, RUN_BYTES):
                 at, starts, lengths, sums, totals, deals = [], [], [], [], [], []
                 deal = batch.column(2).slice(a, len(texts)).to_pylist()
                 for i, ids in enumerate(encode(texts)):

@@ -32,7 +32,7 @@ FEATURES = 2 * DIMS + 1
 
 #: Letters of any script, digits, and runs of other signs; upper and lower case stay different words.
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[!-/:-@\[-`{-~]+")
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 
 def word_rows(text: str) -> np.ndarray:
