@@ -332,8 +332,10 @@ def carry_forward(t):
 
 @query("ord_distinct", "SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(list(role)), lambda x: [list_position(list(role ORDER BY turn, role, text), x)::VARCHAR, x])), lambda x: x[2]), ',') AS roles FROM conversations GROUP BY conv_id HAVING count(*) < 10")
 def ord_distinct(t):
-    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["role"])
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.array_distinct(roles), ",").alias("roles"), F.count(F.lit(1)).alias("n")).filter("n < 10").drop("n")
+    """Each conversation's roles by first turn. A role is cut to its first turn before a conversation is gathered."""
+    first = t.conversations.groupBy("conv_id", "role").agg(F.min("turn").alias("turn"))
+    roles = F.transform(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull(), "turn", "role"))), lambda x: x["role"])
+    return first.groupBy("conv_id").agg(F.array_join(roles, ",").alias("roles"))
 
 
 @query("setops", "SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
