@@ -15,20 +15,35 @@ def planes(tables: int, bits: int, dims: int, seed: int = 3) -> list[list[list[f
     return [[[rng.gauss(0, 1) for _ in range(dims)] for _ in range(bits)] for _ in range(tables)]
 
 
+def sides(vector: Column, normals: list[list[float]]) -> list[Column]:
+    """The vector's signed margin to each plane."""
+    return [F.aggregate(F.zip_with(vector, F.array(*[F.lit(x) for x in n]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) for n in normals]
+
+
 def bucket(vector: Column, normals: list[list[float]]) -> Column:
     """The signs of the vector against each plane, as one number."""
     code = F.lit(0)
-    for i, normal in enumerate(normals):
-        side = F.aggregate(F.zip_with(vector, F.array(*[F.lit(x) for x in normal]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    for i, side in enumerate(sides(vector, normals)):
         code = code + F.when(side > 0, 1 << i).otherwise(0)
     return code
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, bits: int = 4, dims: int = 64) -> DataFrame:
-    """query_id, vec_id, rank, score. Every vector is indexed; a query meets those of its bucket in any table."""
+def probes(vector: Column, normals: list[list[float]], flips: int) -> Column:
+    """The vector's code, and the codes that differ in one of its `flips` bits of least margin."""
+    code = bucket(vector, normals)
+    near = F.slice(F.array_sort(F.array(*[F.struct(F.abs(side).alias("margin"), F.lit(1 << i).alias("bit")) for i, side in enumerate(sides(vector, normals))])), 1, flips)
+    return F.concat(F.array(code), F.transform(near, lambda n: code.bitwiseXOR(n["bit"])))
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 8, bits: int = 4, dims: int = 64, flips: int = 2) -> DataFrame:
+    """query_id, vec_id, rank, score. Every vector is indexed; a query meets those of its probed buckets in any table."""
     normals = planes(tables, bits, dims)
-    code = F.array(*[F.struct(F.lit(i).alias("table"), bucket(F.col("embedding"), n).alias("code")) for i, n in enumerate(normals)])
-    stored = vectors.select("vec_id", "embedding", F.explode(code).alias("at")).select("vec_id", "embedding", "at.table", "at.code")
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(code).alias("at")).select("query_id", "query", "at.table", "at.code")
-    met = stored.join(asked, ["table", "code"]).select("query_id", "vec_id", cosine(F.col("query"), F.col("embedding")).alias("score")).dropDuplicates(["query_id", "vec_id"])
+    stored = vectors.select("vec_id", "embedding", F.array(*[bucket(F.col("embedding"), n) for n in normals]).alias("codes"))
+    stored = stored.select("vec_id", "embedding", "codes", F.posexplode("codes").alias("table", "code"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.array(*[probes(F.col("embedding"), n, flips) for n in normals]).alias("probes"))
+    asked = asked.select("query_id", "query", "probes", F.posexplode("probes").alias("table", "near")).select("query_id", "query", "probes", "table", F.explode("near").alias("code"))
+    before = F.lit(False)  # a pair is scored in the first table where it meets
+    for i in range(tables - 1):
+        before = before | ((F.col("table") > i) & F.array_contains(F.col("probes")[i], F.col("codes")[i]))
+    met = stored.join(asked, ["table", "code"]).filter(~before).select("query_id", "vec_id", cosine(F.col("query"), F.col("embedding")).alias("score")).dropDuplicates(["query_id", "vec_id"])
     return top(met, k, "query_id", tie="vec_id").select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
