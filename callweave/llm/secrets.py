@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_runs
 
-TRAIN_DOCS, MADE_WINDOWS, WINDOW = 3000, 400, 12
+TRAIN_DOCS, MADE_WINDOWS, WINDOW, MOST_WINDOWS = 3000, 400, 12, 20_000
 WORDS_KEPT = 200_000
 O, B, I = 0, 1, 2  # noqa: E741
 
@@ -164,8 +164,8 @@ class Tagger:
                 seen = np.zeros((3, 3))
                 np.add.at(seen, (gold[:-1], gold[1:]), 1)
                 self.w["pair"] += step * (seen - pairs)
-            for name in self.w:
-                self.w[name] *= 1 - decay * len(order)
+                for w in self.w.values():
+                    w *= max(0.0, 1 - decay * step)
         return self
 
 
@@ -219,11 +219,23 @@ def made_windows(contexts: list[list[str]], count: int = MADE_WINDOWS, seed: int
     return out
 
 
+def surplus_out(rows: list, most: int) -> list:
+    """At most `most` windows, sampled by hash of their tokens, in the order given."""
+    if len(rows) <= most:
+        return rows
+    by_hash = sorted(range(len(rows)), key=lambda i: (hashlib.sha256("\x00".join(rows[i].tokens).encode("utf-8", "replace")).digest(), i))
+    return [rows[i] for i in sorted(by_hash[:most])]
+
+
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = TRAIN_DOCS) -> Tagger:
-    """Fit on windows of at most `sample` documents, chosen by hash of the id, and on made lines."""
-    own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    chosen = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    part = own.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most `sample` ids
+    """Fit on windows of at most `sample` documents, chosen by hash of id and text, and on made lines.
+
+    A repeated row counts once; of an id with several texts, each text counts as a document.
+    """
+    own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("print", F.xxhash64("text"))
+    chosen = own.select(F.col("doc_id").alias("id"), F.col("print").alias("its")).distinct().orderBy(F.xxhash64("id", "its"), "id", "its").limit(sample)
+    part = own.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("print") == F.col("its")), "left_semi")
+    part = part.dropDuplicates(["doc_id", "print"])  # at most `sample` rows
 
     def work(batches):
         for batch in batches:
@@ -244,11 +256,11 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     kind = "tokens array<string>, classes array<long>, file long, tags array<long>"
     rows = part.select("text").mapInArrow(work, kind).collect()  # at most 8 windows of 25 tokens a sampled document
     rows.sort(key=lambda r: (r.tokens, r.file))
-    windows = [(np.array(r.classes), r.file, np.array(r.tags)) for r in rows]
+    windows = [(np.array(r.classes), r.file, np.array(r.tags)) for r in surplus_out(rows, MOST_WINDOWS - MADE_WINDOWS)]
     for tokens, tags in made_windows([r.tokens for r in rows if not any(r.tags)][:200]):
         classes = np.fromiter(map(word_class, tokens), np.int64, len(tokens))
         windows.append((classes, file_class(classes), np.array(tags)))
-    return Tagger().fit(windows[:20_000], rounds=4)
+    return Tagger().fit(windows, rounds=4)
 
 
 SCAN = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
