@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table, text_runs
 
 CAPACITY, PIECE, GROUP, END_ID = 2048, 512, 512, 1
-WORDS_KEPT, RUN_BYTES = 200_000, 1 << 20  # words in a generation of a worker's cache; text encoded at once
+WORDS_KEPT, RUN_BYTES = 400_000, 1 << 20  # words in a generation of a worker's cache; text encoded at once
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
