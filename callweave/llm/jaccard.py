@@ -6,32 +6,44 @@ when they share at least T = ceil(80 * (|x| + |y|) / 180) shingles.
 * Equal sets are one class first, so copies cost one row.
 * Every document orders its shingles by one corpus-wide order, from short to long inverted lists. Lengths
   come from a count sketch of fixed size over all shingles; any fixed order gives exact results, the
-  sketch only makes it a good one.
-* DivideSkip: the ceil(0.8 |x|) - 1 longest lists of x are set aside; whatever shares T shingles with x
-  must appear at least once in the others. Those short lists are merged by Spark's sort; the members they
-  bring forth are probed against the long lists by binary search, until T is reached or missed.
-* No list is expanded into pairs. Each list first offers its members to one pivot (long lists: one pivot for
-  each of SALTS parts, and these to one another), and links make components. Members that are still in
-  different components are then searched in blocks: lists that begin with the same member go together, the
-  members outside its largest component are the queries, and a block compares parity maps inside its task.
-  A map bounds the overlap exactly from above, so what it rules out cannot link; the rest is probed.
-
-Defined cases: a null text, or one without words, is empty, links with nothing and is its own component; a
-text of fewer than 5 words is one shingle; a null doc_id ranks after all others and stays null where it is
-alone; repeated rows get the same values; an empty table gives an empty result; extra columns are not read.
+  sketch only makes it a good one. The ceil(0.8 |x|) - 1 longest lists are set aside: whatever shares T
+  shingles with x meets x in one of the others. Only those short lists are shuffled.
+* Lists name the members that have to be searched. A block of members is an inverted index inside its task
+  (`Lists`), and a query is a T-occurrence search there: its short lists are merged by a heap that counts
+  occurrences, members with T - L of them or more are probed in the L long lists by binary search, and
+  those that reach T link.
+* No list is expanded into pairs. First each list asks with one pivot (long lists: one for each of their
+  salted parts, and these among one another) over blocks of its members, and links make components. Lists
+  that still hold several components then ask with the members outside the largest one. Lists that begin
+  with the same member go together; large ones are cut into blocks of queries and blocks of members, small
+  ones share a block.
+
+Blocks carry texts, which are smaller than sets of hashes, and follow the number of members and the size of
+their sets, so a very long text has a block of few others. Defined cases: a null text, or one without words,
+is empty, links with nothing and is its own component; a text of fewer than 5 words is one shingle; a null
+doc_id ranks after all others and stays null where it is alone; an id with several texts is as many
+documents; repeated rows get the same values; an empty table gives an empty result; extra columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_runs
+from .common import discard, free_names, materialise, table, text_runs
 
 WORDS, NEED = 5, 80  # words of a shingle; least similarity in hundredths
-CELLS, WIDE, SALTS = 1 << 20, 64, 64
+CELLS, WIDE = 1 << 20, 64
+PART = 4096  # members of a salted part of a long list, about
+BLOCK, LARGEST, ITEMS = 128, 2048, 4 << 20  # members of a block: at least, at most for large groups; shingles of a block
+SKIP, MERGED = 0.01, 2000  # DivideSkip's constant; postings beyond which further lists count as long
 RUN_BYTES = 2 << 20
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _TOP = np.uint64((1 << 63) - 1)
@@ -87,41 +99,18 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), min(255, int(8 * np.log2(1 + long)))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """One bit for each of about 4 cells a shingle, set where an odd number of the set's shingles falls.
-
-    Two sets whose maps differ in d bits differ in d shingles at least, so they share (|x| + |y| - d) / 2 at most."""
-    width = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
-    odd = np.bincount((s >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
-
-
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """Maps (one a row) narrowed to fewer words: cells that fall together add their parities."""
-    while bits.shape[-1] > words:
-        half = bits.shape[-1] // 2
-        bits = bits[..., :half] ^ bits[..., half:]
-    return bits
-
-
-def can_link(size_x, size_y, differ):
-    """Whether sets whose maps differ in so many bits can share T shingles."""
-    most = np.minimum((size_x + size_y - differ) // 2, np.minimum(size_x, size_y))
-    return most * (100 + NEED) >= NEED * (size_x + size_y)
-
-
-CLASSES = "doc_id long, digest binary, size long, common double, bits binary, short array<long>"
+CLASSES = "doc_id long, print long, digest binary, size long, common double, short array<long>"
 
 
 def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
-    """Per document: digest and size of its set, and its short lists in order (long ones among them as -1 - shingle)."""
+    """Per document: a hash of its text, digest and size of its set, and its short lists in order (long ones among them as -1 - shingle)."""
 
     def work(batches):
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             for a, texts in text_runs(batch, 1, RUN_BYTES):
-                digests, sizes, commons, maps, shorts = [], [], [], [], []
+                digests, sizes, commons, shorts = [], [], [], []
                 for t in texts:
                     s = shingles(t)
                     one, two = _cells(s)
@@ -131,18 +120,17 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
                     digests.append(xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     commons.append(float(q.mean()) if len(s) else 0.0)
-                    maps.append(parity(s).tobytes())
                     shorts.append(np.where(q[order] >= long, -1 - kept, kept))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in shorts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()), pa.array(maps, pa.binary()),
+                        batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(shorts))),
                     ],
-                    ["doc_id", "digest", "size", "common", "bits", "short"],
+                    ["doc_id", "print", "digest", "size", "common", "short"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, CLASSES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(work, CLASSES)
 
 
 def _possible(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> Column:
@@ -151,10 +139,10 @@ def _possible(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> C
     return F.least(most, size_a, size_b) * (100 + NEED) >= NEED * (size_a + size_b)
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    a, b = F.col("a.id"), F.col("b.id")
-    ok = (a != b) & _possible(F.col("a.size"), F.col("a.pos"), F.col("b.size"), F.col("b.pos"))
-    return rows.filter(ok).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+def _asks(rows: DataFrame) -> DataFrame:
+    """(asks, id, size): a pivot and a member of its list whose sets can share T."""
+    ok = (F.col("a.id") != F.col("b.id")) & _possible(F.col("a.size"), F.col("a.pos"), F.col("b.size"), F.col("b.pos"))
+    return rows.filter(ok).select(F.col("a.id").alias("asks"), F.col("b.id").alias("id"), F.col("b.size").alias("size"))
 
 
 def _first(rows: DataFrame, *keys: str) -> DataFrame:
@@ -165,74 +153,114 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumns({"a": F.first("b").over(over.orderBy(F.col("b.common").desc(), "b.size", "b.id")), "members": F.count(F.lit(1)).over(over)})
 
 
-def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, items (the sorted set as bytes) of the given classes."""
-    wanted = ids.join(classes.select("id", "doc"), "id")
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc)).select("id", "text")
-
-    def work(batches):
-        for batch in batches:
-            for a, found in text_runs(batch, 1, RUN_BYTES):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(found)), pa.array([shingles(t).tobytes() for t in found], pa.binary())], ["id", "items"]
-                )
-
-    return materialise(texts.mapInArrow(work, "id long, items binary"), "jaccard-sets")
-
-
-def similar(p: np.ndarray, q: np.ndarray) -> bool:
-    """Whether two sorted sets link: the smaller one's items are probed in the other by binary search."""
-    small, large = (p, q) if len(p) <= len(q) else (q, p)
-    shared = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
-    return 100 * shared >= NEED * (len(p) + len(q) - shared)
+class Lists:
+    """Inverted lists over the sets of a block, for T-occurrence search by DivideSkip."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        items = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(items, kind="stable")  # members ascend within a list
+        self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.items, starts = np.unique(items[order], return_index=True)
+        self.edges = np.append(starts, len(items))
+        self.lengths = np.diff(self.edges)
+        self.keys = np.repeat(np.arange(len(self.items)), self.lengths) * max(1, len(sets)) + self.members  # (list, member), sorted
+        self.least = int(self.sizes.min()) if len(sets) else 0
 
-def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Drop pairs that their parity maps rule out, before any set is sent."""
-
-    def work(batches):
-        for batch in batches:
-            xs, ys, size_x, size_y, one, two = batch.columns
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (one, two))
-                words = min(len(p), len(q))
-                if can_link(size_x[i].as_py(), size_y[i].as_py(), int(np.bitwise_count(fold(p, words) ^ fold(q, words)).sum())):
-                    keep.append(i)
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([xs.take(rows), ys.take(rows)], ["x", "y"])
-
-    left = classes.select(F.col("id").alias("x"), F.col("size").alias("m"), F.col("bits").alias("p"))
-    right = classes.select(F.col("id").alias("y"), F.col("size").alias("n"), F.col("bits").alias("q"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "m", "n", "p", "q").mapInArrow(work, "x long, y long")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of classes whose sets share T shingles."""
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
-    items = sets_of(ids, classes, docs)
-
-    def probe(batches):
-        for batch in batches:
-            xs, ys, one, two = batch.columns
-            keep = [i for i in range(batch.num_rows) if similar(np.frombuffer(one[i].as_buffer(), np.uint64), np.frombuffer(two[i].as_buffer(), np.uint64))]
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([xs.take(rows), ys.take(rows)], ["x", "y"])
-
-    left = items.select(F.col("id").alias("x"), F.col("items").alias("p"))
-    right = items.select(F.col("id").alias("y"), F.col("items").alias("q"))
-    found = pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(probe, "x long, y long")
-    return materialise(found.distinct(), "jaccard-links")
-
+    def search(self, query: np.ndarray) -> np.ndarray:
+        """The members that share T or more shingles with the query."""
+        none = np.zeros(0, dtype=np.int64)
+        if not len(query) or not len(self.items):
+            return none
+        at = np.minimum(np.searchsorted(self.items, query), len(self.items) - 1)
+        lists = at[self.items[at] == query]
+        small = max(self.least, -(-NEED * len(query) // 100))  # no smaller set can link
+        least = -(-NEED * (len(query) + small) // (100 + NEED))
+        if len(lists) < least:
+            return none
+        lists = lists[np.argsort(self.lengths[lists], kind="stable")]
+        n_long = min(least - 1, int(least / (SKIP * math.log2(max(2, int(self.lengths[lists[-1]]))) + 1)))
+        merged = int(np.searchsorted(np.cumsum(self.lengths[lists]), MERGED, side="right"))
+        n_short = max(len(lists) - least + 1, min(len(lists) - n_long, merged))
+        short, long = lists[:n_short], lists[n_short:]
+        heads = [self.members[a:b].tolist() for a, b in zip(self.edges[short].tolist(), self.edges[short + 1].tolist(), strict=True)]
+        enough, found, shared = least - len(long), [], []
+        for member, run in groupby(heapq.merge(*heads)):
+            if (n := sum(1 for _ in run)) >= enough:
+                found.append(member)
+                shared.append(n)
+        found, shared = np.array(found, dtype=np.int64), np.array(shared, dtype=np.int64)
+        need = -(-NEED * (len(query) + self.sizes[found]) // (100 + NEED))
+        for a in range(0, len(long), 256):  # a member leaves once the lists that are left cannot bring it to T
+            part = long[a : a + 256]
+            stays = shared + len(long) - a >= need
+            found, shared, need = found[stays], shared[stays], need[stays]
+            probe = part[:, None] * len(self.sizes) + found
+            hit = self.keys[np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)] == probe
+            shared = shared + hit.sum(axis=0)
+        return found[shared >= need]
+
+
+def _wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text: one text of each of the given classes."""
+    wanted = ids.join(classes.select("id", "doc", "print"), "id")
+    same = docs.doc_id.eqNullSafe(wanted.doc) & (F.xxhash64(docs.text) == wanted.print)
+    return materialise(docs.join(wanted, same).select("id", "text").dropDuplicates(["id"]), "jaccard-texts")
+
+
+def occurrences(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links x < y found by searching, in every block, the rows that ask among those that are indexed.
+
+    placed: block, id, label, asks. Rows with equal labels are settled and give no link."""
 
-BLOCK = 512
+    def search(key, part):
+        own = {}
+        for i, (n, label, asks) in enumerate(zip(*(part.column(c).to_pylist() for c in ("id", "label", "asks")), strict=True)):
+            own.setdefault((n, asks), (i, label))
+        text = part.column("text")
+        indexed, asking = ([(n, *own[n, a]) for n, a in sorted(own) if a == kind] for kind in (False, True))
+        lists = Lists([shingles(text[i].as_py()) for _, i, _ in indexed])
+        ids, labels = np.array([n for n, _, _ in indexed], dtype=np.int64), np.array([m for _, _, m in indexed], dtype=np.int64)
+        xs, ys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for n, i, label in asking:
+            hit = lists.search(shingles(text[i].as_py()))
+            hit = ids[hit[labels[hit] != label]]
+            xs.append(np.minimum(hit, n))
+            ys.append(np.maximum(hit, n))
+        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+
+    filled = placed.join(texts, "id").select("block", "id", "label", "asks", "text")
+    return materialise(filled.groupBy("block").applyInArrow(search, "x long, y long").distinct(), "jaccard-links")
+
+
+def _blocks(count: Column, items: Column, block: Column | int = BLOCK) -> Column:
+    """How many blocks hold so many members with so many shingles."""
+    return F.greatest(F.ceil(count / block), F.ceil(items / ITEMS), F.lit(1)).cast("int")
+
+
+def _bundled(rows: DataFrame, *keys: str) -> DataFrame:
+    """Number blocks so that about BLOCK rows share a number."""
+    n = max(1, -(-rows.count() // BLOCK))
+    return rows.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)))
+
+
+def by_pivots(offered: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between each list's pivot and its members."""
+    pivots = offered.filter((F.col("salt") > 0) & (F.col("a.id") == F.col("b.id"))).select("shingle", "b")
+    asks = materialise(_asks(offered).union(_asks(_first(pivots, "shingle"))).distinct(), "jaccard-asks")
+    parts = asks.groupBy("asks").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+    dealt = asks.join(materialise(parts, "jaccard-parts"), "asks").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = materialise(_bundled(dealt, "asks", "part"), "jaccard-dealt")
+    indexed = dealt.select("block", "id", F.col("id").alias("label"), F.lit(False).alias("asks"))
+    asking = dealt.select("block", F.col("asks").alias("id"), F.col("asks").alias("label"), F.lit(True).alias("asks"))
+    return occurrences(indexed.unionByName(asking).distinct(), texts)
 
 
-def across(offered: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Pairs in one list that lie in different components so far and that their maps allow; None if there are none.
+def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links between members of one list that lie in different components so far; None if no list holds several.
 
-    Lists with the same first member are searched together, in blocks of about BLOCK queries by BLOCK
-    indexed members, inside a task. Queries are the members outside a list's largest component.
+    Lists with the same first member are searched together. Queries are the members outside the largest
+    component of such a group; every block of queries meets every block of its members.
     """
     rest = offered.filter((F.col("salt") > 0) | ((F.col("members") > 2) & (F.col("a.id") != F.col("b.id"))))
     rest = rest.select("shingle", F.col("b.id").alias("id")).join(labels, "id", "left").select("shingle", "id", F.coalesce("label", "id").alias("label"))
@@ -240,43 +268,25 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     lists = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).filter("low < high")
     lists = materialise(lists.select("shingle", "group"), "jaccard-open")
     member = rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label"))
-    member = materialise(member.join(classes.select("id", "size", "bits"), "id"), "jaccard-members")
+    member = materialise(member.join(classes.select("id", "size"), "id"), "jaccard-members")
+    discard(rest, lists)
     if member.isEmpty():
         return None
-    by_label = member.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = by_label.groupBy("group").agg(F.sum("n").alias("all"), F.max_by("label", "n").alias("main"), F.max("n").alias("settled"))
-    blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK).cast("int")
-    groups = materialise(groups.select("group", "main", blocks(F.col("all")).alias("rows"), blocks(F.col("all") - F.col("settled")).alias("columns")), "jaccard-groups")
+    by_label = member.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"))
+    groups = by_label.groupBy("group").agg(
+        F.sum("n").alias("n"), F.sum("items").alias("items"), F.max_by("label", "n").alias("main"), F.max("n").alias("settled"), F.max_by("items", "n").alias("settled_items")
+    )
+    side = F.least(F.greatest(F.col("n") / 16, F.lit(BLOCK)), F.lit(LARGEST))
+    rows, columns = _blocks(F.col("n"), F.col("items"), side), _blocks(F.col("n") - F.col("settled"), F.col("items") - F.col("settled_items"), side)
+    groups = materialise(groups.select("group", "main", rows.alias("rows"), columns.alias("columns")), "jaccard-groups")
     placed = member.join(groups, "group").withColumn("asks", F.col("label") != F.col("main"))
     hashed = F.xxhash64("id")
     row, column = F.pmod(hashed, F.col("rows")).cast("int"), F.pmod(hashed, F.col("columns")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["group", "id", "label", "size", "bits"]
-    indexed = placed.select(*own, row.alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
-    asking = placed.filter("asks").select(*own, every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
-
-    def search(key, part):
-        asks = np.array(part.column("asks").to_pylist(), dtype=bool)
-        ids, marks, sizes = (part.column(c).to_numpy() for c in ("id", "label", "size"))
-        maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("bits")]
-        width = np.array([len(m) for m in maps])
-        xs, ys = [], []
-        for w in np.unique(width[~asks]):  # members that can link have maps of the same or the next width
-            at = np.flatnonzero(~asks & (width == w))
-            index = np.stack([maps[i] for i in at])
-            for v in (w // 2, w, 2 * w):
-                words = min(v, w)
-                narrow = fold(index, words)
-                for i in np.flatnonzero(asks & (width == v)):
-                    differ = np.bitwise_count(narrow ^ fold(maps[i], words)).sum(axis=1, dtype=np.int64)
-                    hit = at[can_link(sizes[i], sizes[at], differ) & (marks[at] != marks[i])]
-                    xs.append(np.minimum(ids[hit], ids[i]))
-                    ys.append(np.maximum(ids[hit], ids[i]))
-        none = np.zeros(0, dtype=np.int64)
-        return pa.table({"x": np.concatenate([none, *xs]), "y": np.concatenate([none, *ys])})
-
-    work = indexed.unionByName(asking).groupBy("group", "row", "column")
-    return materialise(work.applyInArrow(search, "x long, y long").distinct(), "jaccard-across")
+    indexed = placed.select("group", "id", "label", row.alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
+    asking = placed.filter("asks").select("group", "id", "label", every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
+    dealt = materialise(_bundled(indexed.unionByName(asking), "group", "row", "column"), "jaccard-dealt")
+    return occurrences(dealt.groupBy("block", "id", "asks").agg(F.min("label").alias("label")), texts)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,8 +300,11 @@ def components(links: DataFrame) -> DataFrame:
         nxt = jump.join(jump.select(F.col("id").alias("label"), F.col("label").alias("further")), "label", "left")
         nxt = materialise(nxt.select("id", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         moved = nxt.join(labels.withColumnRenamed("label", "before"), "id").filter(F.col("label") != F.col("before"))
-        labels, done = nxt, moved.isEmpty()
+        done = moved.isEmpty()
+        discard(jump, labels)
+        labels = nxt
         if done:
+            discard(both)
             return labels
 
 
@@ -301,38 +314,42 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lengths, long = sketch(docs)
     rows = materialise(class_rows(docs, lengths, long), "jaccard-rows")
     filled = rows.filter("size > 0")
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("bits").alias("bits"), F.first("short").alias("short"))
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print"))  # the row whose text stands for the class
+    classes = filled.groupBy("digest").agg(one.alias("one"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("short").alias("short"))
+    classes = classes.select("digest", F.col("one.doc_id").alias("doc"), F.col("one.print").alias("print"), "size", "common", "short")
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
+    salts = -(-rows.count() // PART)  # a list of a third of all rows has a third of these parts in use
     lists = classes.select(F.struct("id", "size", "common").alias("c"), F.posexplode("short").alias("pos", "key")).select(
         F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("shingle"),
-        F.when(F.col("key") < 0, F.pmod(F.xxhash64("c.id"), F.lit(SALTS)) + 1).otherwise(0).alias("salt"),
+        F.when(F.col("key") < 0, F.pmod(F.xxhash64("c.id"), F.lit(max(1, salts))) + 1).otherwise(0).alias("salt"),
         F.struct("c.id", "c.size", "c.common", "pos").alias("b"),
     )
     offered = materialise(_first(lists, "shingle", "salt").filter((F.col("members") > 1) | (F.col("salt") > 0)), "jaccard-lists")
-    pivots = offered.filter((F.col("salt") > 0) & (F.col("a.id") == F.col("b.id"))).select("shingle", "b")
-    pairs = _pairs(offered).union(_pairs(_first(pivots, "shingle")))
-    links = verified(materialise(possible(pairs.distinct(), classes), "jaccard-pairs"), classes, docs)
+    texts = _wanted_texts(offered.select(F.col("b.id").alias("id")).distinct(), classes, docs)
+    links = by_pivots(offered, texts)
     labels = components(links)
 
     # members that no pivot has settled: lists of three or more, seen in different components
-    more = across(offered, labels, classes)
+    more = across(offered, labels, classes, texts)
     if more is not None:
-        labels = components(links.union(verified(more, classes, docs)))
+        discard(labels)
+        labels = components(links.union(more))
 
     member = classes.select("id", "digest", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = member.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = materialise(member.join(least, "label").select("digest", "component_id"), "jaccard-named")
+    discard(classes, offered, texts, links, labels, *([more] if more is not None else []))
     linked = filled.select("doc_id", "size", "digest").join(named, "digest").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return linked.union(rows.filter("size = 0").select("doc_id", "size", "doc_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with the least doc_id of their component, with their own columns."""
-    own = docs.columns
-    kept = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    (name,) = free_names(docs, "kept_id")
+    kept = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     kept = materialise(kept, "jaccard-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi").select(own)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

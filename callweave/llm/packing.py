@@ -1,8 +1,9 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Each document becomes its token ids and an end id. It is cut into full windows, which are sequences by
-themselves, and a remainder, cut into pieces of at most PIECE tokens. Pieces are dealt by hash into bins
-of about GROUP pieces (the bin count follows the input, so no bin grows). In a bin, differencing starts
+themselves, and a remainder, cut into pieces of at most PIECE tokens. Pieces are dealt by a hash of their
+document, place and row number into bins of about GROUP pieces: the bin count follows the input, and equal
+rows go to different bins, so no bin grows. In a bin, differencing starts
 with a partial partition per piece and keeps merging the two with the largest imbalance, the fullest
 window of one with the emptiest of the other, until one is left. The window count starts at
 ceil(sum / capacity) and rises by one while any window exceeds the capacity.
@@ -192,7 +193,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     path = path or vocabulary()
 
     def work(batches):
-        encode = encoder(path)
+        encode, serial = encoder(path), 0
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for a, texts in text_runs(batch, 1, RUN_BYTES):
@@ -201,13 +202,14 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 for i, ids in enumerate(encode(texts)):
                     ids += end
                     tokens = len(ids) // 4
+                    serial += 1
                     for start, n in cuts(tokens):
                         at.append(a + i)
                         starts.append(start)
                         lengths.append(n)
                         sums.append(zlib.crc32(ids[4 * start : 4 * (start + n)]))
                         totals.append(tokens)
-                        deals.append((deal[i] * 31 + start * 0x9E3779B97F4A7C1) % (1 << 62))
+                        deals.append((deal[i] * 31 + start * 0x9E3779B97F4A7C1 + serial * 0xD6E8FEB86659FD9) % (1 << 62))
                 doc = batch.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [doc, *[pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals, deals)]],
@@ -215,7 +217,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 )
 
     own = docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"cast(`{text_column}` as string) text").withColumn(
-        "deal", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+        "deal", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(1 << 40))
     )
     return own.mapInArrow(work, PIECES)
 
