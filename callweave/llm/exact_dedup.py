@@ -1,14 +1,18 @@
 """Exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass 1 hashes every text into two rows of slots and counts slots; a slot hit twice sets one bit of a
-"repeated" filter. Pass 2 probes both rows: a document with an unset bit is certainly unique and goes
-straight through without a shuffle; only the rest (true repeats and a few false positives) are grouped
-by SHA-256. The filter has a fixed largest size (FILTER_BITS per row), so its broadcast is bounded; past
-that size more unique rows take the shuffled way, and the result stays the same.
-
-Defined cases: null text counts as empty; of equal texts the largest doc_id stays (null lowest); rows
-that repeat a document (same doc_id and text) get the same values and the filter form keeps one of them;
-an empty table gives an empty result; further columns of the input are not touched.
+Texts are hashed once into a table of ids and SHA-256 digests. Pass 1 gives every digest a slot in each of two
+rows and counts slots; a slot hit twice sets one bit of a "repeated" filter. Pass 2 probes both rows: a document
+with an unset bit is certainly unique and goes straight through; only the rest (true repeats and about one in
+seventy of the others) are grouped by digest. The filter has BITS_PER_ROW bits a document at every size. It is a
+table of maps of MAP_BITS bits: up to BROADCAST_BITS a row it is broadcast, beyond that documents meet its maps
+by a join on the map number, which moves digests and no texts.
+
+Dropping copies works on the documents themselves: the filter of pass 2 then holds the digests that do repeat,
+and only documents that meet it are shuffled with their texts (past BROADCAST_BITS, each is moved once to its map).
+
+Defined cases: null text counts as empty; texts are hashed whole, however long; of equal texts the largest doc_id
+stays (null lowest); rows that repeat a document (same doc_id and text) get the same values and the filter form
+keeps one of them; an empty table gives an empty result; further columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, table
 
 MAP_BITS = 32768  # bits of one map made by bitmap_construct_agg
-FILTER_BITS = 1 << 26  # largest filter, per row of slots: 8 MB
+BROADCAST_BITS = 1 << 28  # largest row of the filter that is broadcast: 32 MB
 BITS_PER_ROW = 8
 
 
@@ -37,77 +41,68 @@ def _bit(bitmap: Column, slot: Column) -> Column:
 
 
 def filter_bits(rows: int) -> int:
-    return min(FILTER_BITS, max(MAP_BITS, 1 << math.ceil(math.log2(max(1, rows * BITS_PER_ROW)))))
+    return max(MAP_BITS, 1 << math.ceil(math.log2(max(1, rows * BITS_PER_ROW))))
 
 
 def _maps(slots: DataFrame, row: int) -> DataFrame:
-    return slots.groupBy(F.floor(F.col("slot") / MAP_BITS).alias(f"__map{row}")).agg(
-        F.expr(f"bitmap_construct_agg(int(slot % {MAP_BITS}))").alias(f"__bits{row}")
-    )
+    """map{row}, bits{row}: the filter's maps over a column of slots."""
+    return slots.groupBy(F.floor(F.col("slot") / MAP_BITS).alias(f"map{row}")).agg(F.expr(f"bitmap_construct_agg(int(slot % {MAP_BITS}))").alias(f"bits{row}"))
 
 
-def _mark(hashed: DataFrame, digest: str) -> DataFrame:
-    """Add __again: false only if the digest certainly occurs once."""
-    bits = filter_bits(hashed.count())
-    slots = _slots(F.col(digest), bits)
-    for i, slot in enumerate(slots):
-        twice = hashed.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        maps = _maps(twice, i)
-        hashed = hashed.withColumn(f"__map{i}", F.floor(slot / MAP_BITS)).join(F.broadcast(maps), f"__map{i}", "left")
-    return hashed.withColumn("__again", _bit(F.col("__bits0"), slots[0]) & _bit(F.col("__bits1"), slots[1])).drop(
-        "__map0", "__bits0", "__map1", "__bits1"
-    )
+def _probed(rows: DataFrame, bits: int, maps: list[DataFrame]) -> DataFrame:
+    """Add `again`: whether both bits of the row's digest are set."""
+    slots, own = _slots(F.col("digest"), bits), rows.columns
+    for i, (slot, each) in enumerate(zip(slots, maps, strict=True)):
+        # past the bound both sides are plain scans, so the join splits a map that a hot text asks for
+        each = F.broadcast(each) if bits <= BROADCAST_BITS else materialise(each, f"exact-maps{i}")
+        rows = rows.withColumn(f"map{i}", F.floor(slot / MAP_BITS)).join(each, f"map{i}", "left")
+    return rows.select(*own, (_bit(F.col("bits0"), slots[0]) & _bit(F.col("bits1"), slots[1])).alias("again"))
 
 
-def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("doc_id"), F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("text_sha256"))
+def marked(hashed: DataFrame) -> DataFrame:
+    """Add `again` to rows with a `digest`: false only if the digest certainly occurs once."""
+    bits = filter_bits(hashed.count())
+    twice = [hashed.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1") for slot in _slots(F.col("digest"), bits)]
+    return _probed(hashed, bits, [_maps(t, i) for i, t in enumerate(twice)])
 
 
-def _groups(again: DataFrame) -> DataFrame:
-    return again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+def digest_of(text_column: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_column).cast("string"), F.lit("")), 256)
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    marked = materialise(_mark(_hashed(docs, id_column, text_column), "text_sha256"), "exact-marked")
-    again = marked.filter("__again")
-    groups = materialise(_groups(again), "exact-groups")
+    hashed = materialise(docs.select(F.col(id_column).alias("doc_id"), digest_of(text_column).alias("digest")), "exact-hashed")
+    rows = materialise(marked(hashed), "exact-marked")
+    discard(hashed)
+    again = rows.filter("again")
+    groups = materialise(again.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
     # both sides are plain scans, so a group of a third of all rows is split by the skew join
-    repeated = again.join(groups, "text_sha256")
-    single = marked.filter(~F.col("__again")).withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
-    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    repeated = again.join(groups, "digest")
+    single = rows.filter("not again").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
+    columns = ["doc_id", "keep_id", "group_size", "digest"]
     return (
         single.select(columns)
         .unionByName(repeated.select(columns))
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns. Unique texts never shuffle."""
-    own = docs.columns
-    hashed = docs.withColumn("__digest", F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256))
-    marked = _mark(hashed.select("__digest"), "__digest")
-    digests = materialise(
-        marked.filter("__again").groupBy("__digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__digest"),
-        "exact-repeated",
-    )
-    bits = filter_bits(docs.count())
-    slots = _slots(F.col("__digest"), bits)
-    probe = hashed
-    for i, slot in enumerate(slots):
-        maps = _maps(digests.select(slot.alias("slot")), i)
-        probe = probe.withColumn(f"__map{i}", F.floor(slot / MAP_BITS)).join(F.broadcast(maps), f"__map{i}", "left")
-    probe = probe.withColumn("__again", _bit(F.col("__bits0"), slots[0]) & _bit(F.col("__bits1"), slots[1]))
-    again = probe.filter("__again").select(*own, "__digest")
-    order = F.struct(F.col(id_column).isNotNull(), F.col(id_column))
-    best = again.groupBy("__digest").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in own]), order).alias("row"))
-    return probe.filter(~F.col("__again")).select(own).unionByName(best.select("row.*").select(own))
+    """The documents that stay, with their own columns. Unique texts never shuffle while the filter is broadcast."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest_of(text_column).alias("digest"))
+    hashed = materialise(rows.select("digest"), "exact-digests")
+    repeated = marked(hashed).filter("again").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    repeated = materialise(repeated, "exact-repeated")
+    discard(hashed)
+    bits = filter_bits(repeated.count())
+    probed = _probed(rows, bits, [_maps(repeated.select(slot.alias("slot")), i) for i, slot in enumerate(_slots(F.col("digest"), bits))])
+    own_id = F.col("row").getField(id_column)
+    best = probed.filter("again").groupBy("digest").agg(F.max_by("row", F.struct(own_id.isNotNull(), own_id)).alias("row"))
+    return probed.filter("not again").select("row.*").unionByName(best.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

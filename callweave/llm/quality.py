@@ -9,8 +9,9 @@ temperature that calibrates its probabilities. The word table has a fixed size,
 
 Defined cases: a null or empty text has zero features and the score the network gives them; without any
 label of both classes, every score is the share of label 1 (0.5 without labels); of a document's repeated
-labels the largest counts; repeated rows score alike; an empty table gives an empty result; extra columns
-are not read, and labels, lang, source and doc_id are no features.
+labels the largest counts; repeated rows score alike and train once, and of an id with several texts each is
+a document; an empty table gives an empty result; extra columns are not read and keep their values, one named
+quality_score too; labels, lang, source and doc_id are no features. Whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_runs
+from .common import free_names, table, text_runs
 
 BUCKETS, DIMS, MARKS, REACH = 8192, 32, 4, 2
 TRAIN_ROWS, HIDDEN, EPOCHS, SEED = 20_000, 24, 60, 5
@@ -159,9 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, train_rows: i
                     [batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"]
                 )
 
-    part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most train_rows labels
+    part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("print")).join(F.broadcast(chosen), "doc_id")  # at most train_rows labels
+    part = part.dropDuplicates(["doc_id", "print"]).orderBy(F.xxhash64("doc_id", "print"), "doc_id", "print").limit(train_rows)
     rows = part.select("doc_id", "text", F.col("quality").cast("long")).mapInArrow(work, "doc_id long, quality long, x array<double>").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.x))[: 2 * train_rows]
+    rows.sort(key=lambda r: (r.doc_id, r.x))
     y = np.array([r.quality for r in rows])
     if len(set(y)) < 2:
         return Network(constant=float(y.mean()) if len(y) else 0.5)
@@ -176,9 +178,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     return vectors, train(docs, labels, vectors)
 
 
-def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """The documents' columns and `quality_score`."""
-    schema = docs.withColumn("quality_score", F.lit(0.0)).schema
+def score(docs: DataFrame, vectors: np.ndarray, network: Network, name: str = "quality_score") -> DataFrame:
+    """The documents' columns and the score, as column `name`; docs must have no column of that name."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     at = docs.columns.index("text")
 
     def work(batches):
@@ -186,14 +188,15 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
             for a, texts in text_runs(batch, at, RUN_BYTES):
                 scores = pa.array(network.score(pooled(texts, vectors)))
                 part = batch.slice(a, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, name])
 
     return docs.mapInArrow(work, schema)
 
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with their own columns."""
-    return score(docs, *fitted(docs, labels)).filter(F.col("quality_score") >= ACCEPT).drop("quality_score")
+    (name,) = free_names(docs, "quality_score")
+    return score(docs, *fitted(docs, labels), name).filter(F.col(name) >= ACCEPT).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def test_columns_and_decisions(spark, outputs):
     before, after = outputs["jaccard"]
     assert ids(after) == sorted({r.component_id for r in jaccard.near_classes(before).collect()})
     before, after = outputs["mixing"]
-    assert ids(after) == ids(mixing.sampled(before).filter("__kept"))
+    assert ids(after) == ids(mixing.sampled(before).filter("kept").select("row.*"))
     before, after = outputs["packing"]
     rows = after.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert sorted(r.doc_id for r in rows) == ids(before) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in rows)
