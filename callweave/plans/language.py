@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callweave.functions import classify, text, udfs
-
+from callweave.functions import batches, classify, passages, text
 
 from .catalog import query
 from .retrieval import tokens_sql
@@ -249,17 +248,17 @@ def script_profile(t):
     return t.documents.select("doc_id", *[F.round(classify.script_share(F.col("text"), s), 4).alias(s) for s in ("latin", "devanagari", "arabic")])
 
 
-# --- Arrow functions
+# --- passages, amounts, personal data, vectors
 
 
 @query("split_sentences", None)
 def split_sentences(t):
-    return t.documents.select("doc_id", F.size(udfs.split_sentences("text")).alias("sentences"))
+    return t.documents.select("doc_id", F.size(passages.sentences(F.col("text"))).alias("sentences"))
 
 
 @query("chunk_text", None)
 def chunk_text(t):
-    parts = t.documents.select("doc_id", F.posexplode(udfs.chunk_text("text")).alias("position", "chunk"))
+    parts = t.documents.select("doc_id", F.posexplode(passages.chunks(F.col("text"))).alias("position", "chunk"))
     return parts.select("doc_id", "position", F.length("chunk").alias("chars"), text.content_hash(F.col("chunk")).alias("content_hash"))
 
 
@@ -268,7 +267,7 @@ def chunk_record(t):
     """A first chunk of facts, then the body's chunks, each under the record's header."""
     head = text.header(F.col("source"), F.col("lang"))
     facts = F.concat_ws("\n", head, F.concat(F.lit("Characters: "), F.col("n_chars").cast("string")))
-    body = F.transform(F.coalesce(udfs.chunk_text("text"), F.array().cast("array<string>")), lambda c: F.concat_ws("\n", head, c))
+    body = F.transform(passages.chunks(F.col("text")), lambda c: F.concat_ws("\n", head, c))
     return t.documents.select("doc_id", F.posexplode(F.concat(F.array(facts), body)).alias("position", "chunk")).select("doc_id", "position", F.length("chunk").alias("chars"))
 
 
@@ -282,23 +281,23 @@ def render_facts(t):
 
 @query("slugify", None)
 def slugify(t):
-    return t.documents.select("doc_id", udfs.slugify(F.left("text", F.lit(200))).alias("slug"))
+    return t.documents.select("doc_id", batches.slugify("text").alias("slug"))
 
 
 @query("hash_embed", None)
 def hash_embed(t):
-    vector = udfs.hash_embed(text.expand(F.col("text")), F.col("text"), 64)
+    vector = batches.hash_embed(text.expand(F.col("text")), F.col("text"), 64)
     return t.benchmark.select("item_id", F.transform(vector, lambda x: F.round(x, 5)).alias("embedding"))
 
 
 @query("pii_mask", None)
 def pii_mask(t):
-    return t.documents.select("doc_id", F.sha2(udfs.redact("text"), 256).alias("masked_sha256"))
+    return t.documents.select("doc_id", F.sha2(passages.masked(F.col("text")), 256).alias("masked_sha256"))
 
 
 @query("numbers", None)
 def numbers(t):
-    return t.documents.select("doc_id", F.array_join(udfs.number_set("text"), ",").alias("numbers"))
+    return t.documents.select("doc_id", F.array_join(passages.numbers(F.col("text")), ",").alias("numbers"))
 
 
 @query("num_grounding", None)
@@ -307,12 +306,12 @@ def num_grounding(t):
     said = t.conversations.filter("role = 'assistant'").select("conv_id", "turn", "text")
     asked = t.conversations.filter("role <> 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("context"))
     both = said.join(asked, "conv_id", "left")
-    return both.select("conv_id", "turn", F.array_join(udfs.numeric_grounding("text", F.coalesce("context", F.lit(""))), ",").alias("ungrounded"))
+    return both.select("conv_id", "turn", F.array_join(passages.ungrounded(F.col("text"), F.col("context")), ",").alias("ungrounded"))
 
 
 @query("speech_split", None)
 def speech_split(t):
-    return t.conversations.select("conv_id", "turn", F.size(udfs.speech_split("text")).alias("parts"))
+    return t.conversations.select("conv_id", "turn", F.size(passages.spoken_parts(F.col("text"))).alias("parts"))
 
 
 @query("voice_scrub", None)
@@ -326,7 +325,7 @@ def voice_scrub(t):
 
 @query("dbfs", None)
 def dbfs(t):
-    return t.documents.select("doc_id", F.round(udfs.dbfs(F.encode("text", "utf-8")), 4).alias("level"))
+    return t.documents.select("doc_id", F.round(batches.dbfs(F.encode("text", "utf-8")), 4).alias("level"))
 
 
 @query("augment_query", None)

@@ -198,7 +198,7 @@ def answer(t):
 
     A question without a document at or above the gate, or on a sensitive topic, goes to a person.
     """
-    from callweave.functions import classify, udfs
+    from callweave.functions import classify, passages
 
     best = _reranked(t).filter("rank = 1").select("item_id", "doc_id", "score")
     asked = t.benchmark.select("item_id", "text", classify.topic(F.col("text"))["label"].alias("topic"), classify.intent(F.col("text"))["label"].alias("intent"))
@@ -206,7 +206,7 @@ def answer(t):
     parts = found.withColumns({"words": search.tokenize(F.col("text")), "parts": F.filter(F.split(F.coalesce("body", F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.length(s) <= 240)})
     scored = F.transform("parts", lambda s, i: F.struct(F.size(F.array_intersect("words", search.tokenize(s))).alias("n"), (-i).alias("i"), s.alias("s")))
     said = parts.withColumn("said", F.coalesce(F.array_max(scored)["s"], F.lit("")))
-    bad = udfs.numeric_grounding("said", F.coalesce("body", F.lit("")))
+    bad = passages.ungrounded(F.col("said"), F.col("body"))
     checked = said.withColumn("ungrounded", F.size(bad))
     way = F.when(F.col("topic") == "sensitive", "person").when(F.coalesce("score", F.lit(0.0)) < 0.22, "person").when(F.col("ungrounded") > 0, "clarify").otherwise("answer")
     return checked.select("item_id", "topic", "intent", "doc_id", "score", "said", way.alias("decision"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.functions import classify, text, udfs
+from callweave.functions import batches, classify, passages, text
 
 
 def one(spark, value, make):
@@ -57,40 +57,106 @@ def test_clip(spark):
     assert one(spark, "short", lambda c: text.clip(c, 12)) == "short"
 
 
-def test_mask_is_stable():
-    assert udfs.mask("mail a.b@c.org or 98765 43210") == "mail [email:*******rg] or [phone:********210]"
-    assert udfs.mask("mail a.b@c.org") == udfs.mask("mail a.b@c.org")
+def test_mask(spark):
+    assert one(spark, "mail a.b@c.org or 98765 43210", passages.masked) == "mail [email:*******rg] or [phone:********210]"
+    assert one(spark, "pan ABCDE1234F, id 1234 5678 9012", passages.masked) == "pan [pan:********4F], id [aadhaar:**********12]"
+    assert one(spark, "card 4111111111111111 end", passages.masked) == "card [card:" + "*" * 14 + "11] end" and one(spark, None, passages.masked) == ""
+    assert one(spark, "none here", passages.masked) == "none here" and set(one(spark, "a@b.io 98765 43210", lambda c: passages.found_hashes(c, "k"))) == {"email", "phone"}
 
 
-def test_numeric_grounding():
-    assert udfs.ungrounded("about 1.4 lakh", "the fee is 140000") == []
-    assert udfs.ungrounded("about 9 lakh", "the fee is 140000") == ["900000"]
-    assert udfs.ungrounded("1 lakh 40 thousand", "the fee is 140000") == []
+def ungrounded(spark, answer, context):
+    return spark.createDataFrame([(answer, context)], "a string, c string").select(passages.ungrounded(F.col("a"), F.col("c")).alias("y")).first()["y"]
 
 
-def test_chunks_keep_every_word():
-    body = "\n\n".join(" ".join(f"w{p}x{i}." for i in range(90)) for p in range(6))
-    made = udfs.chunks(body)
-    assert all(len(c) <= udfs.MOST + udfs.OVERLAP + 2 for c in made)
-    assert {w for c in made for w in c.replace("…", " ").split()} >= set(body.split())
-    assert udfs.chunks("") == [] and udfs.chunks("short") == ["short"]
-
-
-def test_sentences_hold_abbreviations():
-    assert udfs.sentences("The BBA LL.B. honours degree. Next one!") == ["The BBA LL.B. honours degree.", "Next one!"]
+def test_numeric_grounding(spark):
+    assert ungrounded(spark, "about 1.4 lakh", "the fee is 140000") == []
+    assert ungrounded(spark, "about 9 lakh", "the fee is 140000") == ["900000"]
+    assert ungrounded(spark, "1 lakh 40 thousand", "the fee is 140000") == []
+    assert one(spark, "1 lakh and a 40 thousand, 7,500", passages.numbers) == ["100000", "40000", "7500", "750000000", "75000000000"]
+    assert one(spark, None, passages.numbers) == []
 
 
-def test_speech_parts():
+def test_chunks_keep_every_word(spark):
+    body = "\n\n".join(" ".join(f"w{p}x{i}." for i in range(90)) for p in range(6))
+    made = one(spark, body, passages.chunks)
+    assert all(len(c) <= passages.MOST + passages.OVERLAP + 2 for c in made) and len(made) > 3
+    assert {w for c in made for w in c.replace("…", " ").split()} >= set(body.split())
+    assert one(spark, "", passages.chunks) == [] and one(spark, " short ", passages.chunks) == ["short"] and one(spark, None, passages.chunks) == []
+
+
+def naive_chunks(text):
+    """Brute force: every way of reading the rule, character by character."""
+    import re
+
+    text = re.sub(r"\n{3,}", "\n\n", text.strip())
+    if len(text) <= 900:
+        return [text] if text else []
+
+    def cut(p):
+        ends, out = [0], []
+        for m in re.finditer(r"[.!?\u0964]\s+", p):
+            before, after = p[: m.start() + 1], p[m.end() :]
+            short = re.search(r"(?<![A-Za-z])[A-Z][A-Za-z]{0,2}\.$", before) and re.match("[a-z0-9]", after)
+            if not short:
+                ends.append(m.end())
+        ends.append(len(p))
+        for a, b in zip(ends, ends[1:]):
+            if p[a:b].strip():
+                out.append(p[a:b].strip())
+        return out
+
+    def pack(parts, limit, glue):
+        out = []
+        for p in parts:
+            if out and len(out[-1] + glue + p) <= limit:
+                out[-1] = out[-1] + glue + p
+            else:
+                out = [*out, p]
+        return out
+
+    blocks = []
+    for p in re.split(r"\n\s*\n", text):
+        if p.strip():
+            blocks += [p.strip()] if len(p.strip()) <= 620 else pack(cut(p.strip()), 620, " ")
+    packed = pack(blocks, 900, "\n")
+    out = packed[:1]
+    for i in range(1, len(packed)):
+        tail = packed[i - 1][-90:].strip()
+        at = tail.find(" ")
+        tail = tail[at + 1 :] if at > 0 and tail[at + 1 :].strip() else tail
+        out.append("…" + tail + " " + packed[i])
+    return [c for c in out if len(c) >= 120] or out
+
+
+def test_chunks_and_sentences_of_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = docs.select("text", passages.chunks(F.col("text")).alias("c")).collect()
+    assert len(got) > 100 and sum(len(r.c) for r in got) > len(got)
+    for r in got:
+        assert r.c == naive_chunks(r.text or "")
+
+
+def test_sentences_hold_abbreviations(spark):
+    assert one(spark, "The BBA LL.B. honours degree. Next one!", passages.sentences) == ["The BBA LL.B. honours degree.", "Next one!"]
+    assert one(spark, "See Dr. Rao at No. 5.  Then go? Yes", passages.sentences) == ["See Dr.", "Rao at No. 5.", "Then go?", "Yes"]
+
+
+def test_spoken_parts(spark):
     said = " ".join(f"word{i} and more," for i in range(60))
-    parts = udfs.speech_parts(said)
+    parts = one(spark, said, passages.spoken_parts)
     assert max(map(len, parts)) <= 180 and " ".join(parts).split() == said.split()
+    assert [len(p) for p in one(spark, "x" * 400, passages.spoken_parts)] == [180, 180, 40] and one(spark, None, passages.spoken_parts) == []
 
 
-def test_hash_vector_is_unit_length():
+def test_hash_vectors():
     import numpy as np
 
-    v = udfs.hash_vector(["fee", "#g:price"], "fee", 32)
-    assert abs(float(np.linalg.norm(v)) - 1) < 1e-6 and not udfs.hash_vector([], "", 32).any()
+    both = batches.hash_vectors([["fee", "fee", "#g:price"], []], ["fees due", ""], 32)
+    assert abs(float(np.linalg.norm(both[0])) - 1) < 1e-6 and not both[1].any()
+    again = batches.hash_vectors([["fee", "fee", "#g:price"]], ["fees due"], 32)
+    assert np.allclose(both[0], again[0])  # a row does not depend on its batch
+    word, plural, other = batches.hash_vectors([["a1"], ["b1"], ["c1"]], ["telephone", "telephones", "zzz qqq"], 256)
+    assert word @ plural > word @ other  # trigrams alone bring them together
 
 
 def test_classifiers(spark):
@@ -105,5 +171,7 @@ def test_classifiers(spark):
 
 
 def test_slug():
-    assert udfs.slug("École d'été 2024") == "ecole-dete-2024"
-    assert len(udfs.slug("!!!")) == 12
+    import pandas as pd
+
+    made = batches.slugs(pd.Series(["École d'été 2024", "!!!", None, "x" * 300])).tolist()
+    assert made[0] == "ecole-dete-2024" and len(made[1]) == 12 and len(made[2]) == 12 and made[3] == "x" * 140
