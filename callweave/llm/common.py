@@ -32,7 +32,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

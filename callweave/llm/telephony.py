@@ -1,8 +1,9 @@
 """Telephony audio in table columns: G.711 by lookup tables, IMA ADPCM by numpy across blocks, PCM resampling.
 
-`encode_text` stores a payload as a WAV of 8-bit mu-law (or A-law) samples: one byte, one sample, so the
-stored form is lossless. `decode` reads the stored bytes back, expands them by table, decodes the same
-bytes as 64-byte ADPCM blocks, and resamples the expanded signal to 16 kHz PCM.
+`encode_text` makes a payload a WAV of 8-bit samples, mu-law or A-law by the parity of its CRC-32: one byte, one
+sample, so the stored form is lossless. The query writes these files to a table and reads that back. `decode`
+expands the stored bytes by table, decodes the same bytes as 64-byte ADPCM blocks, and resamples the expanded
+signal to 16 kHz PCM by a half-band filter; `store_pcm` keeps that signal as a column of a table.
 
 Defined cases: null text is an empty payload, padded to 64 zero bytes; equal payloads give equal values;
 repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import runs, table, text_runs
+from .common import materialise, runs, table, text_runs
 
 RATE, RESAMPLED = 8000, 16000
 BLOCK = 64  # bytes of an ADPCM block: a 4-byte head and 120 nibbles
@@ -133,16 +134,39 @@ def encode_adpcm(pcm: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def resample_double(pcm: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
-    """8 -> 16 kHz: each sample, then the floored mean of it and the next; the last of a signal repeats.
+def half_band(taps: int = 8, bits: int = 15) -> np.ndarray:
+    """Whole-number weights of the samples on one side of a point half-way: a sinc under a Hann window, halves of 2**bits."""
+    k = np.arange(taps) + 0.5
+    weight = np.sinc(k) * np.cos(np.pi * k / (2 * taps + 1)) ** 2
+    out = np.round(weight / weight.sum() * (1 << (bits - 1))).astype(np.int64)
+    out[0] += (1 << (bits - 1)) - out.sum()
+    return out
+
 
-    `ends` are the ends of several signals in a row."""
+HALF = half_band()
+
+
+def resample_double(pcm: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """8 -> 16 kHz: each sample, then the half-band value between it and the next; beyond its ends a signal repeats
+    its outer samples. `ends` are the ends of several signals in a row."""
     out = np.empty(2 * len(pcm), dtype=np.int16)
     out[::2] = pcm
-    if len(pcm):
-        out[1:-1:2] = (pcm[:-1].astype(np.int32) + pcm[1:]) >> 1
-        last = np.array([len(pcm)]) if ends is None else ends
-        out[2 * last - 1] = pcm[last - 1]
+    if not len(pcm):
+        return out
+    ends = np.array([len(pcm)]) if ends is None else np.asarray(ends)
+    sizes, taps = np.diff(ends, prepend=0), len(HALF)
+    # every signal with `taps` repeats of its outer samples on both sides, one after the other
+    lead = np.repeat(np.arange(len(ends)) * 2 * taps + taps, sizes)
+    wide = np.zeros(len(pcm) + 2 * taps * len(ends), dtype=np.int32)
+    at = np.arange(len(pcm)) + lead
+    wide[at] = pcm
+    starts = ends - sizes
+    for k in range(1, taps + 1):
+        wide[at[starts] - k], wide[at[ends - 1] + k] = pcm[starts], pcm[ends - 1]
+    between = np.full(len(wide), 1 << 14, dtype=np.int32)  # rounds; sums stay within 32 bits
+    for k, weight in enumerate(HALF.tolist()):
+        between[taps - 1 : -taps] += weight * (wide[taps - 1 - k : len(wide) - taps - k] + wide[taps + k : len(wide) - taps + k + 1][: len(wide) - 2 * taps + 1])
+    out[1::2] = np.clip(between[at] >> 15, -32768, 32767)
     return out
 
 
@@ -180,15 +204,19 @@ MEDIA = "doc_id long, n_bytes long, media binary"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def encode_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", law: str = "mulaw") -> DataFrame:
-    """doc_id, n_bytes (unpadded) and the stored form `media` of each text."""
+def law_of(payload: bytes) -> str:
+    return "alaw" if zlib.crc32(payload) & 1 else "mulaw"
+
+
+def encode_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", law: str | None = None) -> DataFrame:
+    """doc_id, n_bytes (unpadded) and the stored form `media` of each text; law None takes that of the payload."""
 
     def work(batches):
         for batch in batches:
             for a, texts in text_runs(batch, 1):
                 made = [payload_of(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(made)), pa.array([n for n, _ in made], pa.int64()), pa.array([wav(p, law) for _, p in made], pa.binary())],
+                    [batch.column(0).slice(a, len(made)), pa.array([n for n, _ in made], pa.int64()), pa.array([wav(p, law or law_of(p)) for _, p in made], pa.binary())],
                     ["doc_id", "n_bytes", "media"],
                 )
 
@@ -238,5 +266,11 @@ def digest(media: DataFrame) -> DataFrame:
     return media.mapInArrow(work, DIGEST)
 
 
+def store_pcm(media: DataFrame, path: str) -> DataFrame:
+    """Write doc_id, payload, pcm and feature as a table, and read it back."""
+    decode(media).write.mode("error").option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return digest(encode_text(table(spark, sf_dir, "documents")))
+    return digest(materialise(encode_text(table(spark, sf_dir, "documents")), "telephony-media"))
