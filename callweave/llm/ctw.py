@@ -11,13 +11,13 @@ so a decision's probability is a chain of posterior-weighted mixtures from the r
 is a table: counts of (context, byte) are summed over the whole corpus, subtrees are worked in buckets of
 contexts, the levels above them by grouped sums and joins, and nothing of it is collected.
 
-Texts are dealt by id into blocks of about BLOCK_BYTES. A block packs its distinct (context, byte) pairs, by
+Texts are dealt by id and text into blocks of about BLOCK_BYTES. A block packs its distinct (context, byte) pairs, by
 bucket of contexts, and its words, by bucket of words, into sorted and compressed runs; a bucket adds up the
 runs of all blocks, and sends each block the scores of its own run. So a task needs the part of the model
 that its own block uses, rows are runs and not single pairs, and no broadcast grows with the corpus.
 
 Defined cases: a null or empty text is the end alone; a null id is a training document (crc32 of the empty
-text mod FOLDS is 0); repeated rows are scored alike and trained on as often as they come; an empty table
+text mod FOLDS is 0), dealt by its text; repeated rows are scored alike and trained on as often as they come; an empty table
 gives an empty result; extra columns are not read; without training documents every estimate is 1/2.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-DEPTH, ROOT, FOLDS, HELD_OUT = 5, 2, 7, 2
+DEPTH, ROOT, FOLDS, HELD_OUT = 5, 3, 7, 2
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 2 << 20  # text of a block; text of the corpus for each bucket of pairs
 END = 10  # the end byte; no word holds it
 RUN_BYTES = 1 << 20
@@ -343,7 +343,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, buckets = max(1, math.ceil(size / BLOCK_BYTES)), max(1, math.ceil(size / BUCKET_BYTES))
     root = min(ROOT, depth)
-    own = own.withColumns({"held_out": held_out_fold("doc_id"), "block": F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))})
+    own = own.withColumns({"held_out": held_out_fold("doc_id"), "block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))})
     entries = materialise(block_counts(own, depth, root, buckets), "ctw-entries")
     words = materialise(word_counts(entries.filter("is_word")), "ctw-words")
     sums = words.agg(F.sum("n_all"), F.sum("n_known")).first()
