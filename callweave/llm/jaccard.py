@@ -99,7 +99,30 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), min(255, int(8 * np.log2(1 + long)))
 
 
-CLASSES = "doc_id long, print long, digest binary, size long, common double, short array<long>"
+def parity(s: np.ndarray) -> np.ndarray:
+    """One bit for each of about 4 cells a shingle, set where an odd number of the set's shingles falls.
+
+    Two sets whose maps differ in d bits differ in d shingles at least, so they share (|x| + |y| - d) / 2 at most."""
+    width = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Maps (one a row) narrowed to fewer words: cells that fall together add their parities."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def can_link(size_x, size_y, differ):
+    """Whether sets whose maps differ in so many bits can share T shingles."""
+    most = np.minimum((size_x + size_y - differ) // 2, np.minimum(size_x, size_y))
+    return most * (100 + NEED) >= NEED * (size_x + size_y)
+
+
+CLASSES = "doc_id long, print long, digest binary, size long, common double, bits binary, short array<long>"
 
 
 def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
@@ -110,7 +133,7 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
 
         for batch in batches:
             for a, texts in text_runs(batch, 1, RUN_BYTES):
-                digests, sizes, commons, shorts = [], [], [], []
+                digests, sizes, commons, maps, shorts = [], [], [], [], []
                 for t in texts:
                     s = shingles(t)
                     one, two = _cells(s)
@@ -120,14 +143,15 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
                     digests.append(xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     commons.append(float(q.mean()) if len(s) else 0.0)
+                    maps.append(parity(s).tobytes())
                     shorts.append(np.where(q[order] >= long, -1 - kept, kept))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in shorts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()),
+                        batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()), pa.array(maps, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(shorts))),
                     ],
-                    ["doc_id", "print", "digest", "size", "common", "short"],
+                    ["doc_id", "print", "digest", "size", "common", "bits", "short"],
                 )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(work, CLASSES)
@@ -260,7 +284,8 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
     """Links between members of one list that lie in different components so far; None if no list holds several.
 
     Lists with the same first member are searched together. Queries are the members outside the largest
-    component of such a group; every block of queries meets every block of its members.
+    component of such a group; every block of queries meets every block of its members. Parity maps, an exact
+    bound on the overlap, first say which rows of a block can link at all; only their texts are sent.
     """
     rest = offered.filter((F.col("salt") > 0) | ((F.col("members") > 2) & (F.col("a.id") != F.col("b.id"))))
     rest = rest.select("shingle", F.col("b.id").alias("id")).join(labels, "id", "left").select("shingle", "id", F.coalesce("label", "id").alias("label"))
@@ -268,7 +293,7 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
     lists = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).filter("low < high")
     lists = materialise(lists.select("shingle", "group"), "jaccard-open")
     member = rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label"))
-    member = materialise(member.join(classes.select("id", "size"), "id"), "jaccard-members")
+    member = materialise(member.join(classes.select("id", "size", "bits"), "id"), "jaccard-members")
     discard(rest, lists)
     if member.isEmpty():
         return None
@@ -278,15 +303,40 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
     )
     side = F.least(F.greatest(F.col("n") / 16, F.lit(BLOCK)), F.lit(LARGEST))
     rows, columns = _blocks(F.col("n"), F.col("items"), side), _blocks(F.col("n") - F.col("settled"), F.col("items") - F.col("settled_items"), side)
-    groups = materialise(groups.select("group", "main", rows.alias("rows"), columns.alias("columns")), "jaccard-groups")
+    groups = materialise(groups.select("group", "main", "n", (F.col("n") - F.col("settled")).alias("others"), rows.alias("rows"), columns.alias("columns")), "jaccard-groups")
     placed = member.join(groups, "group").withColumn("asks", F.col("label") != F.col("main"))
     hashed = F.xxhash64("id")
     row, column = F.pmod(hashed, F.col("rows")).cast("int"), F.pmod(hashed, F.col("columns")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    indexed = placed.select("group", "id", "label", row.alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
-    asking = placed.filter("asks").select("group", "id", "label", every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
-    dealt = materialise(_bundled(indexed.unionByName(asking), "group", "row", "column"), "jaccard-dealt")
-    return occurrences(dealt.groupBy("block", "id", "asks").agg(F.min("label").alias("label")), texts)
+    own = ["group", "id", "label", "size", "bits"]
+    indexed = placed.select(*own, row.alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
+    asking = placed.filter("asks").select(*own, every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
+    placed_rows = groups.agg(F.sum(F.col("n") * F.col("columns") + F.col("others") * F.col("rows"))).first()[0]
+    dealt = indexed.unionByName(asking).withColumn("block", F.pmod(F.xxhash64("group", "row", "column"), F.lit(max(1, -(-int(placed_rows) // BLOCK)))))
+    open_rows = materialise(dealt.groupBy("block").applyInArrow(_open, "block long, id long, label long, asks boolean"), "jaccard-open-rows")
+    discard(member, groups)
+    return occurrences(_bundled(open_rows.withColumnRenamed("block", "of"), "of").groupBy("block", "id", "asks").agg(F.min("label").alias("label")), texts)
+
+
+def _open(key, part):
+    """Of a block, the queries that can link by their maps, and the members that some query can link with."""
+    asks = np.array(part.column("asks").to_pylist(), dtype=bool)
+    ids, marks, sizes = (part.column(c).to_numpy() for c in ("id", "label", "size"))
+    maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("bits")]
+    width, stays = np.array([len(m) for m in maps]), np.zeros(len(ids), dtype=bool)
+    for w in np.unique(width[~asks]):  # members that can link have maps of the same or the next width
+        at = np.flatnonzero(~asks & (width == w))
+        index = np.stack([maps[i] for i in at])
+        for v in (w // 2, w, 2 * w):
+            words = min(v, w)
+            narrow = fold(index, words)
+            for i in np.flatnonzero(asks & (width == v)):
+                differ = np.bitwise_count(narrow ^ fold(maps[i], words)).sum(axis=1, dtype=np.int64)
+                hit = at[can_link(sizes[i], sizes[at], differ) & (marks[at] != marks[i])]
+                stays[hit] = True
+                stays[i] |= len(hit) > 0
+    keep = np.flatnonzero(stays)
+    return pa.table({"block": np.full(len(keep), key[0].as_py(), dtype=np.int64), "id": ids[keep], "label": marks[keep], "asks": asks[keep]})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -315,8 +365,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = materialise(class_rows(docs, lengths, long), "jaccard-rows")
     filled = rows.filter("size > 0")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print"))  # the row whose text stands for the class
-    classes = filled.groupBy("digest").agg(one.alias("one"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("short").alias("short"))
-    classes = classes.select("digest", F.col("one.doc_id").alias("doc"), F.col("one.print").alias("print"), "size", "common", "short")
+    classes = filled.groupBy("digest").agg(one.alias("one"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("bits").alias("bits"), F.first("short").alias("short"))
+    classes = classes.select("digest", F.col("one.doc_id").alias("doc"), F.col("one.print").alias("print"), "size", "common", "bits", "short")
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
     salts = -(-rows.count() // PART)  # a list of a third of all rows has a third of these parts in use
