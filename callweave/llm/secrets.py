@@ -275,9 +275,13 @@ def made_windows(contexts: list[list[str]], count: int = MADE_WINDOWS, seed: int
 
 
 def windows_of(text: str) -> list[tuple[list[str], int, list[int]]]:
-    """Tokens, file class and gold tags around a text's pattern spans (WINDOWS_PER_DOC of them by hash), or of its middle."""
+    """Tokens, file class and gold tags around a text's pattern spans (WINDOWS_PER_DOC of them by hash), or of its middle.
+
+    A text that names a credential and matches no pattern says nothing for sure, so it gives no window."""
     tokens, tags = labelled(text)
     file, starts = file_class(Codes().of(tokens)), [i for i, t in enumerate(tags) if t == B]
+    if not starts and file >= 3:
+        return []
     starts = sorted(starts, key=lambda i: crc32(f"{i} {tokens[i]}".encode("utf-8", "replace")))[:WINDOWS_PER_DOC] or [len(tokens) // 2]
     return [(tokens[max(0, i - WINDOW) : i + WINDOW + 1], file, tags[max(0, i - WINDOW) : i + WINDOW + 1]) for i in sorted(starts)] if tokens else []
 

@@ -11,12 +11,12 @@ the url's template. Templates come from counted tables, never from a host's urls
    proportions (|z| < Z_SAME) finds no difference between the block share of a branch and that of its siblings
    without it; the largest pool goes first, and this is repeated until nothing merges.
 4. A template's purity is (blocked + K * host's purity) / (labelled + K); the host's is smoothed in the same way
-   towards its domain's (the last two names), and that towards BASE. A template with a purity of REJECT or more
-   is blocked.
+   towards its domain's (the last two names): the share of its hosts, unlabelled ones too, that are mostly
+   blocked, smoothed towards BASE. A template with a purity of REJECT or more is blocked.
 
-Only labelled rows count in 3 and 4. Labels are a column of the input (`label`: block, allow or null), or the
-page's own evidence (`evidence`): block by the rules or a seed word in host or path, allow by the rules or an
-article of MIN_HTML characters or more, else none. Defined cases: a null url or one without '://' has empty host
+Only labelled rows count in 3 and 4. Labels are a column of the input (block, allow or null), or the page's own
+evidence (`evidence`): block by a seed word in host or path, allow by an article in a page of MIN_HTML characters
+or more, else none. Rows that a rule decides have no label: a rule for one path says nothing of its host's others. Defined cases: a null url or one without '://' has empty host
 and path and no rule; an empty path has one empty segment; urls are read whole, however long; repeated rows count
 as often as they come and are judged alike; an empty table gives an empty result; extra columns are not read.
 """
@@ -73,13 +73,13 @@ def _joined(segs: Column) -> Column:
     return F.array_join(segs, "/")
 
 
-def evidence(host: Column, path: Column, html: Column, by_rule: Column, seeds=SEEDS) -> Column:
+def evidence(host: Column, path: Column, html: Column, seeds=SEEDS) -> Column:
     """block, allow or null, by what the page itself shows."""
     marked = F.lit(False)
     for word in seeds:
         marked = marked | host.contains(word) | path.contains(word)
     article = html.contains("<article") & (F.length(html) >= MIN_HTML)
-    return F.coalesce(by_rule, F.when(marked, "block"), F.when(article, "allow"))
+    return F.coalesce(F.when(marked, "block"), F.when(article, "allow"))
 
 
 def _is_word(seg: Column) -> Column:
@@ -142,7 +142,7 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, label_column: str | None =
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html", "given")
     rule, by_rule = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": by_rule, "segs": segments(F.col("path"))}).withColumn("lexical", _joined(F.col("segs")))
-    label = F.coalesce("by_rule", "given") if label_column else evidence(F.col("host"), F.col("path"), F.col("html"), F.col("by_rule"), seeds)
+    label = F.when(F.col("by_rule").isNull(), F.col("given") if label_column else evidence(F.col("host"), F.col("path"), F.col("html"), seeds))
     counts = rows.withColumn("label", label).groupBy("host", "lexical").agg(
         F.first("segs").alias("segs"), F.count("label").alias("labelled"), F.sum((F.coalesce(F.col("label"), F.lit("")) == "block").cast("long")).alias("blocked")
     )
@@ -150,7 +150,8 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, label_column: str | None =
     named = counts.withColumns({"template": _joined(F.col("segs")), "domain": F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".")})
     named = named.withColumn("domain", F.when(F.col("domain") == "", F.col("host")).otherwise(F.col("domain")))
     smooth = lambda up: (F.sum("blocked") + K * up) / (F.sum("labelled") + K)
-    domains = materialise(named.groupBy("domain").agg(smooth(F.lit(BASE)).alias("of_domain")), "url-domains")
+    of = named.groupBy("domain", "host").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).withColumn("bad", ((F.col("b") > 0) & (2 * F.col("b") >= F.col("n"))).cast("long"))
+    domains = materialise(of.groupBy("domain").agg(((F.sum("bad") + K * BASE) / (F.count(F.lit(1)) + K)).alias("of_domain")), "url-domains")
     hosts = materialise(named.join(domains, "domain").groupBy("host").agg(smooth(F.first("of_domain")).alias("of_host")), "url-hosts")
     purities = materialise(named.join(hosts, "host").groupBy("host", "template").agg(smooth(F.first("of_host")).alias("purity")), "url-purities")
     judged = materialise(named.select("host", "lexical", "template").join(purities, ["host", "template"]), "url-judged")

@@ -108,6 +108,39 @@ def test_jaccard_with_every_list_long(docs, monkeypatch):
     assert got == brute_components()
 
 
+def test_t_occurrence_against_brute_force():
+    """Heap-merged short lists and probed long ones find just the sets that reach T, for sets of many sizes."""
+    import numpy as np
+
+    rng = random.Random(8)
+    base = [rng.sample(range(4000), n) for n in (1, 3, 20, 150, 700)]
+    sets = []
+    for b in base:
+        for edits in (0, 1, 0.05, 0.1, 0.2, 0.3):
+            n = edits if isinstance(edits, int) else int(edits * len(b))
+            sets.append(np.array(sorted(set(b[n:]) | set(rng.sample(range(4000, 9000), n))), dtype=np.uint64))
+    lists = jaccard.Lists(sets)
+    for q in sets:
+        want = [i for i, s in enumerate(sets) if 100 * len(set(q) & set(s)) >= 80 * len(set(q) | set(s))]
+        assert sorted(lists.search(q).tolist()) == want
+    assert len(jaccard.Lists([]).search(sets[0])) == 0 and len(lists.search(np.zeros(0, dtype=np.uint64))) == 0
+
+
+def test_maps_bound_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, m, shared in ((10, 12, 9), (300, 320, 290), (300, 320, 10), (1000, 700, 650)):
+        x = rng.choice(1 << 40, n + m - shared, replace=False).astype(np.uint64)
+        p, q = np.unique(x[:n]), np.unique(x[n - shared :])
+        one, two = jaccard.parity(p), jaccard.parity(q)
+        words = min(len(one), len(two))
+        differ = int(np.bitwise_count(jaccard.fold(one, words) ^ jaccard.fold(two, words)).sum())
+        assert (len(p) + len(q) - differ) // 2 >= shared
+        if 100 * shared >= 80 * (n + m - shared):
+            assert jaccard.can_link(len(p), len(q), differ)
+
+
 def test_chains_become_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "x long, y long")
     got = {r.id: r.label for r in jaccard.components(links).collect()}
@@ -198,6 +231,67 @@ def test_quality_learns_and_hides_held_out_labels(spark, none):
     assert quality.accept(none, labels).count() == 0 and quality.accept(none, labels.limit(0)).columns == none.columns
 
 
+def test_columns_of_clashing_names_stay(spark):
+    """Columns named like the operators' own keep their values through every filtering stage."""
+    names = ["quality_score", "__source", "__kept", "__digest", "__map0", "again", "digest", "map0", "bits0", "row", "prob", "kept", "kept_id", "tokens", "topic", "made"]
+    texts = ["one two three four five six seven", "one two three four five six seven", None, "", "eight nine ten eleven twelve thirteen"]
+    rows_ = [(i, t, "en", "s", 1, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = {"quality": quality.accept(df, labels), "exact": exact_dedup.drop_exact_duplicates(df), "jaccard": jaccard.keep_one(df), "mixing": mixing.mix(df)}
+    want = {r[0]: r for r in rows_}
+    for name, out in kept.items():
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(tuple(r) == want[r.doc_id] for r in got), name
+    assert sorted(r.doc_id for r in kept["exact"].collect()) == [1, 3, 4]
+    assert sorted(r.doc_id for r in kept["jaccard"].collect()) == [0, 2, 3, 4]
+
+
+def test_index_vectors_and_pooling_against_brute_force(spark):
+    import numpy as np
+
+    texts = ["a b a c", "b c, d!", None, "", "a a a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    at, sign = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIMS))
+    for t in texts:
+        w = quality.word_rows(t or "")
+        for i in range(len(w)):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if i != j:
+                    want[w[i], at[w[j]]] += sign[w[j]]
+    got = quality.context_vectors(df)
+    assert (got == want).all()
+    unit = quality.unit_vectors(got)
+    for t, x in zip(texts, quality.pooled([t or "" for t in texts], unit), strict=True):
+        w = quality.word_rows(t or "")
+        rows_ = unit[w].astype(float)
+        mean = rows_.mean(axis=0) if len(w) else np.zeros(quality.DIMS)
+        spread = rows_.std(axis=0) if len(w) else np.zeros(quality.DIMS)
+        assert np.allclose(x, [*mean, *spread, np.log1p(len(w))], atol=1e-4)
+
+
+def test_secret_table_against_brute_force(docs):
+    import hashlib
+    import re
+
+    def naive(text):
+        found = []
+        for k, (pattern, group, least) in enumerate([(r"((?:(?i:password|passwd|secret|token|api_?key)))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), (r"AKIA[A-Z0-9]+", 0, 16), (r"[0-9a-f]+", 0, 32)]):
+            found += [(m.start(), k, m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m.group(group)) >= least]
+        return sorted(found)
+
+    extra = [(900 + i, t) for i, t in enumerate(["token: abcdefgh API_KEY='x1x2x3x4x5' " + "ab12" * 9, "AKIA" + "Q" * 12 + " AKIA" + "Q" * 11, 'SECRET = "short" passwd:12345678'])]
+    df = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(extra, "doc_id long, text string"))
+    tagger = secrets.Tagger()
+    for r, t in ((r, t) for r in secrets.scan(df, tagger).collect() for t in {x for i, x in [*rows(), *extra] if i == r.doc_id}):
+        base = naive(t or "")
+        said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.spans == said
+
+
 def test_secrets_added_by_the_chain(spark, docs, none):
     leak = 'and so on credential = "ghp0Zq8Lm3XyT7bVn2KdR5wE" then more'
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, leak), (901, "token = abcdefgh12345")], "doc_id long, text string"))
@@ -252,5 +346,12 @@ def test_url_templates_judge_hosts(spark):
     assert {got[i].verdict for i in range(40)} == {"block"} and {got[i].template for i in range(40)} <= {"en/{n}", "{*}/{n}"}
     assert {got[i].verdict for i in range(100, 140)} == {"allow"}
     assert all(got[200 + i].verdict == ("block" if i % 2 else "allow") for i in range(60))  # rows without a rule keep their branch's purity
+    # one host, marks that vary by path: the tree separates its branches, whatever the host says
+    paths = [(i, f"http://shop.example.org/{'promo' if i % 2 else 'news'}/{'x/y/z/w/deep/' if i % 4 > 1 else ''}{i}", "block" if i % 2 else "allow") for i in range(80)]
+    paths += [(100, "http://shop.example.org/promo/777", None), (101, "http://shop.example.org/news/x/y/z/w/deep/9", None), (102, "http://shop.example.org/" + "a/" * 300, None)]
+    paths += [(200 + i, f"http://wide.example.org/u/{a}{b}/b/c/d/{b}{a}/{i}", "block") for i, (a, b) in enumerate((a, b) for a in WORDS[:6] for b in WORDS[6:12])]
+    told = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(paths, "page_id long, url string, mark string"), label_column="mark").collect()}
+    assert told[100].verdict == "block" and told[101].verdict == "allow" and len(told) == len(paths)
+    assert {told[200 + i].template for i in range(36)} == {"u/{s}/b/c/d/{s}/{n}"} and told[200].verdict == "block"
     assert got[300].host == "" and got[301].path == "" and got[302].verdict == "allow"
     assert url_filter.judge(df.limit(0)).count() == 0
