@@ -97,9 +97,9 @@ def tidy(t):
     return t.conversations.select("conv_id", "turn", text.tidy(F.col("text")).alias("tidy"))
 
 
-@query("is_label", "SELECT doc_id, regexp_matches(left(text, 61), '^[^.!?]{1,60}:$') OR regexp_matches(left(text, 61), '^[A-Za-z_]+: [^ ]+$') AS label FROM documents")
+@query("is_label", "SELECT doc_id, regexp_matches(text, '^[^.!?]{1,60}:$') OR regexp_matches(text, '^[A-Za-z_]+: [^ ]+$') AS label FROM documents")
 def is_label(t):
-    return t.documents.select("doc_id", text.is_label(F.left("text", F.lit(61))).alias("label"))
+    return t.documents.select("doc_id", text.is_label(F.col("text")).alias("label"))
 
 
 @query("pseudonym", "SELECT c_custkey, left(sha256('check:' || trim(c_name)), 16) AS name FROM customer")
