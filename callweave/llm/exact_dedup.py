@@ -34,7 +34,7 @@ def _slots(digest: Column, bits: int) -> list[Column]:
     return [F.pmod(F.conv(F.substring(digest, p, 15), 16, 10).cast("long"), F.lit(bits)) for p in (1, 17)]
 
 
-def _bit(bitmap: Column, slot: Column) -> Column:
+def bit(bitmap: Column, slot: Column) -> Column:
     at = F.pmod(slot, F.lit(MAP_BITS))
     byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
@@ -44,26 +44,26 @@ def filter_bits(rows: int) -> int:
     return max(MAP_BITS, 1 << math.ceil(math.log2(max(1, rows * BITS_PER_ROW))))
 
 
-def _maps(slots: DataFrame, row: int) -> DataFrame:
+def maps(slots: DataFrame, row: int) -> DataFrame:
     """map{row}, bits{row}: the filter's maps over a column of slots."""
     return slots.groupBy(F.floor(F.col("slot") / MAP_BITS).alias(f"map{row}")).agg(F.expr(f"bitmap_construct_agg(int(slot % {MAP_BITS}))").alias(f"bits{row}"))
 
 
-def _probed(rows: DataFrame, bits: int, maps: list[DataFrame]) -> DataFrame:
+def _probed(rows: DataFrame, bits: int, filters: list[DataFrame]) -> DataFrame:
     """Add `again`: whether both bits of the row's digest are set."""
     slots, own = _slots(F.col("digest"), bits), rows.columns
-    for i, (slot, each) in enumerate(zip(slots, maps, strict=True)):
+    for i, (slot, each) in enumerate(zip(slots, filters, strict=True)):
         # past the bound both sides are plain scans, so the join splits a map that a hot text asks for
         each = F.broadcast(each) if bits <= BROADCAST_BITS else materialise(each, f"exact-maps{i}")
         rows = rows.withColumn(f"map{i}", F.floor(slot / MAP_BITS)).join(each, f"map{i}", "left")
-    return rows.select(*own, (_bit(F.col("bits0"), slots[0]) & _bit(F.col("bits1"), slots[1])).alias("again"))
+    return rows.select(*own, (bit(F.col("bits0"), slots[0]) & bit(F.col("bits1"), slots[1])).alias("again"))
 
 
 def marked(hashed: DataFrame) -> DataFrame:
     """Add `again` to rows with a `digest`: false only if the digest certainly occurs once."""
     bits = filter_bits(hashed.count())
     twice = [hashed.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1") for slot in _slots(F.col("digest"), bits)]
-    return _probed(hashed, bits, [_maps(t, i) for i, t in enumerate(twice)])
+    return _probed(hashed, bits, [maps(t, i) for i, t in enumerate(twice)])
 
 
 def digest_of(text_column: str) -> Column:
@@ -96,7 +96,7 @@ def drop_exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_colum
     repeated = materialise(repeated, "exact-repeated")
     discard(hashed)
     bits = filter_bits(repeated.count())
-    probed = _probed(rows, bits, [_maps(repeated.select(slot.alias("slot")), i) for i, slot in enumerate(_slots(F.col("digest"), bits))])
+    probed = _probed(rows, bits, [maps(repeated.select(slot.alias("slot")), i) for i, slot in enumerate(_slots(F.col("digest"), bits))])
     own_id = F.col("row").getField(id_column)
     best = probed.filter("again").groupBy("digest").agg(F.max_by("row", F.struct(own_id.isNotNull(), own_id)).alias("row"))
     return probed.filter("not again").select("row.*").unionByName(best.select("row.*"))

@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, free_names, materialise, table, text_runs
+from .exact_dedup import BROADCAST_BITS, MAP_BITS, bit, filter_bits, maps
 
 WORDS, NEED = 5, 80  # words of a shingle; least similarity in hundredths
 CELLS, WIDE = 1 << 20, 64
@@ -227,9 +228,17 @@ class Lists:
 
 def _wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id, text: one text of each of the given classes."""
-    wanted = ids.join(classes.select("id", "doc", "print"), "id")
-    same = docs.doc_id.eqNullSafe(wanted.doc) & (F.xxhash64(docs.text) == wanted.print)
-    return materialise(docs.join(wanted, same).select("id", "text").dropDuplicates(["id"]), "jaccard-texts")
+    wanted = materialise(ids.join(classes.select("id", "doc", "print"), "id"), "jaccard-wanted")
+    # a bit map of the wanted texts, of bounded size, keeps most other texts out of the shuffle
+    bits = min(BROADCAST_BITS, filter_bits(wanted.count()))
+    slot = lambda print_: F.pmod(print_, F.lit(bits))
+    bitmaps = F.broadcast(maps(wanted.select(slot(F.col("print")).alias("slot")), 0))
+    held = docs.select("doc_id", "text", slot(F.xxhash64("text")).alias("slot")).withColumn("map0", F.floor(F.col("slot") / MAP_BITS)).join(bitmaps, "map0")
+    held = held.filter(bit(F.col("bits0"), F.col("slot"))).select("doc_id", "text")
+    same = held.doc_id.eqNullSafe(wanted.doc) & (F.xxhash64(held.text) == wanted.print)
+    texts = materialise(held.join(wanted, same).select("id", "text").dropDuplicates(["id"]), "jaccard-texts")
+    discard(wanted)
+    return texts
 
 
 def occurrences(placed: DataFrame, texts: DataFrame) -> DataFrame:

@@ -58,14 +58,14 @@ def _target(cells: DataFrame, axis: str, powers: dict, targets: dict) -> Column:
 def _targeted(cells: DataFrame, powers: dict, targets: dict, small: bool) -> DataFrame:
     """Cells with total, weight and a target share on each axis."""
     total = cells.agg(F.sum("tokens").cast("double").alias("total"))
-    cells = cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens").cast("double"))  # one row
+    cells = materialise(cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens").cast("double")), "mix-weights")  # one row
+    out = cells
     for a in powers:
-        shares = cells.groupBy(a).agg((F.sum("tokens") / F.first("total")).alias(f"share_{a}"))
+        shares = materialise(cells.groupBy(a).agg((F.sum("tokens") / F.first("total")).alias(f"share_{a}")), "mix-shares")
         norm = shares.agg(F.sum(F.pow(F.col(f"share_{a}"), F.lit(float(powers[a])))).alias(f"norm_{a}"))
-        shares = shares.join(F.broadcast(norm)).withColumn(f"target_{a}", _target(shares, a, powers, targets))  # one row
-        shares = shares.select(a, f"target_{a}")
-        cells = cells.join(F.broadcast(shares) if small else materialise(shares, "mix-targets"), a)
-    return cells.select(*powers, "tokens", "total", "weight", *[f"target_{a}" for a in powers])
+        shares = shares.join(F.broadcast(norm)).withColumn(f"target_{a}", _target(shares, a, powers, targets)).select(a, f"target_{a}")  # one row
+        out = out.join(F.broadcast(shares) if small else materialise(shares, "mix-targets"), a)
+    return out.select(*powers, "tokens", "total", "weight", *[f"target_{a}" for a in powers])
 
 
 def _scaled(cells: DataFrame, axis: str, small: bool) -> DataFrame:

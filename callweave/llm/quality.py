@@ -162,15 +162,19 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, train_rows: i
 
     part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("print")).join(F.broadcast(chosen), "doc_id")  # at most train_rows labels
     part = part.dropDuplicates(["doc_id", "print"]).orderBy(F.xxhash64("doc_id", "print"), "doc_id", "print").limit(train_rows)
-    rows = part.select("doc_id", "text", F.col("quality").cast("long")).mapInArrow(work, "doc_id long, quality long, x array<double>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    y = np.array([r.quality for r in rows])
-    if len(set(y)) < 2:
-        return Network(constant=float(y.mean()) if len(y) else 0.5)
-    held = np.array([crc32(str(r.doc_id).encode()) % FOLDS == CALIBRATION for r in rows])
-    if held.all() or len(set(y[~held])) < 2:
+    rows = part.select("doc_id", "text", F.col("quality").cast("long")).mapInArrow(work, "doc_id long, quality long, x array<double>").toArrow()  # at most train_rows
+    if not rows.num_rows:
+        return Network(constant=0.5)
+    ids, y = rows.column("doc_id").to_numpy(), rows.column("quality").to_numpy()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
+    order = np.lexsort([*x.T[::-1], ids])  # the same order, however the rows came
+    ids, y, x = ids[order], y[order], x[order]
+    if len(set(y.tolist())) < 2:
+        return Network(constant=float(y.mean()))
+    held = np.array([crc32(str(i).encode()) % FOLDS == CALIBRATION for i in ids.tolist()])
+    if held.all() or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    return Network().fit(np.array([r.x for r in rows]), y, held)
+    return Network().fit(x, y, held)
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
