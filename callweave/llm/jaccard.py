@@ -241,7 +241,7 @@ def _wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     return texts
 
 
-def occurrences(placed: DataFrame, texts: DataFrame) -> DataFrame:
+def occurrences(placed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links x < y found by searching, in every block, the rows that ask among those that are indexed.
 
     placed: block, id, label, asks. Rows with equal labels are settled and give no link."""
@@ -262,8 +262,12 @@ def occurrences(placed: DataFrame, texts: DataFrame) -> DataFrame:
             ys.append(np.maximum(hit, n))
         return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
+    placed = materialise(placed, "jaccard-placed")
+    texts = _wanted_texts(placed.select("id").distinct(), classes, docs)
     filled = placed.join(texts, "id").select("block", "id", "label", "asks", "text")
-    return materialise(filled.groupBy("block").applyInArrow(search, "x long, y long").distinct(), "jaccard-links")
+    links = materialise(filled.groupBy("block").applyInArrow(search, "x long, y long").distinct(), "jaccard-links")
+    discard(placed, texts)
+    return links
 
 
 def _blocks(count: Column, items: Column, block: Column | int = BLOCK) -> Column:
@@ -277,7 +281,7 @@ def _bundled(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)))
 
 
-def by_pivots(offered: DataFrame, texts: DataFrame) -> DataFrame:
+def by_pivots(offered: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between each list's pivot and its members."""
     pivots = offered.filter((F.col("salt") > 0) & (F.col("a.id") == F.col("b.id"))).select("shingle", "b")
     asks = materialise(_asks(offered).union(_asks(_first(pivots, "shingle"))).distinct(), "jaccard-asks")
@@ -286,10 +290,10 @@ def by_pivots(offered: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = materialise(_bundled(dealt, "asks", "part"), "jaccard-dealt")
     indexed = dealt.select("block", "id", F.col("id").alias("label"), F.lit(False).alias("asks"))
     asking = dealt.select("block", F.col("asks").alias("id"), F.col("asks").alias("label"), F.lit(True).alias("asks"))
-    return occurrences(indexed.unionByName(asking).distinct(), texts)
+    return occurrences(indexed.unionByName(asking).distinct(), classes, docs)
 
 
-def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
+def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links between members of one list that lie in different components so far; None if no list holds several.
 
     Lists with the same first member are searched together. Queries are the members outside the largest
@@ -324,7 +328,7 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
     dealt = indexed.unionByName(asking).withColumn("block", F.pmod(F.xxhash64("group", "row", "column"), F.lit(max(1, -(-int(placed_rows) // BLOCK)))))
     open_rows = materialise(dealt.groupBy("block").applyInArrow(_open, "block long, id long, label long, asks boolean"), "jaccard-open-rows")
     discard(member, groups)
-    return occurrences(_bundled(open_rows.withColumnRenamed("block", "of"), "of").groupBy("block", "id", "asks").agg(F.min("label").alias("label")), texts)
+    return occurrences(_bundled(open_rows.withColumnRenamed("block", "of"), "of").groupBy("block", "id", "asks").agg(F.min("label").alias("label")), classes, docs)
 
 
 def _open(key, part):
@@ -385,12 +389,11 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         F.struct("c.id", "c.size", "c.common", "pos").alias("b"),
     )
     offered = materialise(_first(lists, "shingle", "salt").filter((F.col("members") > 1) | (F.col("salt") > 0)), "jaccard-lists")
-    texts = _wanted_texts(offered.select(F.col("b.id").alias("id")).distinct(), classes, docs)
-    links = by_pivots(offered, texts)
+    links = by_pivots(offered, classes, docs)
     labels = components(links)
 
     # members that no pivot has settled: lists of three or more, seen in different components
-    more = across(offered, labels, classes, texts)
+    more = across(offered, labels, classes, docs)
     if more is not None:
         discard(labels)
         labels = components(links.union(more))
@@ -398,7 +401,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     member = classes.select("id", "digest", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = member.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = materialise(member.join(least, "label").select("digest", "component_id"), "jaccard-named")
-    discard(classes, offered, texts, links, labels, *([more] if more is not None else []))
+    discard(classes, offered, links, labels, *([more] if more is not None else []))
     linked = filled.select("doc_id", "size", "digest").join(named, "digest").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return linked.union(rows.filter("size = 0").select("doc_id", "size", "doc_id"))
 
