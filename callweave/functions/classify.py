@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callweave.functions.text import let
+
 #: intent -> [(pattern, weight)]; patterns use no look-around, so every engine reads them alike.
 INTENTS = {
     "price": [(r"\b(fee|fees|cost|price|charges)\b", 1.0), (r"\bhow much\b", 0.8)],
@@ -93,13 +95,16 @@ MARKERS = {
 
 def language(text: Column) -> Column:
     """struct(label, confidence): language of Latin text by marked words; ties go to the first in order of name."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}+)"), 1)
-    count = lambda marks: F.size(F.filter(words, lambda w: w.isin(marks)))
-    hits = [(n, count(marks)) for n, marks in sorted(MARKERS.items())]
-    total = sum((h for _, h in hits[1:]), hits[0][1])
-    best = F.array_max(F.array(*[F.struct(h.alias("h"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, h) in enumerate(hits)]))
-    share = F.when(total > 0, best["h"] / total).otherwise(0.0)
-    return F.struct(F.when(best["h"] > 0, best["n"]).otherwise("und").alias("label"), F.least(F.lit(0.98), 0.45 + 0.53 * share).alias("confidence"))
+    marks = sorted({w for words in MARKERS.values() for w in words})
+    marked = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!\p{{L}})({'|'.join(marks)})(?!\p{{L}})"), 1)
+
+    def judge(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda n, c: n + c["h"])
+        confidence = lambda h: F.least(F.lit(0.98), 0.45 + 0.53 * F.when(h > 0, h / total).otherwise(0.0))
+        return let(F.array_max(counts), lambda best: F.struct(F.when(best["h"] > 0, best["n"]).otherwise("und").alias("label"), confidence(best["h"]).alias("confidence")))
+
+    hits = lambda words, own: F.size(F.filter(words, lambda w: w.isin(own)))
+    return let(marked, lambda words: let(F.array(*[F.struct(hits(words, MARKERS[n]).alias("h"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(sorted(MARKERS))]), judge))
 
 
 def fuse_language(votes: dict[str, Column], explicit: Column | None = None) -> Column:

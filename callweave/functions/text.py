@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{M}\p{N}_]+"
-
 # Words that carry no meaning in a question (English and romanised Hindi).
 STOPWORDS = (
     "a an the is are was were be been of for to in on at and or do does did i me my we you your please tell about what which how much many "
@@ -32,13 +31,20 @@ SINGLE = {m: g for g, ms in SYNONYMS.items() for m in ms if " " not in m and "."
 PHRASES = [(m, g) for g, ms in SYNONYMS.items() for m in ms if " " in m or "." in m]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# a run of word characters from its first to its last one that is no underscore
+TOKEN = r"([\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}_]*[\p{L}\p{M}\p{N}])?)"
+
+
 def tokenize(text: Column, keep_stopwords: bool = False) -> Column:
     """Lower-case words without edge underscores, single letters and stopwords; digits stay."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
-    words = F.transform(words, lambda w: F.regexp_replace(w, "^_+|_+$", ""))
-    keep = lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$")
-    words = F.filter(words, lambda w: (w != "") & keep(w))
-    return words if keep_stopwords else F.filter(words, lambda w: ~w.isin(STOPWORDS))
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 1)
+    keep = lambda w: (F.length(w) > 1) | w.between("0", "9")
+    return F.filter(words, keep if keep_stopwords else lambda w: keep(w) & ~w.isin(STOPWORDS))
 
 
 def expand(text: Column) -> Column:

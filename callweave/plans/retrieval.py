@@ -98,15 +98,6 @@ def vec_upsert(t):
     return replace_by_key(old, new, "vec_id")
 
 
-def _dense(t):
-    """A second ranking beside the lexical one: documents by how much of the question's words they hold."""
-    asked = search.question_terms(t.benchmark)
-    size = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("asked"))
-    hits = search.postings(t.documents).join(asked, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    scored = hits.join(F.broadcast(size), "item_id").withColumn("score", F.col("hits") / F.col("asked"))
-    return search.top(scored, 48, "item_id").select("item_id", "doc_id", "rank", "score")
-
-
 FUSED_SQL = (
     BM25_SQL
     + """,
@@ -120,8 +111,12 @@ u AS (SELECT coalesce(den.item_id, lex.item_id) AS item_id, coalesce(den.doc_id,
 
 
 def _fused(t):
-    lexical = search.top(search.bm25(t.documents, t.benchmark), 24, "item_id")
-    return search.fuse(_dense(t), lexical)
+    """The best by BM25, and by the share of the question's words that a document holds, from one scoring."""
+    asked = search.question_terms(t.benchmark).groupBy("item_id").agg(F.count(F.lit(1)).alias("asked"))
+    scored = search.scored(t.documents, t.benchmark)
+    lexical = search.top(scored, 24, "item_id")
+    share = scored.join(asked, "item_id").select("item_id", "doc_id", (F.col("hits") / F.col("asked")).alias("score"))
+    return search.fuse(search.top(share, 48, "item_id"), lexical)
 
 
 @query("rrf_fuse", FUSED_SQL + " SELECT item_id, doc_id, dense_rank, lexical_rank, round(rrf, 6) AS rrf FROM u")
@@ -140,30 +135,30 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc
 )
 
 
-def _reranked(t):
+def _reranked(t, k):
     verified = t.labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("verified"))
     cand = _fused(t).join(t.documents, "doc_id").join(verified, "doc_id", "left")
     cand = cand.select(
-        "item_id", "doc_id", "rrf_norm", "dense", "lexical", "text", F.col("source").isin("src0", "src1", "src2").alias("category_hit"), (F.col("lang") == "en").alias("same_language"),
+        "item_id", "doc_id", "rrf_norm", "dense", "lexical", F.length("text").alias("length"), F.col("source").isin("src0", "src1", "src2").alias("category_hit"), (F.col("lang") == "en").alias("same_language"),
         F.coalesce("verified", F.lit(False)).alias("verified"), (F.col("n_chars") < 200).alias("stale"), F.lit(False).alias("title_in_query"),
     )
-    return search.top(search.rerank(cand), 1 << 30, "item_id")
+    return search.top(search.rerank(cand), k, "item_id")
 
 
 @query("rerank", RERANK_SQL + " SELECT item_id, doc_id, place AS rank, final AS score FROM k WHERE place <= 5")
 def rerank(t):
-    return _reranked(t).filter("rank <= 5").select("item_id", "doc_id", "rank", "score")
+    return _reranked(t, 5).select("item_id", "doc_id", "rank", "score")
 
 
 @query("grounded", RERANK_SQL + " SELECT item_id, max(final) AS best, max(final) >= 0.22 AS grounded FROM k WHERE place <= 5 GROUP BY 1")
 def grounded(t):
-    best = _reranked(t).filter("rank <= 5").groupBy("item_id").agg(F.max("score").alias("best"))
+    best = _reranked(t, 5).groupBy("item_id").agg(F.max("score").alias("best"))
     return best.withColumn("grounded", F.col("best") >= 0.22)
 
 
 @query("context_block", RERANK_SQL + ", x AS (SELECT *, sum(length(body)) OVER (PARTITION BY item_id ORDER BY place) AS running FROM k WHERE place <= 5) SELECT item_id, doc_id, place AS rank, running::BIGINT AS running FROM x WHERE running <= 6000 OR place = 1")
 def context_block(t):
-    return search.context_block(_reranked(t).filter("rank <= 5"), "item_id", 6000).select("item_id", "doc_id", "rank", "running")
+    return search.context_block(_reranked(t, 5), "item_id", 6000).select("item_id", "doc_id", "rank", "running")
 
 
 @query("title_rarity", f"WITH {INDEX_SQL} SELECT term, df FROM f WHERE df <= greatest(2, round_even(0.06 * (SELECT n FROM c), 0)) AND term IN (SELECT term FROM q)")
@@ -200,7 +195,7 @@ def answer(t):
     """
     from callweave.functions import classify, passages
 
-    best = _reranked(t).filter("rank = 1").select("item_id", "doc_id", "score")
+    best = _reranked(t, 1).select("item_id", "doc_id", "score")
     asked = t.benchmark.select("item_id", "text", classify.topic(F.col("text"))["label"].alias("topic"), classify.intent(F.col("text"))["label"].alias("intent"))
     found = asked.join(best, "item_id", "left").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id", "left")
     parts = found.withColumns({"words": search.tokenize(F.col("text")), "parts": F.filter(F.split(F.coalesce("body", F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.length(s) <= 240)})
@@ -215,6 +210,6 @@ def answer(t):
 @query("lookup_facts", RERANK_SQL + " SELECT item_id, string_agg(source || '/' || lang, ',' ORDER BY place) AS facts FROM k JOIN documents USING (doc_id) WHERE place <= 3 GROUP BY 1")
 def lookup_facts(t):
     """Facts of a question's three best records, in order."""
-    best = _reranked(t).filter("rank <= 3").select("item_id", "doc_id", "rank").join(t.documents.select("doc_id", "source", "lang"), "doc_id")
+    best = _reranked(t, 3).select("item_id", "doc_id", "rank").join(t.documents.select("doc_id", "source", "lang"), "doc_id")
     facts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("/", "source", "lang").alias("f")))), lambda x: x["f"])
     return best.groupBy("item_id").agg(F.array_join(facts, ",").alias("facts"))

@@ -26,6 +26,37 @@ def test_bm25_prefers_rare_terms(spark):
     assert best[0].doc_id == 1 and len(best) == 3
 
 
+def test_bm25_counts_like_a_loop_with_many_and_few_terms(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    texts = ["alpha beta beta", "beta gamma", "alpha alpha delta gamma", None, "", "omega"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "alpha beta"), (8, "gamma gamma nowhere"), (9, None)], "item_id long, text string")
+    words = [(t or "").split() for t in texts]
+    mean = sum(max(1, len(w)) for w in words) / len(words)
+    want = {}
+    for item, question in ((7, ["alpha", "beta"]), (8, ["gamma", "nowhere"])):
+        for d, w in enumerate(words):
+            for term in set(question) & set(w):
+                df, tf = sum(term in x for x in words), Counter(w)[term]
+                part = math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.6 / (tf + 1.6 * (1 - 0.72 + 0.72 * max(1, len(w)) / mean))
+                score, hits = want.get((item, d), (0.0, 0))
+                want[item, d] = (score + part, hits + 1)
+    for most in (search.MOST_TERMS, 1):  # the literal set of words, and the join beyond it
+        monkeypatch.setattr(search, "MOST_TERMS", most)
+        got = {(r.item_id, r.doc_id): (r.score, r.hits) for r in search.scored(docs, asked).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+def test_query_blocks_answer_all(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 7) + 1], i % 2) for i in range(60)], "vec_id long, embedding array<float>, label int")
+    whole = {(r.query_id, r.vec_id): r.score for r in search.against(vectors, vectors.filter("vec_id < 20"), search.cosine).collect()}
+    cut = search.against(vectors, vectors.filter("vec_id < 20"), search.cosine, most=6).collect()
+    assert len(cut) == len(whole) == 1200 and {(r.query_id, r.vec_id): r.score for r in cut} == whole
+
+
 def test_fusion_is_monotone(spark):
     a = spark.createDataFrame([(1, 10, 1, 0.9), (1, 11, 2, 0.8)], "item_id long, doc_id long, rank int, score double")
     b = spark.createDataFrame([(1, 10, 1, 5.0), (1, 12, 2, 4.0)], "item_id long, doc_id long, rank int, score double")
@@ -34,7 +65,7 @@ def test_fusion_is_monotone(spark):
 
 
 def test_context_block_keeps_the_first(spark):
-    ranked = spark.createDataFrame([(1, 1, "x" * 50), (1, 2, "y" * 5), (2, 1, "a" * 5), (2, 2, "b" * 5)], "k int, rank int, text string")
+    ranked = spark.createDataFrame([(1, 1, 50), (1, 2, 5), (2, 1, 5), (2, 2, 5)], "k int, rank int, length int")
     kept = {(r.k, r.rank) for r in search.context_block(ranked, "k", 20).collect()}
     assert kept == {(1, 1), (2, 1), (2, 2)}
 
