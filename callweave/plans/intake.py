@@ -16,8 +16,10 @@ from .catalog import query
 
 def _folder(t, label: str) -> str:
     """A new folder that driver and executors share."""
-    base = (t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/callweave-shared").rstrip("/")
-    return f"{base}/callweave/{label}-{uuid.uuid4().hex}"
+    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not t.spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or '/tmp/callweave-shared').rstrip('/')}/callweave/{label}-{uuid.uuid4().hex}"
 
 
 @query("src_csv", "SELECT p_partkey::VARCHAR AS slug, trim(p_name) AS title, p_size::VARCHAR AS size FROM part")

@@ -5,10 +5,11 @@ Each streaming form has a batch twin over the same rows, and tests hold one agai
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,33 +62,56 @@ def walk(state: str, events: list[str]) -> tuple[str, int]:
     return state, steps
 
 
-def final_states(events: DataFrame) -> DataFrame:
-    """Batch twin: fold each call's events in order. Only order and kind of a call's events are gathered."""
-    ordered = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("seen"))
+STATES = sorted({s for (a, _), b in MOVES.items() for s in (a, b)})
+KINDS = sorted({kind for _, kind in MOVES})
+NEXT = [STATES.index(s if s in ENDED else MOVES.get((s, kind), s)) for s in STATES for kind in KINDS]
+SPAN = 100_000  # width of a range of event ids; a call has at most so many events in one
 
-    def step(acc, e):
-        new = acc["state"]
-        for (a, b), c in MOVES.items():
-            new = F.when((acc["state"] == a) & (e["event_type"] == b), c).otherwise(new)
-        return F.struct(new.alias("state"), (acc["steps"] + F.when(new != acc["state"], 1).otherwise(0)).alias("steps"))
 
-    start = F.struct(F.lit("started").alias("state"), F.lit(0).cast("long").alias("steps"))
-    folded = F.aggregate("seen", start, lambda a, e: step(a, e).cast("struct<state:string,steps:bigint>"))
-    return ordered.select("user_id", folded.alias("f")).select("user_id", "f.state", "f.steps")
+def final_states(events: DataFrame, span: int = SPAN) -> DataFrame:
+    """Batch twin: fold each call's events in order of event_id, then kind; events of no known kind change nothing.
 
+    A call's events are folded by ranges of ids, for every state it may be in at the start of a range, and the
+    few results are joined in order: a call that holds a third of all events is spread over as many tasks.
+    """
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")).cast("int") - 1
+    seen = F.collect_list(F.when(kind >= 0, F.struct("event_id", kind.alias("kind"))))
+    parts = events.groupBy("user_id", F.floor(F.col("event_id") / span).alias("part")).agg(F.array_sort(seen).alias("seen"))
+    table, start = F.array(*map(F.lit, NEXT)), lambda s: F.struct(s.alias("state"), F.lit(0).cast("long").alias("steps"))
 
-def follow_states(events: DataFrame) -> DataFrame:
-    """Streaming form: the state of each call is kept between batches and given out when it has events."""
+    def step(acc, event):
+        new = F.get(table, acc["state"] * len(KINDS) + event["kind"])
+        return F.struct(new.alias("state"), (acc["steps"] + (new != acc["state"]).cast("long")).alias("steps"))
+
+    fold = [start(F.lit(i)) if s in ENDED else F.aggregate("seen", start(F.lit(i)), step) for i, s in enumerate(STATES)]
+    by_call = parts.select("user_id", F.struct("part", F.array(*fold).alias("ends")).alias("p")).groupBy("user_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+
+    def follow(acc, part):
+        end = F.get(part["ends"], acc["state"])
+        return F.struct(end["state"].alias("state"), (acc["steps"] + end["steps"]).alias("steps"))
+
+    last = F.aggregate("parts", start(F.lit(STATES.index("started"))), follow)
+    return by_call.select("user_id", last.alias("f")).select("user_id", F.get(F.array(*map(F.lit, STATES)), F.col("f.state")).alias("state"), "f.steps")
+
+
+def follow_states(events: DataFrame, forget_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """Streaming form: the state of each call is kept between batches and given out when it has events.
+
+    A call without events for `forget_ms` of processing time is forgotten, so state follows the calls in hand."""
 
     def update(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, steps = state.get if state.exists else ("started", 0)
-        rows = pd.concat(list(parts)).sort_values("event_id")
+        rows = pd.concat(list(parts)).sort_values(["event_id", "event_type"])
         now, moved = walk(now, rows.event_type.tolist())
         state.update((now, steps + moved))
+        state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame({"user_id": [key[0]], "state": [now], "steps": [steps + moved]})
 
     by = events.select("user_id", "event_id", "event_type").groupBy("user_id")
-    return by.applyInPandasWithState(update, STATE, "state string, steps long", "update", "NoTimeout")
+    return by.applyInPandasWithState(update, STATE, "state string, steps long", "update", "ProcessingTimeTimeout")
 
 
 def merge_backlog(spark: SparkSession, path: str):
@@ -103,30 +127,72 @@ def merge_backlog(spark: SparkSession, path: str):
     return write
 
 
-def voice_activity(levels: np.ndarray, frame_ms: int = 20, above_db: float = 9.0, on_ms: int = 140, off_ms: int = 650) -> list[tuple[int, int]]:
-    """(start frame, end frame) of speech: energy over a floor that follows quiet frames, with hysteresis."""
-    floor, speaking, run, start, out = float(levels[0]) if len(levels) else -60.0, False, 0, 0, []
-    for i, level in enumerate(levels):
-        loud = level > floor + above_db
-        if not loud:
-            floor = 0.95 * floor + 0.05 * float(level)
-        run = run + 1 if loud != speaking else 0
-        if not speaking and run * frame_ms >= on_ms:
-            speaking, start, run = True, i - run + 1, 0
-        elif speaking and run * frame_ms >= off_ms:
-            out.append((start, i - run + 1))
-            speaking, run = False, 0
-    if speaking:
-        out.append((start, len(levels)))
-    return out
+class Voice:
+    """Speech on a track of levels: energy over a floor that follows quiet frames, with hysteresis. Feed it pieces in order."""
 
+    def __init__(self, frame_ms: int = 20, above_db: float = 9.0, on_ms: int = 140, off_ms: int = 650):
+        self.above, self.on, self.off = above_db, -(-on_ms // frame_ms), -(-off_ms // frame_ms)
+        self.floor, self.speaking, self.run, self.start, self.at = None, False, 0, 0, 0
+
+    def feed(self, levels: Iterable[float]) -> list[tuple[int, int]]:
+        """(start frame, end frame) of the spans that end in this piece."""
+        out = []
+        for level in levels:
+            self.floor = level if self.floor is None else self.floor
+            loud = level > self.floor + self.above
+            if not loud:
+                self.floor = 0.95 * self.floor + 0.05 * level
+            self.run = self.run + 1 if loud != self.speaking else 0
+            if not self.speaking and self.run >= self.on:
+                self.speaking, self.start, self.run = True, self.at - self.run + 1, 0
+            elif self.speaking and self.run >= self.off:
+                out.append((self.start, self.at - self.run + 1))
+                self.speaking, self.run = False, 0
+            self.at += 1
+        return out
+
+    def end(self) -> list[tuple[int, int]]:
+        """The span that the end of the track cuts."""
+        return [(self.start, self.at)] if self.speaking else []
 
-def speech_spans(frames: DataFrame) -> DataFrame:
-    """stream_id, frame, level -> spans of speech per stream, one stream at a time."""
 
-    def spans(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        found = voice_activity(part.level.to_numpy())
-        return pd.DataFrame({"stream_id": [part.stream_id.iloc[0]] * len(found), "start": [a for a, _ in found], "end": [b for _, b in found]})
+def voice_activity(levels: np.ndarray, **settings) -> list[tuple[int, int]]:
+    """(start frame, end frame) of speech on a whole track."""
+    voice = Voice(**settings)
+    return voice.feed(np.asarray(levels, dtype=float).tolist()) + voice.end()
 
-    return frames.groupBy("stream_id").applyInPandas(spans, "stream_id long, start long, end long")
+
+def speech_spans(frames: DataFrame) -> DataFrame:
+    """stream_id, frame, level -> spans of speech per stream, in places of the stream's frames.
+
+    Streams are read in order of frames, a batch at a time; only a detector's state stays in memory."""
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, voice, found = None, None, []
+
+        def close():
+            if voice is not None:
+                found.extend((stream, *s) for s in voice.end())
+
+        for batch in batches:
+            ids, levels = np.array(batch.column("stream_id").to_pylist(), dtype=object), batch.column("level").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if voice is None or ids[a] != stream:
+                    close()
+                    stream, voice = ids[a], Voice()
+                found.extend((stream, *s) for s in voice.feed(levels[a:b].tolist()))
+            yield _spans(found)
+            found.clear()
+        close()
+        yield _spans(found)
+
+    dealt = frames.select(F.col("stream_id").cast("long").alias("stream_id"), "frame", F.col("level").cast("double").alias("level"))
+    return dealt.repartition("stream_id").sortWithinPartitions("stream_id", "frame").mapInArrow(spans, "stream_id long, start long, end long")
+
+
+def _spans(found: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([row[i] for row in found], pa.int64()) for i in range(3)]
+    return pa.RecordBatch.from_arrays(columns, ["stream_id", "start", "end"])

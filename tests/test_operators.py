@@ -158,6 +158,32 @@ def test_state_walk_equals_fold(spark):
     assert got == {u: calls.walk("started", e) for u, e in by.items()}
 
 
+def test_states_do_not_depend_on_ranges(spark):
+    kinds = ["signup", "view", "click", "view", "other", "error", "view", "purchase", None]
+    rows = [(i, i % 3 if i % 5 else 7, kinds[(i * 7 + i // 4) % len(kinds)]) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string")
+    by = {}
+    for _, user, kind in rows:
+        by.setdefault(user, []).append(kind)
+    want = {u: calls.walk("started", e) for u, e in by.items()}
+    for span in (1, 10, 100_000):
+        assert {r.user_id: (r.state, r.steps) for r in calls.final_states(events, span).collect()} == want
+
+
+def test_spans_do_not_depend_on_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    tracks = {u: np.repeat(rng.choice([-60.0, -20.0], 40), 25) for u in (1, 2, 5)}
+    frames = spark.createDataFrame([(u, i, float(x)) for u, t in tracks.items() for i, x in enumerate(t)], "stream_id long, frame long, level double")
+    want = sorted((u, a, b) for u, t in tracks.items() for a, b in calls.voice_activity(t))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        assert sorted(tuple(r) for r in calls.speech_spans(frames).collect()) == want and want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_voice_activity():
     levels = [-60.0] * 20 + [-20.0] * 30 + [-60.0] * 60
     assert calls.voice_activity(levels) == [(20, 50)]
