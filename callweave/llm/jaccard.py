@@ -87,10 +87,10 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(rows.any(axis=1))
         for a in range(0, len(used), 4096):
             part = used[a : a + 4096]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * WIDE + 1, WIDE, dtype=np.int32)), pa.array(rows[part].ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * WIDE + 1, WIDE, dtype=np.int32)), pa.array(rows[part].ravel().astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), lists], ["row", "counts"])
 
-    parts = docs.select("text").mapInArrow(work, "row long, counts array<long>")
+    parts = docs.select("text").mapInArrow(work, "row long, counts array<int>")
     summed = parts.groupBy("row").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(WIDE)]).alias("counts")).toArrow()  # 2 * CELLS numbers
     counts = np.zeros((2 * CELLS // WIDE, WIDE), dtype=np.int64)
     if summed.num_rows:
@@ -123,7 +123,7 @@ def can_link(size_x, size_y, differ):
     return most * (100 + NEED) >= NEED * (size_x + size_y)
 
 
-CLASSES = "doc_id long, print long, digest binary, size long, common double, bits binary, short array<long>"
+CLASSES = "doc_id long, print long, digest binary, size long, common int, bits binary, short array<long>"
 
 
 def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
@@ -143,13 +143,13 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
                     kept = s[order].astype(np.int64)
                     digests.append(xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
-                    commons.append(float(q.mean()) if len(s) else 0.0)
+                    commons.append(int(8 * q.mean()) if len(s) else 0)  # only an order: few bytes in the shuffle of lists
                     maps.append(parity(s).tobytes())
                     shorts.append(np.where(q[order] >= long, -1 - kept, kept))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in shorts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.float64()), pa.array(maps, pa.binary()),
+                        batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.int32()), pa.array(maps, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(shorts))),
                     ],
                     ["doc_id", "print", "digest", "size", "common", "bits", "short"],
@@ -227,16 +227,18 @@ class Lists:
 
 
 def _wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, text: one text of each of the given classes."""
-    wanted = materialise(ids.join(classes.select("id", "doc", "print"), "id"), "jaccard-wanted")
+    """id, text: one text of each of the given classes; texts meet them in the one shuffle that makes them distinct."""
+    key = lambda doc, print_: F.xxhash64(doc, print_)
+    wanted = ids.join(classes.select("id", "doc", "print"), "id").select("id", "print", key("doc", "print").alias("key"))
+    wanted = materialise(wanted, "jaccard-wanted")
     # a bit map of the wanted texts, of bounded size, keeps most other texts out of the shuffle
     bits = min(BROADCAST_BITS, filter_bits(wanted.count()))
     slot = lambda print_: F.pmod(print_, F.lit(bits))
     bitmaps = F.broadcast(maps(wanted.select(slot(F.col("print")).alias("slot")), 0))
-    held = docs.select("doc_id", "text", slot(F.xxhash64("text")).alias("slot")).withColumn("map0", F.floor(F.col("slot") / MAP_BITS)).join(bitmaps, "map0")
-    held = held.filter(bit(F.col("bits0"), F.col("slot"))).select("doc_id", "text")
-    same = held.doc_id.eqNullSafe(wanted.doc) & (F.xxhash64(held.text) == wanted.print)
-    texts = materialise(held.join(wanted, same).select("id", "text").dropDuplicates(["id"]), "jaccard-texts")
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).withColumn("slot", slot(F.col("print")))
+    held = held.withColumn("map0", F.floor(F.col("slot") / MAP_BITS)).join(bitmaps, "map0").filter(bit(F.col("bits0"), F.col("slot")))
+    held = held.groupBy(key("doc_id", "print").alias("key")).agg(F.first("text").alias("text"))
+    texts = materialise(held.join(wanted, "key").filter(F.xxhash64("text") == F.col("print")).select("id", "text"), "jaccard-texts")
     discard(wanted)
     return texts
 
@@ -286,11 +288,15 @@ def by_pivots(offered: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     pivots = offered.filter((F.col("salt") > 0) & (F.col("a.id") == F.col("b.id"))).select("shingle", "b")
     asks = materialise(_asks(offered).union(_asks(_first(pivots, "shingle"))).distinct(), "jaccard-asks")
     parts = asks.groupBy("asks").agg(_blocks(F.count(F.lit(1)), F.sum("size")).alias("parts"))
-    dealt = asks.join(materialise(parts, "jaccard-parts"), "asks").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    parts = materialise(parts, "jaccard-parts")
+    dealt = asks.join(parts, "asks").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     dealt = materialise(_bundled(dealt, "asks", "part"), "jaccard-dealt")
     indexed = dealt.select("block", "id", F.col("id").alias("label"), F.lit(False).alias("asks"))
     asking = dealt.select("block", F.col("asks").alias("id"), F.col("asks").alias("label"), F.lit(True).alias("asks"))
-    return occurrences(indexed.unionByName(asking).distinct(), classes, docs)
+    discard(asks, parts)
+    links = occurrences(indexed.unionByName(asking).distinct(), classes, docs)
+    discard(dealt)
+    return links
 
 
 def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -328,7 +334,9 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     dealt = indexed.unionByName(asking).withColumn("block", F.pmod(F.xxhash64("group", "row", "column"), F.lit(max(1, -(-int(placed_rows) // BLOCK)))))
     open_rows = materialise(dealt.groupBy("block").applyInArrow(_open, "block long, id long, label long, asks boolean"), "jaccard-open-rows")
     discard(member, groups)
-    return occurrences(_bundled(open_rows.withColumnRenamed("block", "of"), "of").groupBy("block", "id", "asks").agg(F.min("label").alias("label")), classes, docs)
+    links = occurrences(_bundled(open_rows.withColumnRenamed("block", "of"), "of").groupBy("block", "id", "asks").agg(F.min("label").alias("label")), classes, docs)
+    discard(open_rows)
+    return links
 
 
 def _open(key, part):
