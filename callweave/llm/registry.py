@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, for __spark_entry__."""
 
-from . import ctw, exact_dedup, jaccard, mixing, packing, quality, secrets, telephony, url_filter, warc
+from . import ctw, exact_dedup, filter_audit, jaccard, mixing, packing, quality, secrets, telephony, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_secrets": secrets.query,
     "op10_telephony": telephony.query,
+    "op13_filter_audit": filter_audit.query,
 }
 ORACLES = {
     "op2_warc": warc.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_jaccard": jaccard.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
