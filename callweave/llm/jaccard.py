@@ -226,19 +226,18 @@ class Lists:
         return found[shared >= need]
 
 
-def _wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id, text: one text of each of the given classes; texts meet them in the one shuffle that makes them distinct."""
-    key = lambda doc, print_: F.xxhash64(doc, print_)
-    wanted = ids.join(classes.select("id", "doc", "print"), "id").select("id", "print", key("doc", "print").alias("key"))
-    wanted = materialise(wanted, "jaccard-wanted")
+    key = lambda doc, print_: [F.isnull(doc).alias("none"), F.coalesce(F.col(doc), F.lit(0)).alias("doc"), F.col(print_).alias("print")]
+    wanted = materialise(ids.join(classes.select("id", "doc", "print"), "id").select("id", *key("doc", "print")), "texts-wanted")
     # a bit map of the wanted texts, of bounded size, keeps most other texts out of the shuffle
     bits = min(BROADCAST_BITS, filter_bits(wanted.count()))
     slot = lambda print_: F.pmod(print_, F.lit(bits))
     bitmaps = F.broadcast(maps(wanted.select(slot(F.col("print")).alias("slot")), 0))
     held = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).withColumn("slot", slot(F.col("print")))
     held = held.withColumn("map0", F.floor(F.col("slot") / MAP_BITS)).join(bitmaps, "map0").filter(bit(F.col("bits0"), F.col("slot")))
-    held = held.groupBy(key("doc_id", "print").alias("key")).agg(F.first("text").alias("text"))
-    texts = materialise(held.join(wanted, "key").filter(F.xxhash64("text") == F.col("print")).select("id", "text"), "jaccard-texts")
+    held = held.groupBy(*key("doc_id", "print")).agg(F.first("text").alias("text"))
+    texts = materialise(held.join(wanted, ["none", "doc", "print"]).select("id", "text"), "texts")
     discard(wanted)
     return texts
 
@@ -265,7 +264,7 @@ def occurrences(placed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
         return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
     placed = materialise(placed, "jaccard-placed")
-    texts = _wanted_texts(placed.select("id").distinct(), classes, docs)
+    texts = wanted_texts(placed.select("id").distinct(), classes, docs)
     filled = placed.join(texts, "id").select("block", "id", "label", "asks", "text")
     links = materialise(filled.groupBy("block").applyInArrow(search, "x long, y long").distinct(), "jaccard-links")
     discard(placed, texts)

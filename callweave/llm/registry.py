@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, for __spark_entry__."""
 
-from . import ctw, exact_dedup, filter_audit, jaccard, mixing, packing, quality, secrets, telephony, url_filter, warc
+from . import ctw, exact_dedup, filter_audit, jaccard, minhash, mixing, packing, quality, secrets, telephony, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_secrets": secrets.query,
     "op10_telephony": telephony.query,
+    "op11_turn_repair": turn_repair.query,
+    "op12_minhash": minhash.query,
     "op13_filter_audit": filter_audit.query,
 }
 ORACLES = {
@@ -20,5 +22,7 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_jaccard": jaccard.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
+    "op12_minhash": minhash.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
