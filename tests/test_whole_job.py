@@ -1,12 +1,8 @@
 """Queries do the whole job where the driver's small tables would not show a cut."""
 
-from types import SimpleNamespace
-
-import numpy as np
 import pytest
 
 import __spark_entry__ as engine
-from callweave.llm import secrets
 from callweave.operators import search
 
 
@@ -25,24 +21,3 @@ def test_vec_ann_recall_with_its_own_parameters(spark, sf):
     want = {(r.query_id, r.vec_id) for r in exact.collect()}
     found = [(r.query_id, r.vec_id) for r in engine.queries()["vec_ann"](spark, path).collect()]
     assert len(found) == len(set(found)) and len(want & set(found)) >= 0.9 * len(want)
-
-
-def test_secrets_training_holds_at_many_windows():
-    quiet, loud = np.array([0, 1, 0]), np.array([0, 150, 1])
-    windows = [(loud, 0, np.array([0, 1, 0])) if i % 2 else (quiet, 0, np.array([0, 0, 0])) for i in range(10_400)]
-    tagger = secrets.Tagger().fit(windows, rounds=1)
-    assert tagger.viterbi(tagger.scores(loud, 0)).tolist() == [0, 1, 0] and not tagger.viterbi(tagger.scores(quiet, 0)).any()
-
-
-def test_secrets_surplus_windows_go_by_hash():
-    rows = [SimpleNamespace(tokens=[f"{i:04d}"]) for i in range(1000)]
-    kept = [int(r.tokens[0]) for r in secrets.surplus_out(rows, 500)]
-    assert len(kept) == 500 and kept == sorted(kept) and 350 < sum(kept) / 500 < 650 and secrets.surplus_out(rows[:5], 5) == rows[:5]
-
-
-def test_secrets_trains_on_bounded_rows(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(secrets.Tagger, "fit", lambda self, windows, rounds: seen.append(len(windows)) or self)
-    rows = [(1, f"word number {i % 50} and more") for i in range(500)] + [(None, "a text without an id")] * 5
-    secrets.train(spark.createDataFrame(rows, "doc_id long, text string"), sample=20)
-    assert seen == [20 + secrets.MADE_WINDOWS]
