@@ -30,47 +30,57 @@ def slugify(texts: pd.Series) -> pd.Series:
     return slugs(texts)
 
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-
-
-def _places(hashed: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and sign of hashed features, from disjoint bits."""
-    return (hashed >> np.uint64(20)).astype(np.int64) % dims, np.where(hashed >> np.uint64(11) & np.uint64(1), 1.0, -1.0)
-
-
-def hash_vectors(features: list[np.ndarray], texts: list[str], dims: int) -> np.ndarray:
-    """A unit vector a row: each distinct feature adds its sign times 1 + ln(count) to its cell, and each letter
-    trigram (white space out, two letters apart) a quarter of its sign. Every distinct feature of the batch is
-    hashed once. Rows without features and trigrams stay zero."""
-    n, out = len(texts), np.zeros(len(texts) * dims)
-    codes, names = pd.factorize(np.concatenate([np.zeros(0, dtype=object), *[np.asarray(f, dtype=object) for f in features]]))
-    if len(names):
-        cells, signs = _places(pd.util.hash_array(np.asarray(names, dtype=object), categorize=False), dims)
-        row = np.repeat(np.arange(n), [len(f) for f in features])
-        pair, counts = np.unique(row * len(names) + codes, return_counts=True)
-        row, code = np.divmod(pair, len(names))
-        out += np.bincount(row * dims + cells[code], weights=signs[code] * (1 + np.log(counts)), minlength=len(out))
-    letters = [np.frombuffer("".join(t.lower().split()).encode("utf-32-le"), dtype="<u4").astype(np.uint64) for t in texts]
-    starts = [np.arange(0, max(0, len(x) - 2), 2) for x in letters]
-    if sum(map(len, starts)):
-        row = np.repeat(np.arange(n), [len(s) for s in starts])
-        mixed = np.concatenate([x[s] * _ODD[0] + x[s + 1] * _ODD[1] + x[s + 2] * _ODD[2] for x, s in zip(letters, starts, strict=True) if len(s)])
-        mixed ^= mixed >> np.uint64(29)
-        cells, signs = _places(mixed * _ODD[0], dims)
-        out += np.bincount(row * dims + cells, weights=0.25 * signs, minlength=len(out))
-    out = out.reshape(n, dims)
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, size, out=np.zeros_like(out), where=size > 0).astype(np.float32)
-
+#: Salts of a feature's cell, of its sign and of a letter trigram's cell.
+CELL, SIGN, GRAM = 0, 7, 3
+DIGESTS = {
+    "blake2b": lambda s, salt: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "big"),
+    "md5": lambda s, salt: int(hashlib.md5(f"{salt}:{s}".encode()).hexdigest()[:8], 16),  # a form that SQL can restate
+}
 
-def hash_embed(features, text, dims: int = 768):
-    """Column of unit vectors from feature arrays (see functions.text.expand) and texts."""
 
-    @F.pandas_udf("array<float>")
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, code) of the letter trigrams that start at every second letter, and the trigrams by code."""
+    letters = [np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64) for t in texts]
+    starts = [np.arange(0, max(0, len(x) - 2), 2) for x in letters]
+    packed = np.concatenate([np.zeros(0, dtype=np.int64), *[x[s] << 42 | x[s + 1] << 21 | x[s + 2] for x, s in zip(letters, starts, strict=True)]])
+    kinds, codes = np.unique(packed, return_inverse=True)
+    return np.repeat(np.arange(len(texts)), [len(s) for s in starts]), codes, ["".join(chr(k >> at & 0x1FFFFF) for at in (42, 21, 0)) for k in kinds.tolist()]
+
+
+def hash_vectors(rows: np.ndarray, codes: np.ndarray, names: list[str], compacts: list[str], dims: int, digest: str = "blake2b") -> np.ndarray:
+    """A unit vector for each of `compacts`, texts in lower case without white space.
+
+    rows, codes: the features of the texts in order, by their place in `names`. Features of a row that share a cell add
+    up to 1 + ln(count), with the sign of the last one; a trigram adds a quarter of its cell's sign (plus where the cell
+    has none). A digest is taken once a distinct feature. Rows without features and trigrams stay zero."""
+    of, size = DIGESTS[digest], len(compacts) * dims
+    used, codes = np.unique(codes, return_inverse=True)
+    known = [names[c] for c in used]
+    places = np.array([of(x, CELL) % dims for x in known], dtype=np.int64)
+    signs = np.array([1.0 - 2 * (of(x, SIGN) % dims % 2) for x in known])
+    at, sign = rows * dims + places[codes] if len(codes) else np.zeros(0, dtype=np.int64), np.ones(size)
+    sign[at] = signs[codes]  # the last of equal places stays
+    counts = np.bincount(at, minlength=size)
+    out = np.where(counts > 0, sign * (1 + np.log(np.maximum(counts, 1))), 0.0)
+    row, gram, kinds = _grams(compacts)
+    cells = np.array([of(g, GRAM) % dims for g in kinds], dtype=np.int64)
+    if len(gram):
+        out += 0.25 * sign * np.bincount(row * dims + cells[gram], minlength=size)
+    out = out.reshape(len(compacts), dims)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+
+
+def hash_embed(features, compact, dims: int = 768, digest: str = "blake2b", kind: str = "float"):
+    """Column of unit vectors from feature arrays (functions.text.expand) and compact texts (functions.text.compact)."""
+
+    @F.pandas_udf(f"array<{kind}>")
     def embed(fs: pd.Series, ts: pd.Series) -> pd.Series:
-        return pd.Series(list(hash_vectors(list(fs), ts.fillna("").tolist(), dims)))
+        codes, names = pd.factorize(np.concatenate([np.zeros(0, dtype=object), *[np.asarray(f, dtype=object) for f in fs]]))
+        rows = np.repeat(np.arange(len(fs)), [len(f) for f in fs])
+        return pd.Series(list(hash_vectors(rows, codes, list(names), ts.fillna("").tolist(), dims, digest).astype(np.float32 if kind == "float" else np.float64)))
 
-    return embed(features, text)
+    return embed(features, compact)
 
 
 SILENCE = -96.0

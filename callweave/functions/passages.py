@@ -11,16 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STRINGS = "array<string>"
-
+from .text import let
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+STRINGS = "array<string>"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def full(parts: Column) -> Column:
@@ -61,8 +58,8 @@ def _opened(packed: Column) -> Column:
 
     def lead(chunk: Column, i: Column) -> Column:
         tail = stripped(F.right(F.get(packed, i - 1), F.lit(OVERLAP)))
-        tail = bound(tail, lambda t: F.when(t.rlike(r"^[^ ]+ +[^ ]"), F.regexp_replace(t, r"^[^ ]+ ", "")).otherwise(t))
-        return F.when(i == 0, chunk).otherwise(bound(tail, lambda t: F.when(t == "", chunk).otherwise(F.concat(F.lit("…"), t, F.lit(" "), chunk))))
+        tail = let(tail, lambda t: F.when(t.rlike(r"^[^ ]+ +[^ ]"), F.regexp_replace(t, r"^[^ ]+ ", "")).otherwise(t))
+        return F.when(i == 0, chunk).otherwise(let(tail, lambda t: F.when(t == "", chunk).otherwise(F.concat(F.lit("…"), t, F.lit(" "), chunk))))
 
     return F.transform(packed, lead)
 
@@ -73,14 +70,14 @@ def chunks(text: Column) -> Column:
     def cut(body: Column) -> Column:
         paragraphs = full(F.split(body, r"\n\s*\n"))
         blocks = F.transform(paragraphs, lambda p: F.when(F.length(p) <= TARGET, F.array(p)).otherwise(greedy(sentences(p), _within(TARGET, " "), " ")))
-        return bound(greedy(F.flatten(blocks), _within(MOST, "\n"), "\n"), _opened)
+        return let(greedy(F.flatten(blocks), _within(MOST, "\n"), "\n"), _opened)
 
     def pick(made: Column) -> Column:
         long = F.filter(made, lambda c: F.length(c) >= LEAST)
         return F.when(F.size(long) > 0, long).otherwise(made)
 
     body = F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), r"\n{3,}", "\n\n")
-    return bound(body, lambda b: F.when(b == "", F.array().cast(STRINGS)).when(F.length(b) <= MOST, F.array(b)).otherwise(bound(cut(b), pick)))
+    return let(body, lambda b: F.when(b == "", F.array().cast(STRINGS)).when(F.length(b) <= MOST, F.array(b)).otherwise(let(cut(b), pick)))
 
 
 SPOKEN, SHORT = 180, 24
@@ -98,51 +95,66 @@ def spoken_parts(text: Column, limit: int = SPOKEN, least: int = SHORT) -> Colum
 
 
 # Scale words of Indian amounts, and the widest gap inside one amount.
-SCALES = {"crore": 10**7, "crores": 10**7, "cr": 10**7, "lakh": 10**5, "lakhs": 10**5, "lac": 10**5, "lacs": 10**5, "million": 10**6, "thousand": 1000, "hundred": 100}
+SCALES = {
+    "crore": 10**7, "crores": 10**7, "cr": 10**7, "lakh": 10**5, "lakhs": 10**5, "lac": 10**5, "lacs": 10**5, "million": 10**6, "thousand": 1000, "hundred": 100,
+    "करोड़": 10**7, "करोड": 10**7, "कोटी": 10**7, "लाख": 10**5, "लक्ष": 10**5, "लक्ख": 10**5, "हज़ार": 1000, "हजार": 1000, "हजारा": 1000, "सहस्र": 1000, "सौ": 100, "हज़ारों": 1000,
+}
 GAP = 4
-_NUMBER = r"\d[\d,]*(?:\.\d+)?"
-_SCALED = rf"({_NUMBER})\s*((?i:{'|'.join(sorted(SCALES, key=len, reverse=True))}))(?![A-Za-z0-9_])"
-_UNCAUGHT = _SCALED.replace(f"({_NUMBER})", _NUMBER, 1).replace("((?i:", "(?i:", 1).replace("))(?!", ")(?!", 1)
-_AMOUNT = rf"(?s)({_UNCAUGHT}(?:.{{0,{GAP}}}?{_UNCAUGHT})*)"
+# runs of digits are possessive and start once, so a text of one long number is read once
+_NUMBER = r"\d[\d,]*+(?:\.\d++)?"
+_SCALED = rf"(?<!\d,{{0,4}})({_NUMBER})\s*+((?iu:{'|'.join(sorted(SCALES, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}_])"
+_BARE = r"\b(\d[\d,]*(?:\.\d+)?)\b"
 
 
 def _whole(value: Column) -> Column:
-    return F.format_string("%.0f", value)
+    return F.format_string("%.0f", F.bround(value, 0))
 
 
 def numbers(text: Column) -> Column:
-    """The amounts that a text may mean, sorted: neighbouring scale phrases summed, bare numbers also as lakh and crore."""
+    """The amounts that a text may mean, sorted: neighbouring scale phrases summed, bare numbers also as lakh and crore.
+
+    Scale phrases and the gaps between them are two arrays; an amount begins where the gap before a phrase is wider
+    than GAP. Each is a slice of the phrases, so work grows with the text. Amounts from 9e15 on are rounded as doubles
+    are; of a malformed number like 1.2.3 lakh the phrase takes 2.3 and leaves 1."""
     scale = F.create_map(*[F.lit(x) for w, n in SCALES.items() for x in (w, float(n))])
     plain = lambda n: F.regexp_replace(n, ",", "")
 
-    def summed(amount: Column) -> Column:
-        sizes, words = F.regexp_extract_all(amount, F.lit(_SCALED), 1), F.regexp_extract_all(amount, F.lit(_SCALED), 2)
-        return F.aggregate(F.zip_with(sizes, words, lambda n, w: plain(n).cast("double") * F.element_at(scale, F.lower(w))), F.lit(0.0), lambda a, b: a + b)
-
     def bare(n: Column) -> Column:
-        return bound(F.struct(plain(n).alias("s"), plain(n).cast("double").alias("v")), lambda x: F.array(x["s"], _whole(x["v"]), _whole(x["v"] * 10**5), _whole(x["v"] * 10**7)))
+        return let(F.struct(plain(n).alias("s"), plain(n).cast("double").alias("v")), lambda x: F.array(x["s"], _whole(x["v"]), _whole(x["v"] * 10**5), _whole(x["v"] * 10**7)))
 
-    def both(t: Column) -> Column:
-        totals = F.filter(F.transform(F.regexp_extract_all(t, F.lit(_AMOUNT), 1), summed), lambda x: x != 0)
-        rest = F.regexp_extract_all(F.regexp_replace(t, _AMOUNT, "~"), F.lit(rf"\b({_NUMBER})\b"), 1)
-        return F.array_sort(F.array_distinct(F.concat(F.transform(totals, _whole), F.flatten(F.transform(rest, bare)))))
+    def both(x: Column) -> Column:
+        values, gaps = x["values"], x["gaps"]
+        opens = lambda i: (i == 0) | (F.length(F.get(gaps, i)) > GAP)
+        starts = F.filter(F.transform(values, lambda v, i: F.when(opens(i), i)), lambda i: i.isNotNull())
+        until = lambda k, at: F.coalesce(F.get(at, k + 1), F.size(values))
+        totals = let(starts, lambda at: F.transform(at, lambda a, k: F.aggregate(F.slice(values, a + 1, until(k, at) - a), F.lit(0.0), lambda s, v: s + v)))
+        outer = F.filter(gaps, lambda g, i: (i == F.size(values)) | opens(i))
+        rest = F.regexp_extract_all(F.array_join(outer, "~"), F.lit(_BARE), 1)
+        return F.array_sort(F.array_distinct(F.concat(F.transform(F.filter(totals, lambda t: t != 0), _whole), F.flatten(F.transform(rest, bare)))))
 
-    return bound(F.coalesce(text, F.lit("")), both)
+    body = F.coalesce(text, F.lit(""))
+    said = lambda group: F.regexp_extract_all(body, F.lit(_SCALED), group)
+    values = F.zip_with(said(1), said(2), lambda n, w: plain(n).cast("double") * F.element_at(scale, F.lower(w)))
+    return let(F.struct(values.alias("values"), F.split(body, _SCALED, -1).alias("gaps")), both)
 
 
 # Numbers that are never taken for invented amounts.
 SAFE = [*map(str, range(1, 13)), "100", "2024", "2025", "2026", "2027"]
 
 
+def telling(number: Column) -> Column:
+    """Whether a number is neither safe nor a single digit nor a year."""
+    return ~number.isin(SAFE) & (F.length(number) > 1) & ~number.rlike("^20[0-9]{2}$")
+
+
 def ungrounded(answer: Column, context: Column) -> Column:
     """Amounts of the answer that the context does not hold, without safe ones, single digits and years."""
-    left = F.array_except(F.array_except(numbers(answer), numbers(context)), F.array(*map(F.lit, SAFE)))
-    return F.array_sort(F.filter(left, lambda n: (F.length(n) > 1) & ~n.rlike("^20[0-9]{2}$")))
+    return F.array_sort(F.filter(F.array_except(numbers(answer), numbers(context)), telling))
 
 
 # Patterns of personal data in the order in which they are masked, the tail that is kept, and whether only digits count.
 PII = [
-    ("email", r"(?U)[\w.+-]+@[\w-]+\.[\w.-]{2,}", 2, False),
+    ("email", r"(?U)(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.-]{2,}", 2, False),
     ("url", r"https?://\S+|www\.\S+", 2, False),
     ("pan", r"\b[A-Z]{5}\d{4}[A-Z]\b", 2, False),
     ("phone", r"(?<!\d)(?:\+?91[-\s]?)?(?:[6-9]\d{4}[-\s]?\d{5})(?!\d)", 3, False),
@@ -155,7 +167,7 @@ def _covered(found: Column, label: str, keep: int, digits: bool) -> Column:
     value = F.regexp_replace(found, r"\D", "") if digits else stripped(found)
     stars = lambda v: F.repeat(F.lit("*"), F.when(F.length(v) > keep, F.length(v) - keep).otherwise(F.length(v)))
     tail = lambda v: F.when(F.length(v) > keep, F.right(v, F.lit(keep))).otherwise("")
-    return bound(value, lambda v: F.concat(F.lit(f"[{label}:"), stars(v), tail(v), F.lit("]")))
+    return let(value, lambda v: F.concat(F.lit(f"[{label}:"), stars(v), tail(v), F.lit("]")))
 
 
 def _cover(label: str, pattern: str, keep: int, digits: bool) -> Callable[[Column], Column]:
@@ -171,7 +183,7 @@ def masked(text: Column) -> Column:
     """Personal data as [label:***tail]: the gaps between matches and the covered matches take turns."""
     out = F.coalesce(text, F.lit(""))
     for rule in PII:
-        out = bound(out, _cover(*rule))
+        out = let(out, _cover(*rule))
     return out
 
 

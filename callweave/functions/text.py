@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no meaning in a question (English and romanised Hindi).
+# Words that carry no meaning in a question (English, romanised Hindi, Hindi).
 STOPWORDS = (
     "a an the is are was were be been of for to in on at and or do does did i me my we you your please tell about what which how much many "
-    "can could would should will there here it this that hai kya ka ki ke ko mein se par aur bhi mujhe muje bataye batao bataiye karna karein chahiye"
+    "can could would should will there here it this that hai kya ka ki ke ko mein se par aur bhi mujhe muje bataye batao bataiye karna karein chahiye "
+    "है हैं का की के को में और भी मुझे क्या बताइए बताओ बताएं करना चाहिए लिए या तो ही"
 ).split()
 
 # Words left out of the key of a question.
@@ -27,8 +29,27 @@ SYNONYMS = {
     "work": ["placement", "job", "salary", "recruiter"],
     "reach": ["phone", "email", "contact", "address"],
 }
-SINGLE = {m: g for g, ms in SYNONYMS.items() for m in ms if " " not in m and "." not in m}
-PHRASES = [(m, g) for g, ms in SYNONYMS.items() for m in ms if " " in m or "." in m]
+
+
+def token_groups(synonyms: dict[str, list[str]]) -> dict[str, str]:
+    """Word -> group: members, and the parts of members of several words that no earlier member claims."""
+    found: dict[str, str] = {}
+    for group, members in synonyms.items():
+        for member in map(str.lower, members):
+            found[member] = group
+            for part in re.split(r"[.\s]+", member):
+                if len(part) > 1:
+                    found.setdefault(part, group)
+    return found
+
+
+def phrases_of(synonyms: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(member, group) of the members that are more than one word."""
+    return [(m.lower(), g) for g, ms in synonyms.items() for m in ms if " " in m or "." in m]
+
+
+SINGLE = token_groups(SYNONYMS)
+PHRASES = phrases_of(SYNONYMS)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,17 +68,25 @@ def tokenize(text: Column, keep_stopwords: bool = False) -> Column:
     return F.filter(words, keep if keep_stopwords else lambda w: keep(w) & ~w.isin(STOPWORDS))
 
 
-def expand(text: Column) -> Column:
+def phrase_marks(text: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
+    """`#g:group` for each member of several words that the text contains, in the order of the table."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    marks = [F.when(low.contains(m), F.lit(f"#g:{g}")) for m, g in phrases_of(synonyms)]
+    return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
+
+
+def compact(text: Column) -> Column:
+    """Lower case without white space, for letter trigrams."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+", "")
+
+
+def expand(text: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> Column:
     """Tokens, then `#g:group` of each known token and of its form without a plural s, then of each phrase."""
     tokens = tokenize(text)
-    known = F.create_map(*[F.lit(x) for pair in SINGLE.items() for x in pair])
-    own = F.transform(tokens, lambda t: F.get(F.array(F.element_at(known, t)), F.lit(0)))
-    stems = F.transform(tokens, lambda t: F.when(t.endswith("s") & (F.length(t) > 3), F.element_at(known, F.substring(t, F.lit(1), F.length(t) - 1))))
-    groups = F.flatten(F.transform(F.arrays_zip(own.alias("o"), stems.alias("s")), lambda p: F.array(p["o"], p["s"])))
-    low = F.lower(F.coalesce(text, F.lit("")))
-    phrases = F.array(*[F.when(low.contains(m), F.lit(g)) for m, g in PHRASES])
-    marked = F.transform(F.array_compact(F.concat(groups, phrases)), lambda g: F.concat(F.lit("#g:"), g))
-    return F.concat(tokens, marked)
+    known = F.create_map(*[F.lit(x) for w, g in token_groups(synonyms).items() for x in (w, f"#g:{g}")])
+    stem = lambda t: F.when(t.endswith("s") & (F.length(t) > 3), F.element_at(known, F.substring(t, F.lit(1), F.length(t) - 1)))
+    groups = F.flatten(F.transform(tokens, lambda t: F.array_compact(F.array(F.element_at(known, t), stem(t)))))
+    return F.concat(tokens, groups, phrase_marks(text, synonyms))
 
 
 def canonical_key(text: Column) -> Column:

@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callweave.functions import classify
 from callweave.sources import readers
+from callweave.sources.shared import new_folder
 from callweave.streaming import calls
 
 from .catalog import query
 
 
-def _folder(t, label: str) -> str:
-    """A new folder that driver and executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not t.spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(base or '/tmp/callweave-shared').rstrip('/')}/callweave/{label}-{uuid.uuid4().hex}"
-
-
 @query("src_csv", "SELECT p_partkey::VARCHAR AS slug, trim(p_name) AS title, p_size::VARCHAR AS size FROM part")
 def src_csv(t):
-    path = _folder(t, "csv")
+    path = new_folder(t.spark, "csv")
     readers.write_csv(t.part.select(F.col("p_partkey").alias("Slug"), F.concat(F.lit(" "), "p_name").alias("Title"), F.col("p_size").alias("Size")), path)
     return readers.read_csv(t.spark, path).select("slug", "title", "size")
 
 
 @query("src_json", "SELECT n_nationkey, n_name FROM nation")
 def src_json(t):
-    path = _folder(t, "json")
+    path = new_folder(t.spark, "json")
     wrapped = t.nation.groupBy().agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("items"))  # 25 rows of a fixed table
     wrapped.write.json(path)
     return readers.read_json(t.spark, path).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
@@ -40,7 +31,7 @@ def src_json(t):
 @query("src_folder", "SELECT 'nation' AS kind, count(*) AS records FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def src_folder(t):
     """A folder with files of several formats."""
-    path = _folder(t, "seed")
+    path = new_folder(t.spark, "seed")
     t.nation.select(F.col("n_name").alias("title"), F.lit("nation").alias("kind")).coalesce(1).write.csv(f"{path}/a", header=True)
     t.region.select(F.col("r_name").alias("title"), F.lit("region").alias("kind")).groupBy().agg(F.collect_list(F.struct("title", "kind")).alias("records")).write.json(f"{path}/b")
     found = readers.read_folder(t.spark, path).filter("position >= 0")
@@ -50,7 +41,7 @@ def src_folder(t):
 @query("src_yaml", None)
 def src_yaml(t):
     """YAML records; where the yaml package is absent, one row tells so."""
-    path = _folder(t, "yaml")
+    path = new_folder(t.spark, "yaml")
     lines = t.region.select(F.concat(F.lit("- {title: '"), "r_name", F.lit("', key: "), F.col("r_regionkey").cast("string"), F.lit("}")).alias("value"))
     lines.coalesce(1).write.text(path)
     named = readers.read_folder(t.spark, path, "yaml")
@@ -60,7 +51,7 @@ def src_yaml(t):
 @query("stream_sink", "SELECT event_type AS canonical_key, count(*) AS occurrences, max(value) AS best_score FROM events GROUP BY 1")
 def stream_sink(t):
     """Events as a stream of files, merged batch by batch into a snapshot table."""
-    folder = _folder(t, "sink")
+    folder = new_folder(t.spark, "sink")
     live = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")
     asked = live.select(F.col("event_type").alias("canonical_key"), F.col("value").alias("score"))
     numbers: list[int] = []

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callweave.functions import batches, classify, passages, text
 
 from .catalog import query
-from .retrieval import tokens_sql
+from .retrieval import DIGEST, DIMS, features_sql, tokens_sql, vectors_sql
 
 KEY_SQL = (
     "(SELECT coalesce(nullif(substr(array_to_string(ws[1:8], ' '), 1, 160), ''), substr(lower(coalesce({c}, '')), 1, 60)) FROM (SELECT list_filter(string_split_regex(regexp_replace(lower(coalesce({c}, '')), "
@@ -32,18 +33,10 @@ def an_top_queries(t):
     return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first.alias("example"), F.countDistinct("role").alias("kinds")).orderBy(F.col("n").desc(), "key").limit(100)
 
 
-SINGLE_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.SINGLE.items()) + "}"
-
-
-@query(
-    "expand_tokens",
-    f"SELECT doc_id, len(ws) AS n_tokens, len(list_filter(ws, lambda w: map_contains({SINGLE_SQL}, w))) + len(list_filter(ws, lambda w: length(w) > 3 AND ends_with(w, 's') AND map_contains({SINGLE_SQL}, left(w, length(w) - 1)))) + "
-    + " + ".join(f"contains(lower(coalesce(text, '')), '{m}')::INT" for m, _ in text.PHRASES)
-    + f" AS n_groups FROM (SELECT doc_id, text, {tokens_sql('text')} AS ws FROM documents)",
-)
+@query("expand_tokens", f"SELECT doc_id, len({tokens_sql('text')}) AS n_tokens, md5(array_to_string({features_sql('text')}, ' ')) AS features_md5 FROM documents")
 def expand_tokens(t):
-    both = t.documents.select("doc_id", text.tokenize(F.col("text")).alias("ws"), text.expand(F.col("text")).alias("xs"))
-    return both.select("doc_id", F.size("ws").alias("n_tokens"), (F.size("xs") - F.size("ws")).alias("n_groups"))
+    both = t.documents.select("doc_id", F.size(text.tokenize(F.col("text"))).alias("n_tokens"), text.expand(F.col("text")).alias("xs"))
+    return both.select("doc_id", "n_tokens", F.md5(F.array_join("xs", " ")).alias("features_md5"))
 
 
 @query("str_clip", "SELECT doc_id, CASE WHEN length(trim(text)) <= 60 THEN trim(text) ELSE regexp_replace(left(trim(text), CASE WHEN cut > 30 THEN cut ELSE 60 END), '[ ,;:.]+$', '') || '…' END AS clipped FROM (SELECT *, CASE WHEN contains(left(trim(text), 60), ' ') THEN 60 - instr(reverse(left(trim(text), 60)), ' ') ELSE 0 END AS cut FROM documents)")
@@ -284,10 +277,17 @@ def slugify(t):
     return t.documents.select("doc_id", batches.slugify("text").alias("slug"))
 
 
-@query("hash_embed", None)
+@query(
+    "hash_embed",
+    f"""WITH d AS (SELECT doc_id, {features_sql('text')} AS ws FROM documents), {vectors_sql("dv", "doc_id", "d", "documents")}
+SELECT doc_id, count(val) FILTER (val <> 0) AS cells, round(coalesce(max(val), 0), 5) AS peak, round(coalesce(sum(val * cell), 0), 5) AS moment FROM documents LEFT JOIN dv USING (doc_id) GROUP BY 1""",
+)
 def hash_embed(t):
-    vector = batches.hash_embed(text.expand(F.col("text")), F.col("text"), 64)
-    return t.benchmark.select("item_id", F.transform(vector, lambda x: F.round(x, 5)).alias("embedding"))
+    """Hashed vectors of whole texts; the vector itself is told by its filled cells, largest value and first moment."""
+    vector = batches.hash_embed(text.expand(F.col("text")), text.compact(F.col("text")), DIMS, DIGEST, "double")
+    found = t.documents.select("doc_id", vector.alias("v"))
+    moment = F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    return found.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("cells"), F.round(F.greatest(F.array_max("v"), F.lit(0.0)), 5).alias("peak"), F.round(moment, 5).alias("moment"))
 
 
 @query("pii_mask", None)
@@ -302,11 +302,12 @@ def numbers(t):
 
 @query("num_grounding", None)
 def num_grounding(t):
-    """Amounts of assistant turns that the conversation before them does not hold."""
-    said = t.conversations.filter("role = 'assistant'").select("conv_id", "turn", "text")
-    asked = t.conversations.filter("role <> 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("context"))
-    both = said.join(asked, "conv_id", "left")
-    return both.select("conv_id", "turn", F.array_join(passages.ungrounded(F.col("text"), F.col("context")), ",").alias("ungrounded"))
+    """Amounts of assistant turns that no earlier turn of another role holds. Amounts meet by conversation and amount, so no conversation is gathered."""
+    said = t.conversations.select("conv_id", "turn", "role", F.explode_outer(passages.numbers(F.col("text"))).alias("number"))
+    first = F.min(F.when(F.col("role") != "assistant", F.col("turn"))).over(Window.partitionBy("conv_id", "number"))
+    new = F.when(passages.telling(F.col("number")) & (F.col("first").isNull() | (F.col("first") >= F.col("turn"))), F.col("number"))
+    by_turn = said.withColumn("first", first).filter("role = 'assistant'").groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(new)).alias("new"))
+    return by_turn.select("conv_id", "turn", F.array_join("new", ",").alias("ungrounded"))
 
 
 @query("speech_split", None)

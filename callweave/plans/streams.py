@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callweave.streaming import calls
+from callweave.streaming import calls, machine
 
 from .catalog import query
 
@@ -37,6 +37,38 @@ def fsm(t):
     return calls.final_states(t.events)
 
 
+def _calls(t):
+    """Events as calls: a user's events of a month, an hour as a second, opened before the first one; kinds and their fields follow type, value and props."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = (
+        F.when(F.col("event_type").isin("signup", "click"), "turn").when(F.col("event_type") == "view", F.when(k % 3 == 0, "turn").otherwise("heard"))
+        .when(F.col("event_type") == "purchase", F.element_at(F.array(*map(F.lit, ("yes", "no", "destination", "connected"))), k % 4 + 1)).otherwise(F.when(k % 5 == 0, "error").when(k % 5 == 1, "hangup").otherwise("unclear"))
+    )
+    detail = F.element_at(F.array(*map(F.lit, ("", "", "person", "followup", "escalate", "name", "", "resolved"))), k % 8 + 1)
+    code = F.element_at(F.array(*map(F.lit, ("en-IN", "hi-IN", "mr-IN", "", "fr-FR"))), k % 5 + 1)
+    made = t.events.filter(k.isNotNull() & F.col("ts").isNotNull()).select(
+        (F.col("user_id") * 100 + F.month("ts")).alias("call_id"), "event_id", F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3600).alias("at"), kind.alias("kind"), (F.col("value") % 1).alias("conf"), code.alias("code"), detail.alias("detail"),
+    )
+    opened = made.groupBy("call_id").agg(F.lit(-1).cast("long").alias("event_id"), (F.min("at") - 1).alias("at"))
+    return made.unionByName(opened.withColumns({"kind": F.lit("open"), "conf": F.lit(0.0), "code": F.lit(""), "detail": F.lit("")}))
+
+
+@query("call_states", None)
+def call_states(t):
+    """The whole machine with its timers, each call at the time of the table's last event."""
+    events = _calls(t)
+    until = events.agg(F.max("at")).first()[0]
+    return machine.final_calls(events, machine.NEVER - 1 if until is None else until)
+
+
+@query("live_gauge", None)
+def live_gauge(t):
+    """How many calls are in each state in the middle of the table's time."""
+    events = _calls(t)
+    low, high = events.agg(F.min("at"), F.max("at")).first()
+    return machine.gauge(machine.final_calls(events, machine.NEVER - 1 if low is None else (low + high) // 2))
+
+
 @query("vad", None)
 def vad(t):
     """Speech spans of a made level track per user: each event is a loud or quiet stretch of 50 frames."""

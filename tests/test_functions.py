@@ -1,5 +1,9 @@
 """Golden values of text functions and classifiers."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,7 +38,10 @@ def test_tokenize(spark):
 
 
 def test_expand_adds_groups(spark):
-    assert one(spark, "fees and financial aid", text.expand) == ["fees", "financial", "aid", "#g:price", "#g:price", "#g:aid"]
+    # a word's own group and its singular's, words that are part of a phrase, then the phrase itself
+    assert one(spark, "fees and financial aid", text.expand) == ["fees", "financial", "aid", "#g:price", "#g:price", "#g:aid", "#g:aid", "#g:aid"]
+    own = {"sea": ["ship", "deep water"], "land": ["water", "road"]}
+    assert one(spark, "Deep WATERS, roads", lambda c: text.expand(c, own)) == ["deep", "waters", "roads", "#g:sea", "#g:land", "#g:land", "#g:sea"]
 
 
 @pytest.mark.parametrize(("said", "value"), [("1.5 lakh", 150000.0), ("INR 6,00,000", 600000.0), ("1.2 crore", 1.2e7), ("none", None), ("5 thousand", 5000.0)])
@@ -76,6 +83,50 @@ def test_numeric_grounding(spark):
     assert one(spark, None, passages.numbers) == []
 
 
+def naive_numbers(body):
+    scales = "|".join(sorted(passages.SCALES, key=len, reverse=True))
+    groups, spans = [], []
+    for m in re.finditer(rf"(\d[\d,]*(?:\.\d+)?)\s*({scales})(?![^\W_]|_)", body, re.I):
+        value = float(m[1].replace(",", "")) * passages.SCALES[m[2].lower()]
+        if spans and m.start() - spans[-1][1] <= passages.GAP:
+            groups[-1] += value
+            spans[-1][1] = m.end()
+        else:
+            groups.append(value)
+            spans.append([m.start(), m.end()])
+    out = {f"{g:.0f}" for g in groups if g}
+    for m in re.finditer(r"\b\d[\d,]*(?:\.\d+)?\b", body):
+        if not any(a <= m.start() and m.end() <= b for a, b in spans):
+            plain = m[0].replace(",", "")
+            out |= {plain, *(f"{float(plain) * k:.0f}" for k in (1, 1e5, 1e7))}
+    return sorted(out)
+
+
+def test_numbers_like_a_loop(spark):
+    rng = random.Random(4)
+    parts = ["1", "40", " 2,50,000", " 3.5", " lakh", " hazar", "हज़ार", " लाख", " crore", "cr", " ", " , ", " and ", "x", "thousand", "7", "~", ". ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(3000)] + ["1 लाख 40 हज़ार", "5, lakh", "12 lakhs"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    exact = lambda found: [n for n in found if len(n) < 16]  # noqa: E731  doubles hold whole numbers up to 9e15
+    wrong = [(r.t, r.n, naive_numbers(r.t)) for r in frame.select("t", passages.numbers(F.col("t")).alias("n")).collect() if exact(r.n) != exact(naive_numbers(r.t))]
+    assert wrong == []
+
+
+def test_numbers_of_whole_tables(spark):
+    for table in ("documents", "conversations"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").select("text", passages.numbers(F.col("text")).alias("n")).collect()
+        assert all([n for n in r.n if len(n) < 16] == [n for n in naive_numbers(r.text or "") if len(n) < 16] for r in rows) and any(r.n for r in rows) == (table == "documents")
+
+
+def test_long_texts_take_linear_time(spark):
+    began = time.time()
+    texts = ["1 lakh " * 150_000, "1" * 1_000_000, "a" * 1_000_000, "a.b" * 300_000, " " * 1_000_000 + "x" + " " * 1_000_000, "12,3," * 200_000, "1 lakh and more of it. " * 40_000]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    counts = [tuple(r) for r in frame.select(F.size(passages.numbers(F.col("t"))), F.length(passages.masked(F.col("t")))).collect()]
+    assert counts[0] == (1, 1_050_000) and counts[2] == (0, 1_000_000) and counts[6][0] == 1
+    assert time.time() - began < 90
+
+
 def test_chunks_keep_every_word(spark):
     body = "\n\n".join(" ".join(f"w{p}x{i}." for i in range(90)) for p in range(6))
     made = one(spark, body, passages.chunks)
@@ -148,15 +199,34 @@ def test_spoken_parts(spark):
     assert [len(p) for p in one(spark, "x" * 400, passages.spoken_parts)] == [180, 180, 40] and one(spark, None, passages.spoken_parts) == []
 
 
-def test_hash_vectors():
+def naive_vector(features, compact, dims):
+    """The published rule, feature by feature."""
+    import hashlib
+
+    import numpy as np
+
+    of = lambda s, salt: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "big") % dims
+    counts, signs, out = {}, {}, np.zeros(dims)
+    for f in features:
+        counts[of(f, 0)] = counts.get(of(f, 0), 0) + 1
+        signs[of(f, 0)] = -1.0 if of(f, 7) % 2 else 1.0
+    for cell, n in counts.items():
+        out[cell] += signs[cell] * (1 + np.log(n))
+    for i in range(0, len(compact) - 2, 2):
+        cell = of(compact[i : i + 3], 3)
+        out[cell] += 0.25 * signs.get(cell, 1.0)
+    return out / (np.linalg.norm(out) or 1)
+
+
+def test_hash_vectors_follow_the_rule(spark):
     import numpy as np
 
-    both = batches.hash_vectors([["fee", "fee", "#g:price"], []], ["fees due", ""], 32)
-    assert abs(float(np.linalg.norm(both[0])) - 1) < 1e-6 and not both[1].any()
-    again = batches.hash_vectors([["fee", "fee", "#g:price"]], ["fees due"], 32)
-    assert np.allclose(both[0], again[0])  # a row does not depend on its batch
-    word, plural, other = batches.hash_vectors([["a1"], ["b1"], ["c1"]], ["telephone", "telephones", "zzz qqq"], 256)
-    assert word @ plural > word @ other  # trigrams alone bring them together
+    texts = ["Fees due, fees paid: what is the fee?", "", None, "प्रवेश प्रक्रिया und Größe", "hostel rooms " * 50, "x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select(text.expand(F.col("t")).alias("fs"), text.compact(F.col("t")).alias("c"))
+    got = frame.select("fs", "c", batches.hash_embed(F.col("fs"), F.col("c"), 32).alias("v")).collect()
+    assert all(np.allclose(r.v, naive_vector(r.fs, r.c, 32), atol=1e-6) for r in got) and not any(got[1].v)
+    lone = spark.createDataFrame([(texts[0],)], "t string").select(batches.hash_embed(text.expand(F.col("t")), text.compact(F.col("t")), 32).alias("v")).first().v
+    assert np.allclose(lone, got[0].v)  # a row does not depend on its batch
 
 
 def test_classifiers(spark):

@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from callweave.operators import ann, changes, rows, search
+from callweave.functions import batches, text
+from callweave.operators import ann, changes, hybrid, rows, rules, search
 from callweave.sources import readers
 from callweave.streaming import calls
 
@@ -22,32 +23,102 @@ def test_one_hot_cosine(spark):
 def test_bm25_prefers_rare_terms(spark):
     docs = spark.createDataFrame([(1, "common rare words"), (2, "common words"), (3, "common things"), (4, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "rare common")], "item_id long, text string")
-    best = search.top(search.bm25(docs, asked), 3, "item_id").orderBy("rank").collect()
-    assert best[0].doc_id == 1 and len(best) == 3
+    best = hybrid.ranked(docs, asked, lexical=3, dense=0).orderBy("rank").collect()
+    assert [r.doc_id for r in best] == [1, 2, 3] and best[0].list == "lexical"
 
 
-def test_bm25_counts_like_a_loop_with_many_and_few_terms(spark, monkeypatch):
+def test_lists_equal_a_loop_over_all_pairs(spark, monkeypatch):
+    """Both lists, over blocks of questions and of documents that hold few rows, with ties, nulls and repeated rows."""
     import math
+    import random
     from collections import Counter
 
-    texts = ["alpha beta beta", "beta gamma", "alpha alpha delta gamma", None, "", "omega"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    asked = spark.createDataFrame([(7, "alpha beta"), (8, "gamma gamma nowhere"), (9, None)], "item_id long, text string")
-    words = [(t or "").split() for t in texts]
-    mean = sum(max(1, len(w)) for w in words) / len(words)
-    want = {}
-    for item, question in ((7, ["alpha", "beta"]), (8, ["gamma", "nowhere"])):
-        for d, w in enumerate(words):
-            for term in set(question) & set(w):
-                df, tf = sum(term in x for x in words), Counter(w)[term]
-                part = math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * tf * 2.6 / (tf + 1.6 * (1 - 0.72 + 0.72 * max(1, len(w)) / mean))
-                score, hits = want.get((item, d), (0.0, 0))
-                want[item, d] = (score + part, hits + 1)
-    for most in (search.MOST_TERMS, 1):  # the literal set of words, and the join beyond it
-        monkeypatch.setattr(search, "MOST_TERMS", most)
-        got = {(r.item_id, r.doc_id): (r.score, r.hits) for r in search.scored(docs, asked).collect()}
-        assert got.keys() == want.keys()
-        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    import numpy as np
+
+    rng = random.Random(8)
+    said = ["alpha", "beta", "gammas", "fee", "fees", "hostel", "financial aid", "the", "x", "7", "last date"]
+    texts = [" ".join(rng.choice(said) for _ in range(rng.randrange(0, 9))) for _ in range(80)] + [None, "", "omega", "alpha beta"]
+    docs = spark.createDataFrame([(i if i != 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(said) for _ in range(4))) for i in range(9)] + [("none", None), ("odd", "nowhere to be found")], "item_id string, text string")
+    monkeypatch.setattr(hybrid, "MOST_QUESTIONS", 4)
+    monkeypatch.setattr(hybrid, "ROWS", 5)
+    got = hybrid.ranked(docs, asked, lexical=6, dense=5, dims=32).collect()
+
+    features = lambda df, key: {r[0]: r for r in df.filter(F.col(key).isNotNull()).select(key, text.expand(F.col("text")).alias("fs"), text.compact(F.col("text")).alias("c")).collect()}
+    held, wanted = features(docs, "doc_id"), features(asked, "item_id")
+    vector = lambda r: batches.hash_vectors(np.zeros(len(r.fs), dtype=np.int64), np.arange(len(r.fs)), r.fs, [r.c], 32)[0]
+    mean = sum(max(1, len(r.fs)) for r in held.values()) / len(held)
+    df = Counter(f for r in held.values() for f in set(r.fs))
+    want = []
+    for item, q in wanted.items():
+        for name, k in (("lexical", 6), ("dense", 5)):
+            scores = []
+            for d, r in held.items():
+                tf = Counter(r.fs)
+                part = lambda f: math.log(1 + (len(held) - df[f] + 0.5) / (df[f] + 0.5)) * tf[f] * 2.6 / (tf[f] + 1.6 * (0.28 + 0.72 * max(1, len(r.fs)) / mean))  # noqa: B023, E731
+                scores.append((-round(sum(part(f) for f in set(q.fs) if tf[f]) if name == "lexical" else float(vector(q) @ vector(r)), 9), d))
+            want += [(item, name, place, d) for place, (score, d) in enumerate(sorted(s for s in scores if s[0] < 0)[:k], 1)]
+    assert sorted((r.item_id, r.list, r.rank, r.doc_id) for r in got) == sorted(want)
+
+
+def test_dense_list_finds_a_synonym_without_a_shared_word(spark):
+    docs = spark.createDataFrame([(1, "tuition"), (2, "garden"), (3, "meadow"), (4, "river")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "fee")], "item_id long, text string")
+    both = hybrid.ranked(docs, asked, lexical=4, dense=1).collect()
+    assert {(r.list, r.doc_id) for r in both if r.rank == 1} == {("lexical", 1), ("dense", 1)}
+
+
+RECORD = dict(asked="tell me", spoken="tell me", categories=[], language="", intent="", tokens=[], specialisations=[], distinctive=[], title="", body="", category="", lang="", verified=None, stale=False, aliases=[], not_offered=[], rrf_norm=0.4, dense=0.4, lexical=2.0)
+BASE = 0.43
+# each rule alone: what to set, the amount, the signals
+ALONE = [
+    (dict(category="b", categories=["a", "b"]), 0.10, "category"),
+    (dict(category="a", categories=["a", "b"]), 0.18, "category,primary_category"),
+    (dict(lang="en", language="en"), 0.06, "language"),
+    (dict(verified=True), 0.05, "verified"),
+    (dict(verified=False), -0.06, "unverified"),
+    (dict(stale=True), -0.07, "stale"),
+    (dict(tokens=["B.TECH", "CSE"], title="Lateral B.Tech, CSE"), 0.28, "course_match"),
+    (dict(tokens=["BBA"], title="BBA (Honours)"), 0.39, "course_match,degree_exact"),
+    (dict(tokens=["BPHARM"], title="Bachelor of Pharmacy (B.Pharm)"), 0.39, "course_match,degree_exact"),
+    (dict(tokens=["BBA", "LLB"], title="BBA"), 0.14, "course_match"),
+    (dict(tokens=["BBA"], title="BBA LL.B. (Honours)"), 0.32, "course_match,degree_prefix"),
+    (dict(tokens=["BTECH"], title="B.Tech + MBA"), 0.18, "course_match,degree_combined"),
+    (dict(tokens=["BCOM"], not_offered=["B.Com (Hons) and others"]), 0.55, "not_offered"),
+    (dict(tokens=["MBA"], not_offered=["A standalone MBA"]), 0.55, "not_offered"),
+    (dict(tokens=["BBA"], not_offered=["BBA LL.B. or any law degree"]), 0, ""),
+    (dict(tokens=["XX"], aliases=["एमबीए"], not_offered=["MBA"], asked="एमबीए चा कोर्स", body="\nAlso known as: a"), 0.43, "not_offered,alias_dump"),
+    (dict(specialisations=["ai"], title="Digital AI lab"), 0.45, "specialisation_title"),
+    (dict(specialisations=["ai", "it"], title="Digital", body="the ai part"), 0.04, "specialisation_body"),
+    (dict(body="head\n Also known as: x, y"), -0.12, "alias_dump"),
+    (dict(aliases=["wifi"], asked="is there Wi-Fi here"), 0.12, "alias"),
+    (dict(aliases=["hostel", "hostel mess rules"], asked="the hostel mess rules please"), 0.24, "alias"),
+    (dict(aliases=["a bb c dd e f g h"], asked="a bb c dd e f g h"), 0.30, "alias"),
+    (dict(distinctive=["wifi", "account", "campus"], title="Campus Wi-Fi account"), 0.24, "title_terms"),
+    (dict(title="library hours", asked="Library hours today"), 0.18, "title_in_query"),
+    (dict(title="fees", asked="fees"), 0, ""),
+    (dict(category="important_dates", intent="important_dates"), 0.08, "timely"),
+    (dict(title=None, body=None, aliases=None, tokens=None, not_offered=None, asked=None, specialisations=None, distinctive=None), 0, ""),
+]
+
+
+def test_every_rerank_rule_alone(spark):
+    schema = "i int, asked string, spoken string, categories array<string>, language string, intent string, tokens array<string>, specialisations array<string>, distinctive array<string>, title string, body string, category string, lang string, verified boolean, stale boolean, aliases array<string>, not_offered array<string>, rrf_norm double, dense double, lexical double"
+    frame = spark.createDataFrame([(i, *(RECORD | dict(lang="x") | change).values()) for i, (change, _, _) in enumerate(ALONE)], schema)
+    got = {r.i: r for r in rules.rerank(rules.features(frame)).collect()}
+    for i, (change, amount, signals) in enumerate(ALONE):
+        assert (round(got[i].score - BASE, 4), got[i].signals) == (amount, signals), change
+    table = spark.createDataFrame([("only", "stale", 0.5)], "name string, holds string, amount double")
+    assert {round(r.score, 4) for r in rules.rerank(rules.features(frame), table).filter("i in (0, 5)").collect()} == {0.43, 0.93}
+
+
+def test_rare_title_words(spark):
+    records = spark.createDataFrame([(i, f"Campus guide w{i}") for i in range(40)] + [(99, None)], "doc_id long, title string")
+    asked = spark.createDataFrame([(1, "where is the campus W7 and w8x w9", ["W-9"]), (2, "guide", [])], "item_id long, spoken string, tokens array<string>")
+    assert [tuple(r) for r in rules.title_terms(records, asked).collect()] == []
+    named = spark.createDataFrame([(1, "where is w07x and w08x and campus", ["W08X"])], "item_id long, spoken string, tokens array<string>")
+    more = records.union(spark.createDataFrame([(100, "About w07x, w08x")], records.schema))
+    assert [tuple(r) for r in rules.title_terms(more, named).collect()] == [(1, ["w07x"])]
 
 
 def test_query_blocks_answer_all(spark):
@@ -70,17 +141,35 @@ def test_context_block_keeps_the_first(spark):
     assert kept == {(1, 1), (2, 1), (2, 2)}
 
 
-def test_approximate_neighbours_reach_recall(spark):
+def test_inverted_file_prunes_grouped_vectors(spark, tmp_path):
     import numpy as np
 
-    rng = np.random.default_rng(4)
-    base = rng.normal(size=(20, 16))
-    x = np.repeat(base, 20, axis=0) + 0.1 * rng.normal(size=(400, 16))
-    vectors = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    queries = vectors.filter("vec_id % 100 = 0")
-    exact = {(r.query_id, r.vec_id) for r in search.top(search.against(vectors, queries, search.cosine), 10, "query_id", tie="vec_id").collect()}
-    found = {(r.query_id, r.vec_id) for r in ann.neighbours(vectors, queries, 10, tables=10, bits=3, dims=16).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.25 * rng.normal(size=16)).tolist()) for i in range(3000)] + [(5000, [0.0] * 16), (5001, None), (5002, [1.0]), (None, [1.0] * 16), (5003, [None] * 16)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = vectors.filter("vec_id % 100 = 0 and vec_id < 3000")
+    made = ann.fit(vectors, 10)
+    ann.write(vectors, made, str(tmp_path / "lists"))
+    index = spark.read.parquet(str(tmp_path / "lists"))
+    assert index.count() == 3001  # every vector that has the length, the zero vector too
+    found = ann.search(index, made, asked, 10)
+    scanned = found.agg(F.sum("scanned")).first()[0]
+    assert scanned <= 0.2 * 3000 * 30
+    got = {(r.query_id, r.vec_id) for r in ann.neighbours(vectors, asked, 10, centroids=made).collect()}
+    plain = ann.units(np.array([r[1] for r in rows[:3000]]))
+    want = {(q, int(v)) for q in range(0, 3000, 100) for v in np.argsort(-(plain @ plain[q]))[:10]}
+    assert len(got) == 300 and len(got & want) >= 0.9 * len(want)
+
+
+def test_inverted_file_blocks_of_queries_and_no_vectors(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(200)], "vec_id long, embedding array<double>")
+    asked = vectors.filter("vec_id < 20")
+    made = ann.fit(vectors, 3)
+    whole = sorted(map(tuple, ann.neighbours(vectors, asked, 3, centroids=made).collect()))
+    monkeypatch.setattr(ann, "MOST_QUERIES", 6)
+    assert sorted(map(tuple, ann.neighbours(vectors, asked, 3, centroids=made).collect())) == whole and len(whole) == 60
+    assert ann.neighbours(vectors.limit(0), vectors.limit(0), 3).count() == 0
 
 
 def test_upsert_twice_skips(spark):
