@@ -30,11 +30,22 @@ def slugify(texts: pd.Series) -> pd.Series:
     return slugs(texts)
 
 
-#: Salts of a feature's cell, of its sign and of a letter trigram's cell.
-CELL, SIGN, GRAM = 0, 7, 3
+CELL, SIGN, GRAM = 0, 7, 3  # fixed values: salts of a feature's cell, of its sign and of a letter trigram's cell
+
+
+def _blake2b(s: str, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "big")
+
+
+def _md5(s: str, salt: int) -> tuple[int, int]:
+    found = hashlib.md5(f"{salt}:{s}".encode()).digest()
+    return int.from_bytes(found[:4], "big"), int.from_bytes(found[4:8], "big")
+
+
+#: Numbers for the cell and the sign of a feature, and for the cell of a trigram. md5 is a form that SQL can restate.
 DIGESTS = {
-    "blake2b": lambda s, salt: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "big"),
-    "md5": lambda s, salt: int(hashlib.md5(f"{salt}:{s}".encode()).hexdigest()[:8], 16),  # a form that SQL can restate
+    "blake2b": (lambda s: (_blake2b(s, CELL), _blake2b(s, SIGN)), lambda s: _blake2b(s, GRAM)),
+    "md5": (lambda s: _md5(s, CELL), lambda s: _md5(s, GRAM)[0]),
 }
 
 
@@ -53,17 +64,16 @@ def hash_vectors(rows: np.ndarray, codes: np.ndarray, names: list[str], compacts
     rows, codes: the features of the texts in order, by their place in `names`. Features of a row that share a cell add
     up to 1 + ln(count), with the sign of the last one; a trigram adds a quarter of its cell's sign (plus where the cell
     has none). A digest is taken once a distinct feature. Rows without features and trigrams stay zero."""
-    of, size = DIGESTS[digest], len(compacts) * dims
+    (of_word, of_gram), size = DIGESTS[digest], len(compacts) * dims
     used, codes = np.unique(codes, return_inverse=True)
-    known = [names[c] for c in used]
-    places = np.array([of(x, CELL) % dims for x in known], dtype=np.int64)
-    signs = np.array([1.0 - 2 * (of(x, SIGN) % dims % 2) for x in known])
+    drawn = np.array([of_word(names[c]) for c in used.tolist()], dtype=np.uint64).reshape(-1, 2) % np.uint64(dims)
+    places, signs = drawn[:, 0].astype(np.int64), 1.0 - 2.0 * (drawn[:, 1] % np.uint64(2)).astype(np.float64)
     at, sign = rows * dims + places[codes] if len(codes) else np.zeros(0, dtype=np.int64), np.ones(size)
     sign[at] = signs[codes]  # the last of equal places stays
     counts = np.bincount(at, minlength=size)
     out = np.where(counts > 0, sign * (1 + np.log(np.maximum(counts, 1))), 0.0)
     row, gram, kinds = _grams(compacts)
-    cells = np.array([of(g, GRAM) % dims for g in kinds], dtype=np.int64)
+    cells = np.array([of_gram(g) % dims for g in kinds], dtype=np.int64)
     if len(gram):
         out += 0.25 * sign * np.bincount(row * dims + cells[gram], minlength=size)
     out = out.reshape(len(compacts), dims)

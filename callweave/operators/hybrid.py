@@ -132,7 +132,7 @@ def ranked(docs: DataFrame, questions: DataFrame, lexical: int = 24, dense: int
 
     groups, kind = token_groups(synonyms), questions.schema[key].dataType.simpleString()
     columns = feature_columns(text, synonyms)
-    words = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), *columns[: 3 if dense else 2])
+    words = spread(docs.filter(F.col(doc).isNotNull()).select(doc, text)).select(F.col(doc).cast("long").alias("doc_id"), *columns[: 3 if dense else 2])
     found = []
     for block in _question_blocks(questions, key, asks, synonyms, MOST_QUESTIONS):
         asked = Asked(block.column(0).to_pylist(), Features(block, groups), block.column(3).to_pylist(), dims if dense else 0, digest)
@@ -143,6 +143,12 @@ def ranked(docs: DataFrame, questions: DataFrame, lexical: int = 24, dense: int
     return top(reduce(DataFrame.unionByName, found), max(lexical, dense), [key, "list"]).filter(F.col("rank") <= most)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Deal the rows out where the scan has fewer parts than the session has cores: one file of one row group, say."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _parts(batches):
     for batch in batches:
         for a in range(0, len(batch), ROWS):

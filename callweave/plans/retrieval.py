@@ -44,12 +44,12 @@ s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.6
  FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id) CROSS JOIN c GROUP BY 1, 2)"""
 
 DIMS, DIGEST = 256, "md5"  # of the queries' vectors; SQL can restate md5
-CELL_SQL = f"('0x' || substr(md5('{{salt}}:' || {{x}}), 1, 8))::UBIGINT % {DIMS}"
+CELL_SQL = f"('0x' || substr(md5('{{salt}}:' || {{x}}), {{at}}, 8))::UBIGINT % {DIMS}"
 
 
 def vectors_sql(name: str, key: str, rows: str, table: str) -> str:
     """CTEs that end in `name` (key, cell, val): unit vectors as functions.batches.hash_vectors gives them."""
-    cell, sign, gram = (CELL_SQL.format(salt=salt, x=x) for salt, x in ((0, "t"), (7, "t"), (3, "g")))
+    cell, sign, gram = (CELL_SQL.format(salt=salt, x=x, at=at) for salt, x, at in ((0, "t", 1), (0, "t", 9), (3, "g", 1)))
     return f"""{name}_f AS (SELECT {key}, {cell} AS cell, count(*) AS n, arg_max(1 - 2 * (({sign}) % 2)::INT, i) AS sign FROM (SELECT {key}, unnest(ws) AS t, unnest(range(1, len(ws) + 1)) AS i FROM {rows}) GROUP BY 1, 2),
 {name}_x AS (SELECT {key}, regexp_replace(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+', '', 'g') AS x FROM {table}),
 {name}_g AS (SELECT {key}, {gram} AS cell, sum(k) AS n FROM (SELECT {key}, substr(x, i, 3) AS g, count(*) AS k FROM (SELECT {key}, x, unnest(range(1, length(x) - 1, 2)) AS i FROM {name}_x) GROUP BY 1, 2) GROUP BY 1, 2),
@@ -211,7 +211,7 @@ def _records(t):
     verified = t.labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("verified"))
     first = lambda i: F.regexp_extract("text", WORDS, i)
     title = F.concat(first(1), F.when(first(2) == "", "").when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ("), first(2), F.lit(")"))).otherwise(F.concat(F.lit(" "), first(2))))
-    return t.documents.join(verified, "doc_id", "left").select(
+    return hybrid.spread(t.documents).join(verified, "doc_id", "left").select(
         "doc_id", F.col("text").alias("body"), F.col("source").alias("category"), "lang", title.alias("title"), F.array_remove(F.array(first(3)), "").alias("aliases"), (F.col("n_chars") < 200).alias("stale"),
         F.coalesce("verified", F.lit(False)).alias("verified"), F.when(F.col("source") == "src7", F.array(title)).otherwise(F.array().cast("array<string>")).alias("not_offered"),
     )
