@@ -9,11 +9,12 @@ make the key of a band, and documents with a common key share a bucket.
 * A bucket gives edges from its least id, the centre, to its members: as many candidates as members, however many.
   Every edge is confirmed on full sets, best centres first; edges inside a component are settled without a look.
 * A star alone could miss two members that link with each other and not with the centre. So buckets whose members
-  end in several components are looked at again: the members outside the largest component meet all members in blocks,
-  where sizes and agreement of signatures (AGREE of all values) pick the pairs of different components to confirm.
+  end in several components are looked at again: the members outside the largest component meet all members in blocks.
+  There sizes and parity maps, an exact bound on what two sets share, pick the pairs of different components that can
+  link; little else than links passes it, and only those pairs are made and confirmed.
 
 At the least similarity of 0.8 two sets of distinct bins miss each other with chance (1 - 0.8 ** ROWS) ** BANDS, 1e-11
-for 48 bands of 4; at a signature agreement of 0.7, which uneven bins can bring, 2e-6. Links that are reported are exact.
+for 48 bands of 4; at an agreement of 0.7, which uneven bins can bring, 2e-6. Links that are reported are exact.
 
 Defined cases: a null text, or one without words, is empty, links with nothing and is its own component; a text of
 one word is one shingle; a null doc_id ranks after all others and stays null where it is alone; an id with several
@@ -29,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, table, text_runs
-from .jaccard import components, wanted_texts
+from .jaccard import can_link, components, fold, parity, wanted_texts
 
 WORDS, NEED = 2, 80  # words of a shingle; least similarity in hundredths
 BANDS, ROWS = 48, 4
 BINS = BANDS * ROWS
-AGREE = 0.55  # share of equal signature values that a pair of an open bucket needs; at 0.8 chance leaves 192 values below it once in 1e14
-BLOCK, SIDE = 96, 2048  # members of a block of texts; of a block of signatures
+BLOCK, SIDE, ITEMS = 96, 2048, 8 << 20  # members of a block of texts; of a block of maps; shingles of a block of maps
 RUN_BYTES = 2 << 20
 _TOP = np.uint64((1 << 63) - 1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -94,7 +94,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """Per document: a hash of its text, digest and size of its set, band keys and eight bits of each signature value."""
+    """Per document: a hash of its text, digest and size of its set, band keys and parity map (from 4 shingles on)."""
 
     def work(batches):
         from xxhash import xxh3_128_digest
@@ -102,18 +102,17 @@ def set_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, texts in text_runs(batch, 1, RUN_BYTES):
                 sets = [shingles(t) for t in texts]
-                signed = [signature(s) if len(s) > 3 else None for s in sets]
-                keys = [None if v is None else band_keys(v) for v in signed]
-                marks = [None if v is None else (v * _MIX[1] >> np.uint64(56)).astype(np.uint8).tobytes() for v in signed]
+                keys = [band_keys(signature(s)) if len(s) > 3 else None for s in sets]
+                bits = [parity(s).tobytes() if len(s) > 3 else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
                     ],
-                    ["doc_id", "print", "digest", "size", "keys", "marks"],
+                    ["doc_id", "print", "digest", "size", "keys", "bits"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(work, "doc_id long, print long, digest binary, size long, keys array<long>, marks binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(work, "doc_id long, print long, digest binary, size long, keys array<long>, bits binary")
 
 
 def stars(classes: DataFrame) -> DataFrame:
@@ -168,10 +167,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def open_buckets(classes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """group, id, label, size, marks: members of buckets that hold several components; buckets with one centre are one group."""
+    """group, id, label, size, bits: members of buckets that hold several components; buckets with one centre are one group."""
     touched = edges.select(F.col("x").alias("id")).union(edges.select("y")).distinct()
     own = classes.join(touched, "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    own = materialise(own.select("id", "label", "size", "keys", "marks"), "minhash-touched")
+    own = materialise(own.select("id", "label", "size", "keys", "bits"), "minhash-touched")
     placed = own.select("id", "label", F.explode("keys").alias("key"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group"), F.count(F.lit(1)).alias("n"))
     mixed = materialise(mixed.filter("low < high and n > 2").select("key", "group"), "minhash-mixed")
@@ -182,28 +181,36 @@ def open_buckets(classes: DataFrame, edges: DataFrame, labels: DataFrame) -> Dat
 
 
 def _possible(part: pa.Table, asks: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions with different labels, sizes that can link and signatures that agree often enough."""
-    labels, sizes = (part.column(c).to_numpy() for c in ("label", "size"))
-    marks = np.frombuffer(b"".join(part.column("marks").to_pylist()), np.uint8).reshape(-1, BINS)
-    ids = part.column("id").to_numpy()
+    """Pairs of ids with different labels whose sizes and parity maps let them link."""
+    ids, labels, sizes = (part.column(c).to_numpy() for c in ("id", "label", "size"))
+    maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("bits")]
+    width = np.array([len(m) for m in maps])
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for i in asks:
-        other = asked[(labels[asked] != labels[i]) & (100 * np.minimum(sizes[asked], sizes[i]) >= NEED * np.maximum(sizes[asked], sizes[i]))]
-        other = other[(marks[other] == marks[i]).sum(axis=1) >= AGREE * BINS]
-        left.append(np.minimum(ids[other], ids[i]))
-        right.append(np.maximum(ids[other], ids[i]))
+    for w in np.unique(width[asked]):  # sets that can link have maps of the same or the next width
+        at = asked[width[asked] == w]
+        index = np.stack([maps[i] for i in at])
+        for v in (w // 2, w, 2 * w):
+            narrow = fold(index, min(v, w))
+            for i in asks[width[asks] == v]:
+                differ = np.bitwise_count(narrow ^ fold(maps[i], min(v, w))).sum(axis=1, dtype=np.int64)
+                other = at[can_link(sizes[i], sizes[at], differ) & (labels[at] != labels[i])]
+                left.append(np.minimum(ids[other], ids[i]))
+                right.append(np.maximum(ids[other], ids[i]))
     return np.concatenate(left), np.concatenate(right)
 
 
 def leftover(member: DataFrame) -> DataFrame:
     """Pairs x < y of open groups that can link: small groups in one task, others as members outside the largest component against all, in blocks."""
-    by_label = member.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
-    groups = by_label.groupBy("group").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("settled"))
-    groups = materialise(groups.withColumns({"rows": F.ceil(F.col("n") / SIDE).cast("int"), "columns": F.ceil((F.col("n") - F.col("settled")) / SIDE).cast("int")}), "minhash-groups")
+    by_label = member.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"))
+    main = F.max_by(F.struct("label", "n", "items"), F.struct("n", "label")).alias("main")
+    groups = by_label.groupBy("group").agg(F.sum("n").alias("n"), F.sum("items").alias("items"), main)
+    parts = lambda n, items: F.greatest(F.ceil(n / SIDE), F.ceil(items / ITEMS), F.lit(1)).cast("int")
+    columns = parts(F.col("n") - F.col("main.n"), F.col("items") - F.col("main.items"))
+    groups = materialise(groups.select("group", F.col("main.label").alias("main"), parts(F.col("n"), F.col("items")).alias("rows"), columns.alias("columns")), "minhash-groups")
     placed = member.join(groups, "group")
     hashed = F.xxhash64("id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["group", "id", "label", "size", "marks"]
+    own = ["group", "id", "label", "size", "bits"]
     asked = placed.select(*own, F.pmod(hashed, F.col("rows")).cast("int").alias("row"), every("columns").alias("column"), F.lit(False).alias("asks"))
     asking = placed.filter("label <> main").select(*own, every("rows").alias("row"), F.pmod(hashed, F.col("columns")).cast("int").alias("column"), F.lit(True).alias("asks"))
 
@@ -223,8 +230,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = materialise(set_rows(docs), "minhash-rows")
     filled = rows.filter("size > 0")
     one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print"))  # the row whose text stands for the class
-    classes = filled.groupBy("digest").agg(one.alias("one"), *[F.first(c).alias(c) for c in ("size", "keys", "marks")])
-    classes = classes.select("digest", F.col("one.doc_id").alias("doc"), F.col("one.print").alias("print"), "size", "keys", "marks")
+    classes = filled.groupBy("digest").agg(one.alias("one"), *[F.first(c).alias(c) for c in ("size", "keys", "bits")])
+    classes = classes.select("digest", F.col("one.doc_id").alias("doc"), F.col("one.print").alias("print"), "size", "keys", "bits")
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")
 
     edges = stars(classes)

@@ -78,9 +78,11 @@ def test_leftover_pairs_of_open_buckets_in_blocks(spark, monkeypatch):
     """Large groups are cut into blocks and still lose no pair."""
     monkeypatch.setattr(minhash, "SIDE", 4)
     rng = np.random.default_rng(1)
-    marks = rng.integers(0, 256, minhash.BINS, dtype=np.uint8)
-    member = [(1, i, i // 3, 100, bytearray(marks.tobytes())) for i in range(20)] + [(2, 50, 50, 10, bytearray(marks.tobytes())), (2, 51, 51, 100, bytearray(marks.tobytes())), (2, 52, 51, 100, bytearray(marks.tobytes()))]
-    frame = spark.createDataFrame(member, "group long, id long, label long, size long, marks binary")
+    made = lambda n: np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+    base, far, short = made(100), made(100), made(30)
+    bits = lambda s: bytearray(minhash.parity(s).tobytes())
+    member = [(1, i, i // 3, 100, bits(base)) for i in range(20)] + [(1, 30, 30, 100, bits(far)), (2, 50, 50, 30, bits(short)), (2, 51, 51, 100, bits(base)), (2, 52, 51, 100, bits(base))]
+    frame = spark.createDataFrame(member, "group long, id long, label long, size long, bits binary")
     got = {(r.x, r.y) for r in minhash.leftover(frame).collect()}
     assert got == {(i, j) for j in range(20) for i in range(j) if i // 3 != j // 3}
 
