@@ -60,30 +60,6 @@ def topic(text: Column, rules=None) -> Column:
     return F.when(F.trim(low) == "", made("on_topic", 0.0)).otherwise(out)
 
 
-# Letters ranges of scripts, as regular-expression classes.
-SCRIPTS = {
-    "latin": r"[A-Za-z\x{00C0}-\x{024F}]",
-    "devanagari": r"[\x{0900}-\x{097F}]",
-    "bengali": r"[\x{0980}-\x{09FF}]",
-    "gurmukhi": r"[\x{0A00}-\x{0A7F}]",
-    "gujarati": r"[\x{0A80}-\x{0AFF}]",
-    "odia": r"[\x{0B00}-\x{0B7F}]",
-    "tamil": r"[\x{0B80}-\x{0BFF}]",
-    "telugu": r"[\x{0C00}-\x{0C7F}]",
-    "kannada": r"[\x{0C80}-\x{0CFF}]",
-    "malayalam": r"[\x{0D00}-\x{0D7F}]",
-    "arabic": r"[\x{0600}-\x{06FF}]",
-}
-
-
-def script_share(text: Column, script: str) -> Column:
-    """Share of a script among the letters; 0 without letters."""
-    text = F.coalesce(text, F.lit(""))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    own = F.regexp_count(text, F.lit(f"(?:{SCRIPTS[script]}(?<=\\p{{L}}))"))
-    return F.when(letters > 0, own / letters).otherwise(0.0)
-
-
 #: Frequent words that mark a language in Latin script.
 MARKERS = {
     "en": "the and of to in that is was with for".split(),
@@ -107,13 +83,6 @@ def language(text: Column) -> Column:
     return let(marked, lambda words: let(F.array(*[F.struct(hits(words, MARKERS[n]).alias("h"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(sorted(MARKERS))]), judge))
 
 
-def fuse_language(votes: dict[str, Column], explicit: Column | None = None) -> Column:
-    """Weighted vote of language scores; an explicit choice outranks all."""
-    best = F.array_max(F.array(*[F.struct(c.alias("s"), F.lit(n).alias("n")) for n, c in sorted(votes.items())]))
-    voted = F.when(best["s"] > 0, best["n"]).otherwise("und")
-    return voted if explicit is None else F.coalesce(explicit, voted)
-
-
 YES = ["yes", "yeah", "haan", "correct", "right", "ok", "okay", "sure"]
 NO = ["no", "nahi", "nope", "wrong", "not"]
 

@@ -98,3 +98,28 @@ def escalation_plan(t):
 @query("script_mix", "SELECT doc_id, lang = 'en' AS english, regexp_matches(text, '[^\\x00-\\x7F]') AS beyond_ascii FROM documents")
 def script_mix(t):
     return t.documents.select("doc_id", (F.col("lang") == "en").alias("english"), F.col("text").rlike(r"[^\x00-\x7F]").alias("beyond_ascii"))
+
+
+FIELDS = [
+    ("id", "id", "int"), ("title", "title", "text"), ("tags", "tags", "list"), ("verified", "verified", "bool"), ("fee_total", "structured.fees.total", "float"), ("fee_currency", "structured.fees.currency", "text"),
+    ("seats", "structured.seats", "int"), ("modes", "structured.modes", "list"), ("hostel", "structured.hostel.offered", "bool"), ("note", "structured.hostel.note", "text"),
+]
+
+
+@query(
+    "export_round",
+    "SELECT p_partkey AS id, p_name AS title, array_to_string(string_split(p_type, ' '), '/') AS tags, p_size > 25 AS verified, p_retailprice AS fee_total, 'INR' AS fee_currency, p_size::BIGINT AS seats, p_partkey % 3 = 0 AS hostel FROM part",
+)
+def export_round(t):
+    """Records with a VARIANT, flattened, written as CSV, read and built up again."""
+    from callweave.sources import flat
+
+    made = F.to_json(F.struct(
+        F.struct(F.col("p_retailprice").alias("total"), F.lit("INR").alias("currency")).alias("fees"), F.col("p_size").alias("seats"), F.split("p_brand", "#").alias("modes"), F.struct((F.col("p_partkey") % 3 == 0).alias("offered"), F.lit('a "quoted", note').alias("note")).alias("hostel"),
+    ))
+    records = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.split("p_type", " ").alias("tags"), (F.col("p_size") > 25).alias("verified"), F.parse_json(made).alias("structured"))
+    path = new_folder(t.spark, "flat")
+    readers.write_csv(flat.flatten(records, FIELDS), path)
+    back = flat.unflatten(readers.read_csv(t.spark, path), FIELDS)
+    place = lambda p, kind: F.variant_get("structured", f"$.{p}", kind)
+    return back.select("id", "title", F.array_join("tags", "/").alias("tags"), "verified", place("fees.total", "double").alias("fee_total"), place("fees.currency", "string").alias("fee_currency"), place("seats", "bigint").alias("seats"), place("hostel.offered", "boolean").alias("hostel"))

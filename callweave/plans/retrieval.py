@@ -286,6 +286,43 @@ def vec_ann(t):
     return neighbours(t.embeddings, t.embeddings.filter(VECTOR_QUERIES), 10, new_folder(t.spark, "vectors"))
 
 
+@query(
+    "bm25_segments",
+    f"WITH x AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN text || ' reviewed' ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), d AS (SELECT doc_id, {features_sql('text')} AS ws FROM x), "
+    "t AS (SELECT count(*) AS docs, sum(greatest(len(ws), 1))::BIGINT AS words FROM d) SELECT term, count(*) AS df, any_value(docs) AS docs, any_value(words) AS words FROM (SELECT DISTINCT doc_id, unnest(ws) AS term FROM d), t GROUP BY 1",
+)
+def bm25_segments(t):
+    """Statistics of an index that took three batches, replaced and removed documents, and was compacted."""
+    from callweave.operators.segments import Segments
+    from callweave.sources.shared import new_folder
+
+    index, docs = Segments(t.spark, new_folder(t.spark, "segments")), t.documents.select("doc_id", "text")
+    index.add(docs.filter("doc_id % 10 <> 0"))
+    index.add(docs.filter("doc_id % 10 = 1").withColumn("text", F.concat("text", F.lit(" reviewed"))))
+    index.add(docs.filter("doc_id % 10 = 0"))
+    index.remove(t.labels.filter("toxic = 1").select("doc_id"))
+    index.compact(docs.count() // 2)
+    df, total = index.statistics()
+    return df.join(F.broadcast(total))  # one row
+
+
+WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
+@query(
+    "term_hits",
+    f"WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}{{8,}}')) AS term FROM benchmark), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}+')) AS term FROM documents), "
+    "h AS (SELECT doc_id, count(*) AS hits, count(DISTINCT term) AS terms FROM w WHERE term IN (SELECT term FROM terms) GROUP BY 1) SELECT doc_id, coalesce(hits, 0) AS hits, coalesce(terms, 0) AS terms FROM documents LEFT JOIN h USING (doc_id)",
+)
+def term_hits(t):
+    """Which long words of the questions each document holds: all of them in one walk over its text."""
+    from callweave.functions import terms
+
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD}{{8,}})"), 1)).alias("term")).distinct().select("term", F.lit(""))
+    found = hybrid.spread(t.documents).select("doc_id", terms.find(F.col("text"), words, "word").alias("h"))
+    return found.select("doc_id", F.size("h").cast("long").alias("hits"), F.size(F.array_distinct(F.transform("h", lambda x: x["term"]))).cast("long").alias("terms"))
+
+
 @query("answer", None)
 def answer(t):
     """Questions answered in bulk: topic and intent, best documents, the sentence that says most, amounts checked.
@@ -312,3 +349,27 @@ def lookup_facts(t):
     best = _reranked(t, 3).select("item_id", "doc_id", "rank").join(t.documents.select("doc_id", "source", "lang"), "doc_id")
     facts = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("/", "source", "lang").alias("f")))), lambda x: x["f"])
     return best.groupBy("item_id").agg(F.array_join(facts, ",").alias("facts"))
+
+
+@query(
+    "compose_answers",
+    """WITH f AS (SELECT *, p_partkey % 5 AS k, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS total, CASE WHEN p_size % 3 = 0 THEN p_retailprice / 4 END AS annual, p_partkey % 7 <> 0 AS ok, p_partkey % 4 = 0 AS stale,
+ 'INR ' || format('{:,}', round_even(p_retailprice, 0)::BIGINT) AS t, 'INR ' || format('{:,}', round_even(p_retailprice / 4, 0)::BIGINT) AS a FROM part),
+b AS (SELECT *, CASE WHEN NOT ok THEN 'no_answer' WHEN k = 0 AND total IS NOT NULL AND annual IS NOT NULL THEN 'price_both' WHEN k = 0 AND annual IS NOT NULL THEN 'price_annual' WHEN k = 0 AND total IS NOT NULL THEN 'price_total' WHEN k = 0 THEN 'price_unpublished'
+ WHEN k = 1 THEN 'contact' WHEN k = 2 THEN 'documents' WHEN k = 3 THEN 'eligibility_which' ELSE 'overview' END AS branch FROM f)
+SELECT p_partkey, branch, CASE branch WHEN 'no_answer' THEN 'I do not have that on record. I can connect you to a person.' WHEN 'price_both' THEN 'The fee is ' || a || ' a year. ' || t || ' in total.' WHEN 'price_annual' THEN 'The fee is ' || a || ' a year.' WHEN 'price_total' THEN 'The total fee is ' || t || '.'
+ WHEN 'price_unpublished' THEN 'The fee is not published yet. The office can confirm it.' WHEN 'contact' THEN 'The phone number is ' || p_brand || '. The address is ' || p_name || '.' WHEN 'documents' THEN 'You need ' || replace(p_type, ' ', ', ') || '.' WHEN 'eligibility_which' THEN 'Which programme do you mean.' ELSE p_name || '. There are ' || p_size || ' seats.' END AS answer,
+ round(least(0.95, greatest(0.05, 0.6 * CASE WHEN starts_with(branch, 'price') AND p_partkey % 3 <> 0 THEN 0.8 ELSE 1 END * CASE WHEN stale THEN 0.85 ELSE 1 END)), 3)::DOUBLE AS confidence FROM b""",
+)
+def compose_answers(t):
+    """Answers about parts: facts as a VARIANT, the first branch that holds, its sentences under the budget."""
+    from callweave.operators.compose import compose
+
+    key, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    facts = F.struct(
+        F.struct(F.when(size % 2 == 0, price).alias("total"), F.when(size % 3 == 0, price / 4).alias("annual"), F.lit(False).alias("published")).alias("fees"), F.col("p_brand").alias("phone"), F.col("p_name").alias("address"),
+        F.split("p_type", " ").alias("documents_required"), F.col("p_name").alias("answer"), size.alias("seats"),
+    )
+    intent = F.element_at(F.array(*map(F.lit, ("price", "contact", "documents", "eligibility", "other"))), (key % 5 + 1).cast("int"))
+    rows = t.part.select("p_partkey", intent.alias("intent"), (key % 7 != 0).alias("grounded"), (key % 3 == 0).alias("verified"), (key % 4 == 0).alias("stale"), F.lit(0.6).alias("score"), F.parse_json(F.to_json(facts)).alias("facts"))
+    return compose(rows).select("p_partkey", "branch", "answer", "confidence")
