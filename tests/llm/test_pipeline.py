@@ -49,7 +49,7 @@ def test_run_gives_the_last_stage(spark, outputs):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = registry.QUERIES[name](spark, SF)
     want = con.execute(registry.ORACLES[name])
