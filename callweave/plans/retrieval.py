@@ -146,8 +146,7 @@ def _lists(t):
 
 def _fused(t):
     """The best by BM25 over expanded features, and by cosine of hashed vectors."""
-    both = _lists(t)
-    return search.fuse(both.filter("list = 'dense'"), both.filter("list = 'lexical'"))
+    return search.fuse_lists(_lists(t))
 
 
 @query("dense_topk", LISTS_SQL + " SELECT item_id, doc_id, rank, round(score, 5) AS score FROM den WHERE rank <= 10")
@@ -208,12 +207,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc
 
 
 def _records(t):
-    verified = t.labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("verified"))
     first = lambda i: F.regexp_extract("text", WORDS, i)
     title = F.concat(first(1), F.when(first(2) == "", "").when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" ("), first(2), F.lit(")"))).otherwise(F.concat(F.lit(" "), first(2))))
-    return hybrid.spread(t.documents).join(verified, "doc_id", "left").select(
+    return hybrid.spread(t.documents).select(
         "doc_id", F.col("text").alias("body"), F.col("source").alias("category"), "lang", title.alias("title"), F.array_remove(F.array(first(3)), "").alias("aliases"), (F.col("n_chars") < 200).alias("stale"),
-        F.coalesce("verified", F.lit(False)).alias("verified"), F.when(F.col("source") == "src7", F.array(title)).otherwise(F.array().cast("array<string>")).alias("not_offered"),
+        F.when(F.col("source") == "src7", F.array(title)).otherwise(F.array().cast("array<string>")).alias("not_offered"),
     )
 
 
@@ -235,7 +233,9 @@ def _candidates(t):
     asked = questions.join(rules.title_terms(records, questions), "item_id", "left")
     if t.benchmark.count() * (LEXICAL + DENSE) <= MOST_CANDIDATES:
         hits = F.broadcast(hits)
-    return rules.features(records.join(hits, "doc_id").join(asked, "item_id"), timely=("src3", "src4"))
+    verified = t.labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("verified"))
+    met = records.join(hits, "doc_id").join(asked, "item_id").join(verified, "doc_id", "left")  # texts meet the hits first
+    return rules.features(met.withColumn("verified", F.coalesce("verified", F.lit(False))), timely=("src3", "src4"))
 
 
 def _reranked(t, k):

@@ -135,6 +135,13 @@ def test_fusion_is_monotone(spark):
     assert abs(fused[10].rrf_norm - 1) < 1e-12 and fused[10].rrf > fused[11].rrf == fused[12].rrf and fused[12].dense_rank == 999
 
 
+def test_fusion_of_one_frame_equals_fusion_of_two(spark):
+    rows = [(q, d, name, r, 1.0 / r) for q in range(3) for name, step in (("dense", 2), ("lexical", 3)) for r, d in enumerate(range(q, 20, step), 1)]
+    frame = spark.createDataFrame(rows, "item_id long, doc_id long, list string, rank int, score double")
+    two = search.fuse(frame.filter("list = 'dense'"), frame.filter("list = 'lexical'"))
+    assert sorted(map(tuple, search.fuse_lists(frame).collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_context_block_keeps_the_first(spark):
     ranked = spark.createDataFrame([(1, 1, 50), (1, 2, 5), (2, 1, 5), (2, 2, 5)], "k int, rank int, length int")
     kept = {(r.k, r.rank) for r in search.context_block(ranked, "k", 20).collect()}
