@@ -242,7 +242,7 @@ def lid(t):
 
 @query("lid_name", "SELECT conv_id, turn, regexp_extract(lower(text), '\\b(english|hindi|marathi|french|german|spanish)\\b', 1) AS named FROM conversations")
 def lid_name(t):
-    return t.conversations.select("conv_id", "turn", F.regexp_extract(F.lower("text"), r"\b(english|hindi|marathi|french|german|spanish)\b", 1).alias("named"))
+    return t.conversations.select("conv_id", "turn", F.regexp_extract(F.lower("text"), classify.ascii_edges(r"\b(english|hindi|marathi|french|german|spanish)\b"), 1).alias("named"))
 
 
 @query("lid_fuse", None)
