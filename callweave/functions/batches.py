@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -25,9 +28,30 @@ def slugs(texts: pd.Series) -> pd.Series:
     return kept.where(kept != "", plain.map(lambda p: hashlib.sha1((p or "record").encode()).hexdigest()[:12]))
 
 
-@F.pandas_udf(StringType())
-def slugify(texts: pd.Series) -> pd.Series:
-    return slugs(texts)
+RUN = 1 << 20  # bytes of text that a task holds as Python strings at once; a longer text is a run of its own
+
+
+def runs(texts: pa.Array, limit: int = RUN) -> Iterator[slice]:
+    """Ranges of rows of about `limit` bytes of text, in order; Arrow holds a batch, Python only one range."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n + 64 > limit:
+            yield slice(start, i)
+            start, total = i, 0
+        total += n + 64
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def by_runs(make: Callable[..., pa.Array], kind: pa.DataType, texts: pa.Array, *others: pa.Array) -> pa.Array:
+    """make(texts, *others) of each run, put together."""
+    return pa.concat_arrays([pa.array([], kind), *(make(*[x[r] for x in (texts, *others)]).cast(kind) for r in runs(texts))])
+
+
+@F.arrow_udf(StringType())
+def slugify(texts: pa.Array) -> pa.Array:
+    return by_runs(lambda part: pa.array(slugs(pd.Series(part.to_pylist(), dtype=object)).tolist(), pa.string()), pa.string(), texts)
 
 
 CELL, SIGN, GRAM = 0, 7, 3  # fixed values: salts of a feature's cell, of its sign and of a letter trigram's cell
@@ -84,11 +108,19 @@ def hash_vectors(rows: np.ndarray, codes: np.ndarray, names: list[str], compacts
 def hash_embed(features, compact, dims: int = 768, digest: str = "blake2b", kind: str = "float"):
     """Column of unit vectors from feature arrays (functions.text.expand) and compact texts (functions.text.compact)."""
 
-    @F.pandas_udf(f"array<{kind}>")
-    def embed(fs: pd.Series, ts: pd.Series) -> pd.Series:
-        codes, names = pd.factorize(np.concatenate([np.zeros(0, dtype=object), *[np.asarray(f, dtype=object) for f in fs]]))
-        rows = np.repeat(np.arange(len(fs)), [len(f) for f in fs])
-        return pd.Series(list(hash_vectors(rows, codes, list(names), ts.fillna("").tolist(), dims, digest).astype(np.float32 if kind == "float" else np.float64)))
+    cell = np.float32 if kind == "float" else np.float64
+    whole = pa.list_(pa.from_numpy_dtype(cell))
+
+    def vectors(ts: pa.Array, fs: pa.Array) -> pa.Array:
+        coded = fs.flatten().dictionary_encode()
+        rows = np.repeat(np.arange(len(fs)), pc.fill_null(pc.list_value_length(fs), 0).to_numpy(zero_copy_only=False))
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found = hash_vectors(rows, codes, coded.dictionary.to_pylist(), [t or "" for t in ts.to_pylist()], dims, digest).astype(cell)
+        return pa.ListArray.from_arrays(np.arange(0, (len(ts) + 1) * dims, dims, dtype=np.int32), pa.array(found.ravel()))
+
+    @F.arrow_udf(f"array<{kind}>")
+    def embed(fs: pa.Array, ts: pa.Array) -> pa.Array:
+        return by_runs(vectors, whole, ts, fs)
 
     return embed(features, compact)
 
@@ -96,8 +128,8 @@ def hash_embed(features, compact, dims: int = 768, digest: str = "blake2b", kind
 SILENCE = -96.0
 
 
-@F.pandas_udf(DoubleType())
-def dbfs(samples: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def dbfs(samples: pa.Array) -> pa.Array:
     """RMS level of 16-bit samples against full scale; SILENCE where there is none."""
 
     def level(raw: bytes | None) -> float:
@@ -105,4 +137,4 @@ def dbfs(samples: pd.Series) -> pd.Series:
         power = float(pcm @ pcm) / max(1, len(pcm))
         return max(SILENCE, 10 * float(np.log10(power / 32768.0**2))) if power else SILENCE
 
-    return samples.map(level)
+    return by_runs(lambda part: pa.array(map(level, part.to_pylist()), pa.float64()), pa.float64(), samples)
