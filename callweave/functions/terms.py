@@ -9,12 +9,16 @@ Null texts have no hits; of equal terms the first row counts; empty terms are le
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_runs
+
 MOST_TERMS = 200_000
 HIT = "array<struct<term: string, value: string, start: int, place: int>>"
 
@@ -74,11 +78,24 @@ def find(text: Column, terms, edge: str = "left", longest: bool = False) -> Colu
     """Hits of the term table in a text, as an array of (term, value, start, place)."""
     terms, made = table(terms), []
 
-    @F.pandas_udf(HIT)
-    def walk(texts: pd.Series) -> pd.Series:
+    kind = pa.list_(pa.struct([("term", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("place", pa.int32())]))
+
+    def walked(texts: pa.Array) -> pa.Array:
+        starts, places, ends = array("i"), array("i"), [0]
+        for one in texts:
+            for hit in made[0].hits(one.as_py()):
+                starts.append(hit[2])
+                places.append(hit[3])
+            ends.append(len(starts))
+        place = pa.array(np.frombuffer(places, dtype=np.int32))
+        columns = [made[1].take(place), made[2].take(place), pa.array(np.frombuffer(starts, dtype=np.int32)), place]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["term", "value", "start", "place"]))
+
+    @F.arrow_udf(HIT)
+    def walk(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(Matcher(terms, edge, longest))
-        return pd.Series([[dict(zip(("term", "value", "start", "place"), h, strict=True)) for h in made[0].hits(t)] for t in texts])
+            made.extend((Matcher(terms, edge, longest), *(pa.array([t[i] for t in terms], pa.string()) for i in (0, 1))))
+        return by_runs(walked, kind, texts)
 
     return walk(text)
 
