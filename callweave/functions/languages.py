@@ -21,11 +21,11 @@ from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_runs
 from .terms import Matcher, table
 
 # The blocks of the scripts.
@@ -165,9 +165,13 @@ RESULT = "struct<language: string, confidence: double>"
 def profiles(text) -> F.Column:
     """Column of script shares in the order of SCRIPTS."""
 
-    @F.pandas_udf("array<double>")
-    def shares(texts: pd.Series) -> pd.Series:
-        return pd.Series([[p.get(s, 0.0) for s in SCRIPTS] for p in (profile(t or "") for t in texts)])
+    def told(texts: pa.Array) -> pa.Array:
+        found = [profile(one.as_py() or "") for one in texts]
+        return pa.array([[p.get(s, 0.0) for s in SCRIPTS] for p in found], pa.list_(pa.float64()))
+
+    @F.arrow_udf("array<double>")
+    def shares(texts: pa.Array) -> pa.Array:
+        return by_runs(told, pa.list_(pa.float64()), texts)
 
     return shares(text)
 
@@ -176,12 +180,17 @@ def identified(text, heard=None, certainty=None, rules: Rules | None = None) ->
     """Column of (language, confidence): fused from the text and, where given, another vote and its certainty."""
     made: list[Identifier] = []
 
-    @F.pandas_udf(RESULT)
-    def judge(texts: pd.Series, votes: pd.Series, sure: pd.Series) -> pd.DataFrame:
+    kind = pa.struct([("language", pa.string()), ("confidence", pa.float64())])
+
+    def judged(texts: pa.Array, votes: pa.Array, sure: pa.Array) -> pa.Array:
+        rows = [made[0].fused(t.as_py(), v or None, 0.0 if c is None or c != c else c) for t, v, c in zip(texts, votes.to_pylist(), sure.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], fields=list(kind))
+
+    @F.arrow_udf(RESULT)
+    def judge(texts: pa.Array, votes: pa.Array, sure: pa.Array) -> pa.Array:
         if not made:
             made.append(Identifier(rules))
-        rows = [made[0].fused(t, v or None, 0.0 if pd.isna(c) else c) for t, v, c in zip(texts, votes, sure, strict=True)]
-        return pd.DataFrame(rows, columns=["language", "confidence"])
+        return by_runs(judged, kind, texts, votes, sure)
 
     return judge(text, F.lit(None).cast("string") if heard is None else heard, F.lit(None).cast("double") if certainty is None else certainty)
 
