@@ -72,5 +72,5 @@ def live_gauge(t):
 @query("vad", None)
 def vad(t):
     """Speech spans of a made level track per user: each event is a loud or quiet stretch of 50 frames."""
-    frames = t.events.select(F.col("user_id").alias("stream_id"), F.col("event_id"), F.when(F.col("event_type") == "click", -20.0).otherwise(-60.0).alias("level"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("k"))
-    return calls.speech_spans(frames.select("stream_id", (F.col("event_id") * 50 + F.col("k")).alias("frame"), "level"))
+    level = F.when(F.col("event_type") == "click", -20.0).otherwise(-60.0)
+    return calls.speech_spans(t.events.select(F.col("user_id").alias("stream_id"), (F.col("event_id") * 50).alias("frame"), level.alias("level"), F.lit(50).alias("count")))

@@ -165,6 +165,7 @@ def voice_activity(levels: np.ndarray, **settings) -> list[tuple[int, int]]:
 def speech_spans(frames: DataFrame) -> DataFrame:
     """stream_id, frame, level -> spans of speech per stream, in places of the stream's frames.
 
+    A column `count`, where there is one, says for how many frames from `frame` on the level holds.
     Streams are read in order of frames, a batch at a time; only a detector's state stays in memory."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +177,7 @@ def speech_spans(frames: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids, levels = np.array(batch.column("stream_id").to_pylist(), dtype=object), batch.column("level").to_numpy(zero_copy_only=False)
+            counts = batch.column("count").to_numpy()
             edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if a == b:
@@ -183,13 +185,13 @@ def speech_spans(frames: DataFrame) -> DataFrame:
                 if voice is None or ids[a] != stream:
                     close()
                     stream, voice = ids[a], Voice()
-                found.extend((stream, *s) for s in voice.feed(levels[a:b].tolist()))
+                found.extend((stream, *s) for s in voice.feed(np.repeat(levels[a:b], counts[a:b]).tolist()))
             yield _spans(found)
             found.clear()
         close()
         yield _spans(found)
 
-    dealt = frames.select(F.col("stream_id").cast("long").alias("stream_id"), "frame", F.col("level").cast("double").alias("level"))
+    dealt = frames.select(F.col("stream_id").cast("long").alias("stream_id"), "frame", F.col("level").cast("double").alias("level"), (F.col("count") if "count" in frames.columns else F.lit(1)).cast("int").alias("count"))
     return dealt.repartition("stream_id").sortWithinPartitions("stream_id", "frame").mapInArrow(spans, "stream_id long, start long, end long")
 
 
