@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.sources.shared import new_folder
+
 K = 1024  # size of a sketch: about 10 KB
 EPS = 0.01  # half the width of a bracket, in ranks: six times the sketch's error
 
@@ -35,13 +37,20 @@ def quantiles(rolled: DataFrame, ps: dict[str, float]) -> DataFrame:
     return rolled.withColumns({name: F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for name, p in ps.items()})
 
 
+def _table(rows: DataFrame) -> DataFrame:
+    """Few rows a group, written and read back: the planner sees how small they are, so the values that meet them are not dealt by group."""
+    path = new_folder(rows.sparkSession, "ranks")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, ps: dict[str, float], k: int = K) -> DataFrame:
     """keys, and a column for each name of `ps`."""
     v = F.col(value).cast("double")
     own = rows.filter(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
     at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, max(0.0, p))))
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), at(p - EPS).alias("low"), at(p + EPS).alias("high"), F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("long").alias("place")) for n, p in ps.items()])
-    asked = rollup(own, keys, "__v", k).select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.*")
+    asked = _table(rollup(own, keys, "__v", k).select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.*"))
     met = own.join(asked, keys) if keys else own.join(F.broadcast(asked))  # without keys: a row for each of ps
     group = [*keys, "name"]
     # values below a bracket fall together under a null
@@ -49,10 +58,13 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, ps: dict[str, flo
     order = Window.partitionBy(*group).orderBy(F.col("x").asc_nulls_first())
     upto = by_value.withColumn("upto", F.sum("c").over(order))
     hit = F.min_by(F.struct("x"), F.when(F.col("upto") > F.col("place"), F.col("upto")))["x"]
-    found = upto.groupBy(*group, "place").agg(hit.alias("x"))
+    found = _table(upto.groupBy(*group, "place").agg(hit.alias("x")))
+    each = lambda both: both.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in ps])
+    if found.filter("x is null").isEmpty():
+        return each(found)
     missed = found.filter("x is null").select(*group, "place")
     whole = own.join(missed, keys) if keys else own.join(F.broadcast(missed))
     counts = whole.groupBy(*group, "place", "__v").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy(*group).orderBy("__v")))
     again = counts.filter(F.col("upto") > F.col("place")).groupBy(*group).agg(F.min("__v").alias("x"))
     both = found.filter("x is not null").select(*group, "x").unionByName(again.select(*group, "x"))
-    return both.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in ps])
+    return each(both)
