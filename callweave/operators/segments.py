@@ -1,8 +1,9 @@
 """An index for BM25 that takes additions and removals: segments with tombstones.
 
-Added documents make a segment: their postings (doc_id, term, tf, len) and, beside them, its sums (term, df) and its
-number of documents and words. A removal is a tombstone (doc_id, below): it hides the document in segments below that
-number; adding a document again hides its older self the same way. What is live is a left-anti join with the tombstones;
+Added documents make a segment: a row for each with its length and postings (doc_id, len, terms) and, beside them, its
+sums (term, df) and its number of documents and words. A document's words are counted inside its row, so adding shuffles
+ids and sums only. A removal is a tombstone (doc_id, below): it hides the document in segments below that number; adding
+a document again hides its older self the same way. Ids that no segment holds get none. What is live is a left-anti join with the tombstones;
 statistics are the segments' sums less those of hidden postings, so reading them does not read the whole index.
 `compact` writes the live part of the small segments as one.
 
@@ -16,9 +17,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.functions.text import expand
+from callweave.functions.text import counted, expand
 
-POSTINGS = "doc_id long, term string, tf long, len long, seg long"
+from .hybrid import spread
+from .search import by_repeats
+
+POSTINGS = "doc_id long, len long, terms array<struct<term:string,tf:bigint>>, seg long"
 SUMS = "term string, df long, docs long, words long, seg long"
 DEAD = "doc_id long, below long"
 LOG = "seg long, docs long, kind string"
@@ -55,14 +59,15 @@ class Segments:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").filter(F.col("seg").isin(segs)) if segs else self.spark.createDataFrame([], schema)
 
     def _put(self, name: str, rows: DataFrame, seg: int) -> DataFrame:
-        rows.withColumn("seg", F.lit(seg)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seg").parquet(f"{self.path}/{name}")
+        """Write a segment's folder; as all its rows go there, none are sorted by segment first."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/seg={seg}")
         return self.spark.read.schema(POSTINGS if name == "postings" else SUMS).parquet(f"{self.path}/{name}").filter(F.col("seg") == seg)
 
     def _segment(self, postings: DataFrame, seg: int) -> tuple:
-        """Write a segment's postings and sums; its row of the log. A document without features has a null term."""
-        own = self._put("postings", postings.select("doc_id", "term", "tf", "len"), seg)
-        whole = own.groupBy("doc_id").agg(F.max("len").alias("len")).agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
-        by_term = own.filter("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        """Write a segment's postings and sums; its row of the log. A document without features has no terms."""
+        own = self._put("postings", postings.select("doc_id", "len", "terms"), seg)
+        whole = own.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
+        by_term = own.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         zero = F.lit(0).cast("long")
         sums = by_term.withColumns({"docs": zero, "words": zero}).unionByName(whole.withColumns({"term": F.lit(None).cast("string"), "df": zero}))
         made = self._put("sums", sums.select("term", "df", "docs", "words"), seg)
@@ -70,15 +75,17 @@ class Segments:
 
     def _bury(self, ids: DataFrame, below: int) -> None:
         gone = ids.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        gone = gone.join(self._table("postings", POSTINGS).select("doc_id"), "doc_id", "left_semi")
         gone.withColumn("below", F.lit(below).cast("long")).write.mode("append").parquet(f"{self.path}/dead")
 
     def add(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> int:
         """Add documents as a new segment; those that the index holds are replaced. A batch that failed is added again."""
         seg = self._next()
         own = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        own = own.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-        words = own.select("doc_id", expand(F.col("text")).alias("fs")).select("doc_id", F.greatest(F.size("fs"), F.lit(1)).cast("long").alias("len"), F.explode_outer("fs").alias("term"))
-        row = self._segment(words.groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf")), seg)
+        once, more = by_repeats(own)
+        one = once if more is None else once.unionByName(more.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text")))
+        words = spread(one).select("doc_id", expand(F.col("text")).alias("fs"))
+        row = self._segment(words.select("doc_id", F.greatest(F.size("fs"), F.lit(1)).cast("long").alias("len"), counted(F.col("fs")).alias("terms")), seg)
         self._bury(own, seg)
         self._commit(row)
         return seg
@@ -93,18 +100,22 @@ class Segments:
             return self.spark.createDataFrame([], DEAD)
         return self.spark.read.schema(DEAD).parquet(f"{self.path}/dead").groupBy("doc_id").agg(F.max("below").alias("below"))
 
-    def postings(self) -> DataFrame:
-        """Live postings."""
+    def _met(self, how: str) -> DataFrame:
+        """Rows of the segments that tombstones hide ('left_semi') or do not ('left_anti')."""
         gone = self._dead().withColumnRenamed("doc_id", "its")
-        return self._table("postings", POSTINGS).join(gone, (F.col("doc_id") == F.col("its")) & (F.col("seg") < F.col("below")), "left_anti")
+        return self._table("postings", POSTINGS).join(gone, (F.col("doc_id") == F.col("its")) & (F.col("seg") < F.col("below")), how)
+
+    def postings(self) -> DataFrame:
+        """Live postings: doc_id, term, tf, len, seg."""
+        rows = self._met("left_anti").select("doc_id", "len", "seg", F.explode_outer("terms").alias("p"))
+        return rows.select("doc_id", "p.term", "p.tf", "len", "seg")
 
     def statistics(self) -> tuple[DataFrame, DataFrame]:
         """(term, df), and one row (docs, words): sums of the segments less the hidden postings'."""
-        sums, gone = self._table("sums", SUMS), self._dead().withColumnRenamed("doc_id", "its")
-        hidden = self._table("postings", POSTINGS).join(gone, (F.col("doc_id") == F.col("its")) & (F.col("seg") < F.col("below")), "left_semi")
-        minus = hidden.filter("term is not null").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        sums, hidden = self._table("sums", SUMS), self._met("left_semi")
+        minus = hidden.select(F.explode("terms.term").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
         df = sums.filter("term is not null").select("term", "df").unionByName(minus).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-        lost = hidden.groupBy("seg", "doc_id").agg(F.max("len").alias("len")).agg((-F.count(F.lit(1))).alias("docs"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("words"))
+        lost = hidden.agg((-F.count(F.lit(1))).alias("docs"), (-F.coalesce(F.sum("len"), F.lit(0))).alias("words"))
         total = sums.select("docs", "words").unionByName(lost).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
         return df, total
 
@@ -116,7 +127,7 @@ class Segments:
         if len(small) < 2:
             return None
         seg = self._next()
-        row = self._segment(self.postings().filter(F.col("seg").isin(small)), seg)
+        row = self._segment(self._met("left_anti").filter(F.col("seg").isin(small)), seg)
         self._commit(row, *[(s, 0, "merged") for s in small])
         return seg
 
