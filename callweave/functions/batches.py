@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,25 +61,48 @@ def _blake2b(s: str, salt: int) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "big")
 
 
-def _md5(s: str, salt: int) -> tuple[int, int]:
-    found = hashlib.md5(f"{salt}:{s}".encode()).digest()
-    return int.from_bytes(found[:4], "big"), int.from_bytes(found[4:8], "big")
+def _md5(texts: list[str], salt: int) -> np.ndarray:
+    """The first two numbers of 32 bits of each text's digest."""
+    found = b"".join([hashlib.md5(f"{salt}:{s}".encode(), usedforsecurity=False).digest() for s in texts])
+    return np.frombuffer(found, dtype=">u4").reshape(-1, 4)[:, :2].astype(np.uint64)
 
 
-#: Numbers for the cell and the sign of a feature, and for the cell of a trigram. md5 is a form that SQL can restate.
+def _trigram(packed: int) -> str:
+    return "".join(chr(packed >> at & 0x1FFFFF) for at in (42, 21, 0))
+
+
+SEEN = 1 << 16  # trigrams whose digest a worker keeps: most come again, words do not
+_kept = lru_cache(maxsize=SEEN)
+
+#: Numbers for the cell and the sign of each feature, and for the cell of a packed trigram. md5 is a form that SQL can restate.
 DIGESTS = {
-    "blake2b": (lambda s: (_blake2b(s, CELL), _blake2b(s, SIGN)), lambda s: _blake2b(s, GRAM)),
-    "md5": (lambda s: _md5(s, CELL), lambda s: _md5(s, GRAM)[0]),
+    "blake2b": (lambda ws: np.array([(_blake2b(w, CELL), _blake2b(w, SIGN)) for w in ws], dtype=np.uint64).reshape(-1, 2), _kept(lambda g: _blake2b(_trigram(g), GRAM))),
+    "md5": (lambda ws: _md5(ws, CELL), _kept(lambda g: int(_md5([_trigram(g)], GRAM)[0, 0]))),
 }
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(row, code) of the letter trigrams that start at every second letter, and the trigrams by code."""
-    letters = [np.frombuffer(t.encode("utf-32-le"), dtype="<u4").astype(np.int64) for t in texts]
-    starts = [np.arange(0, max(0, len(x) - 2), 2) for x in letters]
-    packed = np.concatenate([np.zeros(0, dtype=np.int64), *[x[s] << 42 | x[s + 1] << 21 | x[s + 2] for x, s in zip(letters, starts, strict=True)]])
-    kinds, codes = np.unique(packed, return_inverse=True)
-    return np.repeat(np.arange(len(texts)), [len(s) for s in starts]), codes, ["".join(chr(k >> at & 0x1FFFFF) for at in (42, 21, 0)) for k in kinds.tolist()]
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code) of the letter trigrams that start at every second letter, and the packed trigrams by code."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    counts = np.maximum((sizes - 1) // 2, 0)
+    starts, total = np.repeat(np.cumsum(sizes) - sizes, counts), int(counts.sum())
+    starts += 2 * (np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts))
+    own = np.zeros(int(letters.max(initial=0)) + 1, dtype=bool)
+    own[letters] = True
+    alphabet = np.flatnonzero(own)
+    place = np.cumsum(own) - 1
+    n = max(1, len(alphabet))
+    x = place[letters]
+    numbers = (x[starts] * n + x[starts + 1]) * n + x[starts + 2]
+    if n**3 <= 1 << 20:  # few letters: trigrams are counted in place, not sorted
+        held = np.zeros(n**3, dtype=bool)
+        held[numbers] = True
+        kinds, codes = np.flatnonzero(held), (np.cumsum(held) - 1)[numbers]
+    else:
+        kinds, codes = np.unique(numbers, return_inverse=True)
+    packed = alphabet[kinds // n // n] << 42 | alphabet[kinds // n % n] << 21 | alphabet[kinds % n] if total else np.zeros(0, dtype=np.int64)
+    return np.repeat(np.arange(len(texts)), counts), codes, packed
 
 
 def hash_vectors(rows: np.ndarray, codes: np.ndarray, names: list[str], compacts: list[str], dims: int, digest: str = "blake2b") -> np.ndarray:
@@ -90,14 +113,14 @@ def hash_vectors(rows: np.ndarray, codes: np.ndarray, names: list[str], compacts
     has none). A digest is taken once a distinct feature. Rows without features and trigrams stay zero."""
     (of_word, of_gram), size = DIGESTS[digest], len(compacts) * dims
     used, codes = np.unique(codes, return_inverse=True)
-    drawn = np.array([of_word(names[c]) for c in used.tolist()], dtype=np.uint64).reshape(-1, 2) % np.uint64(dims)
+    drawn = of_word([names[c] for c in used.tolist()]) % np.uint64(dims)
     places, signs = drawn[:, 0].astype(np.int64), 1.0 - 2.0 * (drawn[:, 1] % np.uint64(2)).astype(np.float64)
     at, sign = rows * dims + places[codes] if len(codes) else np.zeros(0, dtype=np.int64), np.ones(size)
     sign[at] = signs[codes]  # the last of equal places stays
     counts = np.bincount(at, minlength=size)
     out = np.where(counts > 0, sign * (1 + np.log(np.maximum(counts, 1))), 0.0)
     row, gram, kinds = _grams(compacts)
-    cells = np.array([of_gram(g) % dims for g in kinds], dtype=np.int64)
+    cells = np.array([of_gram(g) % dims for g in kinds.tolist()], dtype=np.int64)
     if len(gram):
         out += 0.25 * sign * np.bincount(row * dims + cells[gram], minlength=size)
     out = out.reshape(len(compacts), dims)
