@@ -87,11 +87,18 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(rows.any(axis=1))
         for a in range(0, len(used), 4096):
             part = used[a : a + 4096]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * WIDE + 1, WIDE, dtype=np.int32)), pa.array(rows[part].ravel().astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), lists], ["row", "counts"])
-
-    parts = docs.select("text").mapInArrow(work, "row long, counts array<int>")
-    summed = parts.groupBy("row").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(WIDE)]).alias("counts")).toArrow()  # 2 * CELLS numbers
+            own = rows[part]
+            high = (own >> 7)[(own >> 7).any(axis=1)].ravel()  # few rows hold a cell of 128 or more
+            ends = np.cumsum(np.where((own >> 7).any(axis=1), WIDE, 0))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * WIDE + 1, WIDE, dtype=np.int32)), pa.array((own & 127).ravel().astype(np.int8))),
+                pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(high.astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *lists], ["row", "low", "high"])
+
+    parts = docs.select("text").mapInArrow(work, "row long, low array<tinyint>, high array<int>").repartition("row")  # bytes are shuffled, not their sums
+    cell = lambda i: F.get("low", F.lit(i)).cast("long") + 128 * F.coalesce(F.get("high", F.lit(i)), F.lit(0))
+    summed = parts.groupBy("row").agg(F.array(*[F.sum(cell(i)) for i in range(WIDE)]).alias("counts")).toArrow()  # 2 * CELLS numbers
     counts = np.zeros((2 * CELLS // WIDE, WIDE), dtype=np.int64)
     if summed.num_rows:
         counts[summed.column("row").to_numpy()] = summed.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, WIDE)
@@ -226,18 +233,31 @@ class Lists:
         return found[shared >= need]
 
 
-def wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, text: one text of each of the given classes; texts meet them in the one shuffle that makes them distinct."""
-    key = lambda doc, print_: [F.isnull(doc).alias("none"), F.coalesce(F.col(doc), F.lit(0)).alias("doc"), F.col(print_).alias("print")]
-    wanted = materialise(ids.join(classes.select("id", "doc", "print"), "id").select("id", *key("doc", "print")), "texts-wanted")
-    # a bit map of the wanted texts, of bounded size, keeps most other texts out of the shuffle
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with `marked`: true where `print` is one of the wanted, and for some others. A bit map of bounded size is broadcast."""
     bits = min(BROADCAST_BITS, filter_bits(wanted.count()))
-    slot = lambda print_: F.pmod(print_, F.lit(bits))
-    bitmaps = F.broadcast(maps(wanted.select(slot(F.col("print")).alias("slot")), 0))
-    held = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).withColumn("slot", slot(F.col("print")))
-    held = held.withColumn("map0", F.floor(F.col("slot") / MAP_BITS)).join(bitmaps, "map0").filter(bit(F.col("bits0"), F.col("slot")))
+    slot = F.pmod(F.col("print"), F.lit(bits))
+    bitmaps = F.broadcast(maps(wanted.select(slot.alias("slot")), 0))
+    held = rows.withColumn("slot", slot).withColumn("map0", F.floor(F.col("slot") / MAP_BITS)).join(bitmaps, "map0", "left")
+    return held.select(*rows.columns, F.coalesce(bit(F.col("bits0"), F.col("slot")), F.lit(False)).alias("marked"))
+
+
+def with_texts(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (by `id`) with a text of their class, and the table behind them.
+
+    A text meets all rows of its class in the one shuffle that makes texts distinct."""
+    key = lambda doc, print_: [F.isnull(doc).alias("none"), F.coalesce(F.col(doc), F.lit(0)).alias("doc"), F.col(print_).alias("print")]
+    wanted = materialise(rows.join(classes.select("id", "doc", "print"), "id").select(*rows.columns, *key("doc", "print")), "texts-wanted")
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    held = marked(held, wanted.select("print").distinct()).filter("marked")  # most other texts stay out of the shuffle
     held = held.groupBy(*key("doc_id", "print")).agg(F.first("text").alias("text"))
-    texts = materialise(held.join(wanted, ["none", "doc", "print"]).select("id", "text"), "texts")
+    return held.join(wanted, ["none", "doc", "print"]).select(*rows.columns, "text"), wanted
+
+
+def wanted_texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text: one text of each of the given classes."""
+    filled, wanted = with_texts(ids, classes, docs)
+    texts = materialise(filled, "texts")
     discard(wanted)
     return texts
 
@@ -263,11 +283,9 @@ def occurrences(placed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
             ys.append(np.maximum(hit, n))
         return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
 
-    placed = materialise(placed, "jaccard-placed")
-    texts = wanted_texts(placed.select("id").distinct(), classes, docs)
-    filled = placed.join(texts, "id").select("block", "id", "label", "asks", "text")
+    filled, wanted = with_texts(placed.select("block", "id", "label", "asks"), classes, docs)
     links = materialise(filled.groupBy("block").applyInArrow(search, "x long, y long").distinct(), "jaccard-links")
-    discard(placed, texts)
+    discard(wanted)
     return links
 
 
@@ -310,9 +328,10 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     rest = materialise(rest, "jaccard-rest")
     lists = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).filter("low < high")
     lists = materialise(lists.select("shingle", "group"), "jaccard-open")
-    member = rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label"))
-    member = materialise(member.join(classes.select("id", "size", "bits"), "id"), "jaccard-members")
-    discard(rest, lists)
+    opened = materialise(rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label")), "jaccard-opened")
+    sized = marked(classes.select("id", "size", "bits", F.xxhash64("id").alias("print")), opened.select(F.xxhash64("id").alias("print")).distinct())
+    member = materialise(opened.join(sized.filter("marked").select("id", "size", "bits"), "id"), "jaccard-members")
+    discard(rest, lists, opened)
     if member.isEmpty():
         return None
     by_label = member.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("items"))
@@ -384,17 +403,24 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     lengths, long = sketch(docs)
     rows = materialise(class_rows(docs, lengths, long), "jaccard-rows")
     filled = rows.filter("size > 0")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print"))  # the row whose text stands for the class
-    classes = filled.groupBy("digest").agg(one.alias("one"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("bits").alias("bits"), F.first("short").alias("short"))
-    classes = classes.select("digest", F.col("one.doc_id").alias("doc"), F.col("one.print").alias("print"), "size", "common", "bits", "short")
+    # sets that stand once are classes as they are; only rows of repeated sets are shuffled
+    filled = filled.withColumn("text_print", F.col("print")).withColumn("print", F.xxhash64("digest"))
+    again = materialise(filled.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("digest").alias("print")), "jaccard-again")
+    held = marked(filled, again)
+    own = ["digest", F.col("doc_id").alias("doc"), F.col("text_print").alias("print"), "size", "common", "bits", "short"]
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_print"))  # the row whose text stands for the class
+    same = held.filter("marked").groupBy("digest").agg(one.alias("one"), F.first("size").alias("size"), F.first("common").alias("common"), F.first("bits").alias("bits"), F.first("short").alias("short"))
+    same = same.select("digest", F.col("one.doc_id").alias("doc"), F.col("one.text_print").alias("print"), "size", "common", "bits", "short")
+    classes = held.filter("NOT marked").select(*own).unionByName(same)
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
     salts = -(-rows.count() // PART)  # a list of a third of all rows has a third of these parts in use
-    lists = classes.select(F.struct("id", "size", "common").alias("c"), F.posexplode("short").alias("pos", "key")).select(
-        F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("shingle"),
-        F.when(F.col("key") < 0, F.pmod(F.xxhash64("c.id"), F.lit(max(1, salts))) + 1).otherwise(0).alias("salt"),
-        F.struct("c.id", "c.size", "c.common", "pos").alias("b"),
-    )
+    lists = classes.select("id", F.shiftleft("size", 32).alias("size"), "common", F.posexplode("short").alias("pos", "key")).select(
+        F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("shingle"), "id", (F.col("size") + F.col("pos")).alias("place"), "common",
+        F.when(F.col("key") < 0, F.pmod(F.xxhash64("id"), F.lit(max(1, salts))) + 1).otherwise(0).alias("salt"),
+    )
+    size, pos = F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")  # they travel as one number
+    lists = lists.repartition("shingle", "salt").select("shingle", "salt", F.struct("id", size, "common", pos).alias("b"))
     offered = materialise(_first(lists, "shingle", "salt").filter((F.col("members") > 1) | (F.col("salt") > 0)), "jaccard-lists")
     links = by_pivots(offered, classes, docs)
     labels = components(links)
@@ -408,7 +434,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     member = classes.select("id", "digest", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = member.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = materialise(member.join(least, "label").select("digest", "component_id"), "jaccard-named")
-    discard(classes, offered, links, labels, *([more] if more is not None else []))
+    discard(classes, again, offered, links, labels, *([more] if more is not None else []))
     linked = filled.select("doc_id", "size", "digest").join(named, "digest").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return linked.union(rows.filter("size = 0").select("doc_id", "size", "doc_id"))
 
