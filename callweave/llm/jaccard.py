@@ -7,7 +7,8 @@ when they share at least T = ceil(80 * (|x| + |y|) / 180) shingles.
 * Every document orders its shingles by one corpus-wide order, from short to long inverted lists. Lengths
   come from a count sketch of fixed size over all shingles; any fixed order gives exact results, the
   sketch only makes it a good one. The ceil(0.8 |x|) - 1 longest lists are set aside: whatever shares T
-  shingles with x meets x in one of the others. Only those short lists are shuffled.
+  shingles with x meets x in one of the others. Only those short lists are shuffled, as keys of KEY_BYTES
+  bytes in packed runs by bucket. Shingles of equal keys share a list, which then names more members and no fewer.
 * Lists name the members that have to be searched. A block of members is an inverted index inside its task
   (`Lists`), and a query is a T-occurrence search there: its short lists are merged by a heap that counts
   occurrences, members with T - L of them or more are probed in the L long lists by binary search, and
@@ -16,7 +17,8 @@ when they share at least T = ceil(80 * (|x| + |y|) / 180) shingles.
   salted parts, and these among one another) over blocks of its members, and links make components. Lists
   that still hold several components then ask with the members outside the largest one. Lists that begin
   with the same member go together; large ones are cut into blocks of queries and blocks of members, small
-  ones share a block.
+  ones share a block. Both times parity maps, an exact bound on the overlap, first say which rows of a block
+  can link at all, so the texts that are sent follow the number of near copies.
 
 Blocks carry texts, which are smaller than sets of hashes, and follow the number of members and the size of
 their sets, so a very long text has a block of few others. Defined cases: a null text, or one without words,
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_names, materialise, table, text_runs
+from .common import discard, free_names, materialise, runs, table, text_runs
 from .exact_dedup import BROADCAST_BITS, MAP_BITS, bit, filter_bits, maps
 
 WORDS, NEED = 5, 80  # words of a shingle; least similarity in hundredths
@@ -46,6 +48,8 @@ PART = 4096  # members of a salted part of a long list, about
 BLOCK, LARGEST, ITEMS = 128, 2048, 4 << 20  # members of a block: at least, at most for large groups; shingles of a block
 SKIP, MERGED = 0.01, 2000  # DivideSkip's constant; postings beyond which further lists count as long
 RUN_BYTES = 2 << 20
+KEY_BYTES, BUCKET = 5, 1 << 17  # bytes of a list's key; entries of lists in a bucket, about
+TRIED = 64  # members of a list whose pairs are held against positions, at most
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _TOP = np.uint64((1 << 63) - 1)
 
@@ -107,11 +111,11 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), min(255, int(8 * np.log2(1 + long)))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """One bit for each of about 4 cells a shingle, set where an odd number of the set's shingles falls.
+def parity(s: np.ndarray, cells: int = 4) -> np.ndarray:
+    """One bit for each of about so many cells a shingle, set where an odd number of the set's shingles falls.
 
     Two sets whose maps differ in d bits differ in d shingles at least, so they share (|x| + |y| - d) / 2 at most."""
-    width = max(64, 1 << int(4 * len(s) - 1).bit_length()) if len(s) else 64
+    width = max(64, 1 << int(cells * len(s) - 1).bit_length()) if len(s) else 64
     odd = np.bincount((s >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -130,11 +134,23 @@ def can_link(size_x, size_y, differ):
     return most * (100 + NEED) >= NEED * (size_x + size_y)
 
 
-CLASSES = "doc_id long, print long, digest binary, size long, common int, bits binary, short array<long>"
+def pack(items: np.ndarray, long: np.ndarray) -> bytes:
+    """Keys of the lists of some shingles: their low bits, and one bit for a long list."""
+    keys = ((items << np.uint64(1)) | long.astype(np.uint64)).astype("<u8")
+    return keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpack(keys: bytes) -> np.ndarray:
+    out = np.zeros((len(keys) // KEY_BYTES, 8), dtype=np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+CLASSES = "doc_id long, print long, digest binary, size long, common int, bits binary, short binary"
 
 
 def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
-    """Per document: a hash of its text, digest and size of its set, and its short lists in order (long ones among them as -1 - shingle)."""
+    """Per document: a hash of its text, digest, size and parity map of its set, and the keys of its short lists in order."""
 
     def work(batches):
         from xxhash import xxh3_128_digest
@@ -147,17 +163,15 @@ def class_rows(docs: DataFrame, lengths: np.ndarray, long: int) -> DataFrame:
                     one, two = _cells(s)
                     q = np.minimum(lengths[0][one], lengths[1][two])
                     order = np.argsort(q, kind="stable")[: len(s) - -(-NEED * len(s) // 100) + 1] if len(s) else np.zeros(0, dtype=np.int64)
-                    kept = s[order].astype(np.int64)
                     digests.append(xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
                     commons.append(int(8 * q.mean()) if len(s) else 0)  # only an order: few bytes in the shuffle of lists
-                    maps.append(parity(s).tobytes())
-                    shorts.append(np.where(q[order] >= long, -1 - kept, kept))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in shorts])]).astype(np.int32)
+                    maps.append(parity(s, 1).tobytes())  # sets of 0.8 differ in a ninth of both sizes, others in half of the bits
+                    shorts.append(pack(s[order], q[order] >= long))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, len(texts)), batch.column(2).slice(a, len(texts)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(commons, pa.int32()), pa.array(maps, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(shorts))),
+                        pa.array(shorts, pa.binary()),
                     ],
                     ["doc_id", "print", "digest", "size", "common", "bits", "short"],
                 )
@@ -171,9 +185,16 @@ def _possible(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> C
     return F.least(most, size_a, size_b) * (100 + NEED) >= NEED * (size_a + size_b)
 
 
+def _can(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray) -> np.ndarray:
+    """The same for arrays."""
+    most = np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b)
+    return np.minimum(most, np.minimum(size_a, size_b)) * (100 + NEED) >= NEED * (size_a + size_b)
+
+
 def _asks(rows: DataFrame) -> DataFrame:
-    """(asks, id, size): a pivot and a member of its list whose sets can share T."""
-    ok = (F.col("a.id") != F.col("b.id")) & _possible(F.col("a.size"), F.col("a.pos"), F.col("b.size"), F.col("b.pos"))
+    """(asks, id, size): a pivot and a member of its list whose sets can share T. Without positions they can."""
+    can = F.coalesce(_possible(F.col("a.size"), F.col("a.pos"), F.col("b.size"), F.col("b.pos")), F.lit(True))
+    ok = (F.col("a.id") != F.col("b.id")) & can
     return rows.filter(ok).select(F.col("a.id").alias("asks"), F.col("b.id").alias("id"), F.col("b.size").alias("size"))
 
 
@@ -185,6 +206,103 @@ def _first(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumns({"a": F.first("b").over(over.orderBy(F.col("b.common").desc(), "b.size", "b.id")), "members": F.count(F.lit(1)).over(over)})
 
 
+ENTRY = np.dtype([("id", "<i8"), ("size", "<i4"), ("pos", "<i4"), ("common", "<i2")])
+MEMBER = pa.struct([("id", pa.int64()), ("size", pa.int64()), ("common", pa.int32()), ("pos", pa.int32())])
+OFFERED = "shingle long, salt int, b struct<id:long,size:long,common:int,pos:int>, a struct<id:long,size:long,common:int,pos:int>, members long, open boolean"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * _M[0]
+    x = (x ^ (x >> np.uint64(32))) * _M[1]
+    return x ^ (x >> np.uint64(29))
+
+
+def _salts(keys: np.ndarray, ids: np.ndarray, salts: int) -> np.ndarray:
+    """The part of its list that an entry belongs to: one of so many from 1 on for long lists, else 0."""
+    return np.where(keys & 1, (_mixed(ids) % np.uint64(salts)).astype(np.int64) + 1, 0)
+
+
+def _columns(entries: np.ndarray) -> bytes:
+    """Entries byte by byte of every field, ids as steps: what hardly changes lies together."""
+    steps = entries.copy()
+    steps["id"] = np.diff(entries["id"], prepend=0)
+    return pa.compress(steps.view(np.uint8).reshape(-1, ENTRY.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _entries(packed: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(packed, n * ENTRY.itemsize, codec="zstd", asbytes=True), np.uint8)
+    out = np.ascontiguousarray(raw.reshape(ENTRY.itemsize, n).T).view(ENTRY).ravel()
+    out["id"] = np.cumsum(out["id"])
+    return out
+
+
+def offers(classes: DataFrame, salts: int) -> DataFrame:
+    """The entries of every list (long ones in salted parts) that has two or more, or is long: key, salt, entry b, pivot a and length.
+
+    An entry is open if by positions it can link with another one that is no pivot. The pivot is the set whose shingles lie in the longest lists on average, as in `_first`. A set that has two
+    shingles of one key leaves the positions of that list unknown."""
+    total = (classes.agg(F.sum(F.length("short"))).first()[0] or 0) // KEY_BYTES
+    buckets = max(1, -(-total // BUCKET))
+
+    def split(batches):
+        for batch in batches:
+            ids, sizes, commons = (batch.column(i).to_numpy() for i in range(3))
+            shorts = [x.as_py() for x in batch.column(3)]
+            for a, b in runs([len(x) for x in shorts], 8 << 20):
+                keys = unpack(b"".join(shorts[a:b]))
+                counts = np.array([len(x) // KEY_BYTES for x in shorts[a:b]])
+                doc = np.repeat(np.arange(a, b), counts)
+                entries = np.empty(len(keys), dtype=ENTRY)
+                entries["id"], entries["size"], entries["common"] = ids[doc], sizes[doc], commons[doc]
+                entries["pos"] = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
+                bucket = (_mixed(keys + (_salts(keys, entries["id"], salts) << 40)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")  # documents stay in order
+                found, starts = np.unique(bucket[order], return_index=True)
+                raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                parts = [order[i:j] for i, j in zip(starts, [*starts[1:], len(order)], strict=True)]
+                for i in range(0, len(found), 1024):
+                    some = parts[i : i + 1024]
+                    columns = [pa.array(found[i : i + 1024]), pa.array([raw[x].tobytes() for x in some], pa.binary()), pa.array([_columns(entries[x]) for x in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "entries"])
+
+    def gather(key, part):
+        blobs = [x.as_py() for x in part.column("keys")]
+        keys = unpack(b"".join(blobs))
+        entries = np.concatenate([_entries(x.as_py(), len(k) // KEY_BYTES) for x, k in zip(part.column("entries"), blobs, strict=True)])
+        _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+        several = (n[at] > 1) | (keys & 1 == 1)
+        keys, entries = keys[several], entries[several]
+        salt = _salts(keys, entries["id"], salts)
+        order = np.lexsort((entries["id"], entries["size"], -entries["common"].astype(np.int64), salt, keys))
+        keys, salt, entries = keys[order], salt[order], entries[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (salt[1:] != salt[:-1])
+        which, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        members = np.diff(np.append(starts, len(keys)))[which]
+        twice = np.zeros(len(starts), dtype=bool)
+        again = np.flatnonzero(~new[1:] & (entries["id"][1:] == entries["id"][:-1])) + 1
+        twice[which[again]] = True
+        is_open = (members > 2) & (twice[which] | (members > TRIED))
+        ends = (starts[which] + members).astype(np.int64)
+        sizes, places = entries["size"].astype(np.int64), entries["pos"].astype(np.int64)
+        left = np.flatnonzero(~new & ~is_open)
+        for step in range(1, TRIED):
+            left = left[left + step < ends[left]]
+            if not len(left):
+                break
+            can = _can(sizes[left], places[left], sizes[left + step], places[left + step])
+            is_open[left[can]] = is_open[left[can] + step] = True
+
+        def member(rows):
+            fields = [pa.array(rows[f].astype(t)) for f, t in (("id", np.int64), ("size", np.int64), ("common", np.int32))]
+            return pa.StructArray.from_arrays([*fields, pa.array(rows["pos"].astype(np.int32), mask=twice[which])], fields=list(MEMBER))
+
+        return pa.table({"shingle": keys, "salt": salt.astype(np.int32), "b": member(entries), "a": member(entries[starts][which]), "members": members, "open": is_open})
+
+    runs_of = classes.select("id", "size", "common", "short").mapInArrow(split, "bucket long, keys binary, entries binary")
+    return runs_of.groupBy("bucket").applyInArrow(gather, OFFERED)
+
+
 class Lists:
     """Inverted lists over the sets of a block, for T-occurrence search by DivideSkip."""
 
@@ -235,7 +353,7 @@ class Lists:
 
 def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows with `marked`: true where `print` is one of the wanted, and for some others. A bit map of bounded size is broadcast."""
-    bits = min(BROADCAST_BITS, filter_bits(wanted.count()))
+    bits = min(BROADCAST_BITS, filter_bits(4 * wanted.count()))  # of the other rows a 32nd passes at most
     slot = F.pmod(F.col("print"), F.lit(bits))
     bitmaps = F.broadcast(maps(wanted.select(slot.alias("slot")), 0))
     held = rows.withColumn("slot", slot).withColumn("map0", F.floor(F.col("slot") / MAP_BITS)).join(bitmaps, "map0", "left")
@@ -246,11 +364,12 @@ def with_texts(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Da
     """The rows (by `id`) with a text of their class, and the table behind them.
 
     A text meets all rows of its class in the one shuffle that makes texts distinct."""
-    key = lambda doc, print_: [F.isnull(doc).alias("none"), F.coalesce(F.col(doc), F.lit(0)).alias("doc"), F.col(print_).alias("print")]
-    wanted = materialise(rows.join(classes.select("id", "doc", "print"), "id").select(*rows.columns, *key("doc", "print")), "texts-wanted")
-    held = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
-    held = marked(held, wanted.select("print").distinct()).filter("marked")  # most other texts stay out of the shuffle
-    held = held.groupBy(*key("doc_id", "print")).agg(F.first("text").alias("text"))
+    key = lambda doc, print_: [F.isnull(doc).alias("none"), F.coalesce(F.col(doc), F.lit(0)).alias("doc"), print_.alias("print")]
+    wanted = materialise(rows.join(classes.select("id", "doc", "print"), "id").select(*rows.columns, *key("doc", F.col("print"))), "texts-wanted")
+    row = F.xxhash64("none", "doc", "print").alias("print")  # copies of a wanted text under other ids stay out too
+    held = docs.select("text", *key("doc_id", F.xxhash64("text"))).select("text", "none", "doc", F.col("print").alias("text_print"), row)
+    held = marked(held, wanted.select(row).distinct()).filter("marked")  # most other texts stay out of the shuffle
+    held = held.groupBy("none", "doc", F.col("text_print").alias("print")).agg(F.first("text").alias("text"))
     return held.join(wanted, ["none", "doc", "print"]).select(*rows.columns, "text"), wanted
 
 
@@ -300,6 +419,20 @@ def _bundled(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(n)))
 
 
+def _sized(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, size, bits of the given ids and a few others."""
+    held = marked(classes.select("id", "size", "bits", F.xxhash64("id").alias("print")), ids.select(F.xxhash64("id").alias("print")).distinct())
+    return held.filter("marked").select("id", "size", "bits")
+
+
+def searched(placed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links found in blocks (block, id, label, asks, size, bits): maps say which rows can link, their texts which do."""
+    open_rows = materialise(placed.groupBy("block").applyInArrow(_open, "block long, id long, label long, asks boolean"), "jaccard-open-rows")
+    links = occurrences(_bundled(open_rows.withColumnRenamed("block", "of"), "of").groupBy("block", "id", "asks").agg(F.min("label").alias("label")), classes, docs)
+    discard(open_rows)
+    return links
+
+
 def by_pivots(offered: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between each list's pivot and its members."""
     pivots = offered.filter((F.col("salt") > 0) & (F.col("a.id") == F.col("b.id"))).select("shingle", "b")
@@ -311,8 +444,10 @@ def by_pivots(offered: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     indexed = dealt.select("block", "id", F.col("id").alias("label"), F.lit(False).alias("asks"))
     asking = dealt.select("block", F.col("asks").alias("id"), F.col("asks").alias("label"), F.lit(True).alias("asks"))
     discard(asks, parts)
-    links = occurrences(indexed.unionByName(asking).distinct(), classes, docs)
+    placed = materialise(indexed.unionByName(asking).distinct(), "jaccard-placed")
     discard(dealt)
+    links = searched(placed.join(_sized(classes, placed), "id"), classes, docs)
+    discard(placed)
     return links
 
 
@@ -323,14 +458,13 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     component of such a group; every block of queries meets every block of its members. Parity maps, an exact
     bound on the overlap, first say which rows of a block can link at all; only their texts are sent.
     """
-    rest = offered.filter((F.col("salt") > 0) | ((F.col("members") > 2) & (F.col("a.id") != F.col("b.id"))))
+    rest = offered.filter((F.col("salt") > 0) | (F.col("open") & (F.col("a.id") != F.col("b.id"))))
     rest = rest.select("shingle", F.col("b.id").alias("id")).join(labels, "id", "left").select("shingle", "id", F.coalesce("label", "id").alias("label"))
     rest = materialise(rest, "jaccard-rest")
     lists = rest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("id").alias("group")).filter("low < high")
     lists = materialise(lists.select("shingle", "group"), "jaccard-open")
     opened = materialise(rest.join(lists, "shingle").groupBy("group", "id").agg(F.min("label").alias("label")), "jaccard-opened")
-    sized = marked(classes.select("id", "size", "bits", F.xxhash64("id").alias("print")), opened.select(F.xxhash64("id").alias("print")).distinct())
-    member = materialise(opened.join(sized.filter("marked").select("id", "size", "bits"), "id"), "jaccard-members")
+    member = materialise(opened.join(_sized(classes, opened), "id"), "jaccard-members")
     discard(rest, lists, opened)
     if member.isEmpty():
         return None
@@ -350,10 +484,8 @@ def across(offered: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     asking = placed.filter("asks").select(*own, every("rows").alias("row"), column.alias("column"), F.lit(True).alias("asks"))
     placed_rows = groups.agg(F.sum(F.col("n") * F.col("columns") + F.col("others") * F.col("rows"))).first()[0]
     dealt = indexed.unionByName(asking).withColumn("block", F.pmod(F.xxhash64("group", "row", "column"), F.lit(max(1, -(-int(placed_rows) // BLOCK)))))
-    open_rows = materialise(dealt.groupBy("block").applyInArrow(_open, "block long, id long, label long, asks boolean"), "jaccard-open-rows")
+    links = searched(dealt, classes, docs)
     discard(member, groups)
-    links = occurrences(_bundled(open_rows.withColumnRenamed("block", "of"), "of").groupBy("block", "id", "asks").agg(F.min("label").alias("label")), classes, docs)
-    discard(open_rows)
     return links
 
 
@@ -414,14 +546,12 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     classes = held.filter("NOT marked").select(*own).unionByName(same)
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "jaccard-classes")
 
-    salts = -(-rows.count() // PART)  # a list of a third of all rows has a third of these parts in use
-    lists = classes.select("id", F.shiftleft("size", 32).alias("size"), "common", F.posexplode("short").alias("pos", "key")).select(
-        F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("shingle"), "id", (F.col("size") + F.col("pos")).alias("place"), "common",
-        F.when(F.col("key") < 0, F.pmod(F.xxhash64("id"), F.lit(max(1, salts))) + 1).otherwise(0).alias("salt"),
-    )
-    size, pos = F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")  # they travel as one number
-    lists = lists.repartition("shingle", "salt").select("shingle", "salt", F.struct("id", size, "common", pos).alias("b"))
-    offered = materialise(_first(lists, "shingle", "salt").filter((F.col("members") > 1) | (F.col("salt") > 0)), "jaccard-lists")
+    known = materialise(rows.select("doc_id", "size", "digest"), "jaccard-known")
+    discard(rows, again)
+    salts = max(1, -(-known.count() // PART))  # a list of a third of all rows has a third of these parts in use
+    offered = materialise(offers(classes, salts), "jaccard-lists")
+    short, classes = classes, materialise(classes.drop("short", "common"), "jaccard-sets")  # the lists are made
+    discard(short)
     links = by_pivots(offered, classes, docs)
     labels = components(links)
 
@@ -434,9 +564,9 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     member = classes.select("id", "digest", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = member.groupBy("label").agg(F.min("doc").alias("component_id"))
     named = materialise(member.join(least, "label").select("digest", "component_id"), "jaccard-named")
-    discard(classes, again, offered, links, labels, *([more] if more is not None else []))
-    linked = filled.select("doc_id", "size", "digest").join(named, "digest").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    return linked.union(rows.filter("size = 0").select("doc_id", "size", "doc_id"))
+    discard(classes, offered, links, labels, *([more] if more is not None else []))
+    linked = known.filter("size > 0").join(named, "digest").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return linked.union(known.filter("size = 0").select("doc_id", "size", "doc_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
