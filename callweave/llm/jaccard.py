@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -43,7 +44,7 @@ from .common import discard, free_names, materialise, runs, table, text_runs
 from .exact_dedup import BROADCAST_BITS, MAP_BITS, bit, filter_bits, maps
 
 WORDS, NEED = 5, 80  # words of a shingle; least similarity in hundredths
-CELLS, WIDE = 1 << 20, 64
+CELLS, SPAN = 1 << 20, 2048  # cells of a row of the sketch, and of what is summed together
 PART = 4096  # members of a salted part of a long list, about
 BLOCK, LARGEST, ITEMS = 128, 2048, 4 << 20  # members of a block: at least, at most for large groups; shingles of a block
 SKIP, MERGED = 0.01, 2000  # DivideSkip's constant; postings beyond which further lists count as long
@@ -77,8 +78,22 @@ def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (s & np.uint64(CELLS - 1)).astype(np.int64), (s >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum the counts of a span of cells over all tasks, batch by batch; its levels leave as a byte a cell."""
+    counts = np.zeros(SPAN, dtype=np.int64)
+    for batch in batches:
+        span = batch.column("span")[0]
+        for packed in batch.column("counts"):
+            raw = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * SPAN, codec="zstd"), np.uint8)
+            counts += np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+    levels = np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([span.as_py()], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([levels.tobytes()], pa.binary())], ["span", "total", "levels"])
+
+
 def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """List lengths as 8 * log2(1 + count) for two rows of CELLS cells, and the value above which a list is long."""
+    """List lengths as 8 * log2(1 + count) for two rows of CELLS cells, and the value above which a list is long.
+
+    Counts are summed in tasks, so the driver gets a byte a cell."""
 
     def work(batches):
         counts = np.zeros((2, CELLS), dtype=np.int64)
@@ -87,28 +102,19 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
                 found = np.concatenate([shingles(t) for t in texts])
                 for row, cells in enumerate(_cells(found)):
                     counts[row] += np.bincount(cells, minlength=CELLS)
-        rows = counts.reshape(-1, WIDE)
-        used = np.flatnonzero(rows.any(axis=1))
-        for a in range(0, len(used), 4096):
-            part = used[a : a + 4096]
-            own = rows[part]
-            high = (own >> 7)[(own >> 7).any(axis=1)].ravel()  # few rows hold a cell of 128 or more
-            ends = np.cumsum(np.where((own >> 7).any(axis=1), WIDE, 0))
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) * WIDE + 1, WIDE, dtype=np.int32)), pa.array((own & 127).ravel().astype(np.int8))),
-                pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(high.astype(np.int32))),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), *lists], ["row", "low", "high"])
-
-    parts = docs.select("text").mapInArrow(work, "row long, low array<tinyint>, high array<int>").repartition("row")  # bytes are shuffled, not their sums
-    cell = lambda i: F.get("low", F.lit(i)).cast("long") + 128 * F.coalesce(F.get("high", F.lit(i)), F.lit(0))
-    summed = parts.groupBy("row").agg(F.array(*[F.sum(cell(i)) for i in range(WIDE)]).alias("counts")).toArrow()  # 2 * CELLS numbers
-    counts = np.zeros((2 * CELLS // WIDE, WIDE), dtype=np.int64)
-    if summed.num_rows:
-        counts[summed.column("row").to_numpy()] = summed.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, WIDE)
-    counts = counts.reshape(2, CELLS)
-    long = max(1000, 4 * int(counts[0].sum()) // CELLS)
-    return np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8), min(255, int(8 * np.log2(1 + long)))
+        runs_of = counts.astype("<i4").reshape(-1, SPAN)
+        used = np.flatnonzero(runs_of.any(axis=1))
+        planes = [runs_of[i].view(np.uint8).reshape(-1, 4).T.tobytes() for i in used]  # high bytes are nearly all zero
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in planes], pa.binary())], ["span", "counts"])
+
+    parts = docs.select("text").mapInArrow(work, "span long, counts binary")
+    summed = parts.groupBy("span").applyInArrow(_levels, "span long, total long, levels binary").toArrow()  # 2 * CELLS bytes
+    levels, total = np.zeros((2 * CELLS // SPAN, SPAN), dtype=np.uint8), 0
+    for span, n, found in zip(*(summed.column(c) for c in ("span", "total", "levels")), strict=True):
+        levels[span.as_py()] = np.frombuffer(found.as_buffer(), np.uint8)
+        total += n.as_py()
+    long = max(1000, 4 * (total // 2) // CELLS)  # both rows count every shingle
+    return levels.reshape(2, CELLS), min(255, int(8 * np.log2(1 + long)))
 
 
 def parity(s: np.ndarray, cells: int = 4) -> np.ndarray:
@@ -231,7 +237,7 @@ def _columns(entries: np.ndarray) -> bytes:
 
 def _entries(packed: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(pa.decompress(packed, n * ENTRY.itemsize, codec="zstd", asbytes=True), np.uint8)
-    out = np.ascontiguousarray(raw.reshape(ENTRY.itemsize, n).T).view(ENTRY).ravel()
+    out = raw.reshape(ENTRY.itemsize, n).T.copy(order="C").view(ENTRY).ravel()  # a single entry is contiguous as it is, but not writable
     out["id"] = np.cumsum(out["id"])
     return out
 

@@ -96,3 +96,27 @@ def test_copies_of_a_wanted_text_stay_out_of_the_shuffle(spark):
     finally:
         jaccard.marked = kept
     assert seen[0] < 200  # before: all 3000
+
+
+def test_sketch_leaves_tasks_as_bytes(spark, monkeypatch):
+    """The driver gets a byte a cell, and the levels are those of the counts, also above one byte."""
+    texts = [f"w{i} w{i + 1} w{i + 2} w{i + 3} w{i + 4} w{i + 5}" for i in range(300)] + ["one two three four five"] * 700 + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    frame, sent = type(docs), []
+    honest = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: sent.append(honest(self)) or sent[-1])
+    lengths, long = jaccard.sketch(docs)
+    counts = np.zeros((2, jaccard.CELLS), dtype=np.int64)
+    for t in texts:
+        for row, cells in enumerate(jaccard._cells(jaccard.shingles(t or ""))):
+            np.add.at(counts[row], cells, 1)
+    assert (lengths == np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)).all() and lengths.dtype == np.uint8
+    assert long == int(8 * np.log2(1001))
+    assert sum(t.nbytes for t in sent) <= 2 * jaccard.CELLS + 100_000
+    none = jaccard.sketch(docs.filter("false"))
+    assert not none[0].any() and none[1] == long
+
+
+def test_a_run_of_a_single_entry_is_read():
+    one = np.array([(7 << 33, 5, 2, -3)], dtype=jaccard.ENTRY)
+    assert jaccard._entries(jaccard._columns(one), 1).tolist() == one.tolist()
