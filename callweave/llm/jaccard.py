@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_names, materialise, runs, table, text_runs
+from .common import discard, materialise, runs, table, text_runs
 from .exact_dedup import BROADCAST_BITS, MAP_BITS, bit, filter_bits, maps
 
 WORDS, NEED = 5, 80  # words of a shingle; least similarity in hundredths
@@ -576,11 +576,17 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the least doc_id of their component, with their own columns."""
-    (name,) = free_names(docs, "kept_id")
-    kept = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = materialise(kept, "jaccard-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi").select(docs.columns)
+    """The documents with the least doc_id of their component, with their own columns.
+
+    Only dropped documents and a few others are shuffled with their texts (see `marked`), at every size."""
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = near_classes(docs).groupBy("doc_id").agg(F.bool_or(own).alias("kept")).filter("NOT kept").select("doc_id", F.xxhash64("doc_id").alias("print"))
+    gone = materialise(gone, "jaccard-gone")
+    key = docs["doc_id"].cast("long")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), F.xxhash64(key).alias("print"))
+    held = marked(rows, gone)
+    stays = held.filter("marked").join(gone.select("doc_id"), F.col("id").eqNullSafe(F.col("doc_id")), "left_anti")
+    return held.filter("NOT marked").select("row.*").unionByName(stays.select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -120,3 +120,36 @@ def test_sketch_leaves_tasks_as_bytes(spark, monkeypatch):
 def test_a_run_of_a_single_entry_is_read():
     one = np.array([(7 << 33, 5, 2, -3)], dtype=jaccard.ENTRY)
     assert jaccard._entries(jaccard._columns(one), 1).tolist() == one.tolist()
+
+
+def _texts_shuffled(df):
+    """Rows with a text that the exchanges of a query have written, once it has run."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        below = sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+        own = node.output().toString()
+        return below + (node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" and ("row#" in own or "text#" in own) else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_kept_documents_are_not_shuffled(spark):
+    """However large the tables are, only dropped documents and a few others meet the dropped ids by a shuffle."""
+    rng = random.Random(6)
+    made = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for i in range(600)]
+    made += [(1000 + i, made[i][1]) for i in range(8)] + [(None, made[20][1]), (None, "a b c d e f"), (599, made[3][1])]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(docs)
+        assert _texts_shuffled(kept) < 150
+        assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id is None or r.doc_id < 1000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
