@@ -141,18 +141,20 @@ class Identifier:
     def fused(self, text: str | None, heard: str | None = None, certainty: float = 0.0) -> tuple[str, float]:
         """Language and confidence by a named language, the text, and a vote of another kind (`heard`, of some certainty).
 
-        Where the text's own winner wins, its calibrated confidence counts and the other vote only moves it."""
+        Where the text's own winner wins, its calibrated confidence counts and the other vote only moves it. A vote of no
+        certainty still names the language where nothing else speaks; a negative certainty counts as 0."""
         scores = {c: x / EVIDENCE * LEXICAL for c, x in self.scores(text or "").items()}
         named, (own, sure) = self.name(text), self.lexical(text)
         if named:
             scores[named] = scores.get(named, 0.0) + 0.97 * EXPLICIT
         if heard:
-            scores[heard] = scores.get(heard, 0.0) + certainty * ACOUSTIC
+            scores[heard] = scores.get(heard, 0.0) + max(0.0, certainty) * ACOUSTIC
         if not scores:
             return self.rules.default, 0.0
         order = self.ranked(scores)
         best, second = order[0][1], order[1][1] if len(order) > 1 else 0.0
-        confidence = min(0.99, best / sum(scores.values()) * 0.75 + best / 1.6 * 0.45) * (0.85 if best - second < AMBIGUOUS else 1.0)
+        total = sum(scores.values()) or 1.0  # 0 where a vote of no certainty is all there is
+        confidence = min(0.99, best / total * 0.75 + best / 1.6 * 0.45) * (0.85 if best - second < AMBIGUOUS else 1.0)
         if own == order[0][0] and (text or "").strip():
             confidence = max(sure, 0.97) if named == own else sure
             confidence = confidence if not heard else min(0.99, confidence + 0.08) if heard == own else confidence * 0.7

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as engine
 from callweave.functions import languages
 from callweave.functions.languages import Identifier, Memory, Rules, profile
 
@@ -52,6 +53,19 @@ def test_names_and_fusion():
     assert own.name("Klingon!") == "tlh" and own.name("hindi") is None
 
 
+def test_a_vote_of_no_certainty_alone():
+    for said in ("", None, "   ", "12 !", "ж"):
+        assert WHO.fused(said, "hi-IN", 0.0) == WHO.fused(said, "hi-IN", -0.5) == ("hi-IN", 0.0)
+    assert WHO.fused("What is the fee", "hi-IN", -0.5) == WHO.fused("What is the fee", "hi-IN", 0.0)
+
+
+def test_lid_fuse_takes_empty_documents(spark, tmp_path):
+    said = [(1, "", "fr", "web", 0), (2, "", None, "web", 0), (3, None, "de", "web", 0), (4, "   ", "hi", "web", 0), (5, "What is the fee", "en", "web", 15), (6, "", "fr", "web", -4000)]
+    spark.createDataFrame(said, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.language, r.confidence) for r in engine.queries()["lid_fuse"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("fr-FR", 0.0), 2: ("en-IN", 0.0), 3: ("de-DE", 0.0), 4: ("hi-IN", 0.0), 5: WHO.fused("What is the fee", "en-IN", 15 / 4000), 6: ("fr-FR", 0.0)}
+
+
 def test_memory_resists_a_single_turn():
     memory = Memory()
     heard = [("mr-IN", 0.8, False), ("en-IN", 0.9, False), ("mr-IN", 0.9, False), ("en-IN", 0.9, False), ("en-IN", 0.6, False), ("en-IN", 0.9, False), ("en-IN", 0.75, False), ("hi-IN", 0.2, True)]
